@@ -9,7 +9,7 @@ resemblance; with the distinct counts, that gives containment.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Hashes in a fingerprint, and words in a shingle.
@@ -73,20 +73,50 @@ def as_text(f: Column) -> Column:
     return F.concat_ws("", F.transform(f, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))))
 
 
-def neighbours(ids: DataFrame, id_col: str) -> DataFrame:
-    """id, next_id: the next larger id, or the smallest after the largest; ids are distinct.
+def range_bounds(ids: DataFrame, id_col: str, parts: int) -> list[int]:
+    """At most ``parts - 1`` ids that cut all ids into ranges of about as many rows each."""
+    shares = [i / parts for i in range(1, parts)]
+    return sorted({int(x) for x in ids.where(F.col(id_col).isNotNull()).approxQuantile(id_col, shares, 0.2 / parts)}) if shares else []
 
-    Ids are dealt into ranges; a window runs inside each range, and the ranges' ends are
-    joined by a table of one row per range.
+
+def range_of(value: Column, bounds: list[int]) -> Column:
+    """How many of the ascending ``bounds`` a value reaches: a search in two steps."""
+    if not bounds:
+        return F.lit(0)
+    width = max(1, int(len(bounds) ** 0.5))
+    chunks = [bounds[i : i + width] for i in range(0, len(bounds), width)]
+    reached = lambda xs: F.size(F.filter(xs, lambda x: x <= value))
+    chunk = reached(F.array(*[F.lit(c[0]) for c in chunks])) - 1
+    inside = reached(F.get(F.array(*[F.array(*map(F.lit, c)) for c in chunks]), F.greatest(chunk, F.lit(0))))
+    return F.greatest(chunk, F.lit(0)) * width + F.when(chunk >= 0, inside).otherwise(0)
+
+
+def with_next(rows: DataFrame, id_col: str, value: str) -> DataFrame:
+    """Rows with ``next``: ``value`` (a struct) of the next larger id, of the first after the last.
+
+    Rows are dealt once, by ranges of the id; each range also gets the first row of the
+    range after it.  Where an id repeats, its least value stands for it.  Rows without
+    an id have a null ``next`` and are dealt by their values.
     """
-    parts = max(1, int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = ids.select(F.col(id_col).alias("id")).repartitionByRange(parts, "id").withColumn("range", F.spark_partition_id())
-    ordered = dealt.withColumn("next_id", F.lead("id").over(Window.partitionBy("range").orderBy("id")))
-    starts = dealt.groupBy("range").agg(F.min("id").alias("start"))
-    following = starts.select(
-        F.col("range"), F.coalesce(F.lead("start").over(Window.orderBy("range")), F.min("start").over(Window.partitionBy())).alias("after")
-    )
-    return ordered.join(F.broadcast(following), "range").select("id", F.coalesce("next_id", "after").alias("next_id"))
+    spark = rows.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    bounds = range_bounds(rows, id_col, 3 * parts)  # more ranges than partitions: hashing spreads them evenly
+    place = range_of(F.col(id_col), bounds)
+    firsts = rows.where(F.col(id_col).isNotNull()).groupBy(place.alias("range")).agg(F.min(id_col).alias("first")).orderBy("range").collect()
+    before = {r["first"]: firsts[i - 1]["range"] for i, r in enumerate(firsts)}
+    spread = -1 - F.pmod(F.xxhash64(value), F.lit(parts)).cast("int")
+    home = F.struct(F.when(F.col(id_col).isNull(), spread).otherwise(place).cast("int").alias("range"), F.lit(False).alias("guest"))
+    if before:
+        table = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
+        guest = F.when(F.col(id_col).isin(*before), F.struct(table[F.col(id_col)].cast("int").alias("range"), F.lit(True).alias("guest")))
+        homes = F.filter(F.array(home, guest), lambda h: h.isNotNull())
+    else:
+        homes = F.array(home)
+    dealt = rows.withColumn("__home", F.explode(homes)).select("*", "__home.range", "__home.guest").drop("__home").repartition(parts, "range")
+    order = f"(PARTITION BY range ORDER BY guest, {id_col}, {value})"
+    marked = dealt.withColumn("__lead", F.expr(f"CASE WHEN {id_col} <=> lag({id_col}) OVER {order} AND guest = lag(guest) OVER {order} THEN NULL ELSE {value} END"))
+    found = marked.withColumn("next", F.expr(f"lead(__lead) IGNORE NULLS OVER {order}")).where("not guest")
+    return found.withColumn("next", F.when(F.col(id_col).isNotNull(), F.col("next"))).drop("range", "guest", "__lead")
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, words: int = WORDS) -> DataFrame:
@@ -100,19 +130,12 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     null.  Other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    sized = rows.withColumn("n_chars", F.length("text").cast("long"))
-    ids = sized.where("doc_id is not null").groupBy("doc_id").agg(F.max("n_chars").alias("longest"))
-    follow = neighbours(ids, "doc_id")
-    # To each id, of the text before it at most so many code points go.
-    asked = follow.join(ids.withColumnRenamed("doc_id", "id"), "id").select(F.col("next_id").alias("doc_id"), F.col("id").alias("for_id"), F.expr("longest div 2").alias("asked"))
-    sketched = sized.withColumn("f", fingerprint(F.col("text"), k, words))
-    single = sketched.where("doc_id is not null")
-    sent = single.join(asked, "doc_id").select("for_id", F.struct(F.col("text").alias("whole"), F.expr("substring(text, 1, cast(asked as int))").alias("start"), F.col("f").alias("next_f")).alias("next"))
-    sent = sent.select(F.col("for_id").alias("doc_id"), F.col("next.start").alias("start"), F.col("next.next_f").alias("next_f"))
-    joined = sketched.join(sent, "doc_id", "left")
-    half = F.expr("n_chars div 2")
-    edited = F.concat(F.expr("substring(text, 1, cast(n_chars - n_chars div 2 as int))"), F.coalesce(F.expr("substring(start, 1, cast(n_chars div 2 as int))"), F.lit("")))
-    made = joined.withColumn("edited", F.when(half > 0, edited).otherwise(F.col("text"))).withColumn("edited_f", fingerprint(F.col("edited"), k, words))
+    followed = with_next(rows, "doc_id", "text").withColumn("n_chars", F.length("text").cast("long"))
+    start = F.expr("substring(text, 1, cast(n_chars - n_chars div 2 as int))")
+    end = F.expr("substring(coalesce(next, ''), 1, cast(n_chars div 2 as int))")
+    made = followed.select("doc_id", "n_chars", "text", "next", F.concat(start, end).alias("edited"))
+    # The next text's hashes are made here again: they would take more to shuffle than its text.
+    made = made.select("*", fingerprint(F.col("text"), k, words).alias("f"), fingerprint(F.col("edited"), k, words).alias("edited_f"), fingerprint(F.col("next"), k, words).alias("next_f"))
     return made.select(
         "doc_id",
         "n_chars",
@@ -120,7 +143,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         as_text(F.col("f")).alias("fingerprint"),
         as_text(F.col("edited_f")).alias("edited_fingerprint"),
         resemblance(F.col("f"), F.col("edited_f"), k).alias("near_edited"),
-        F.when(F.col("next_f").isNotNull(), resemblance(F.col("f"), F.col("next_f"), k)).alias("near_next"),
+        F.when(F.col("next").isNotNull(), resemblance(F.col("f"), F.col("next_f"), k)).alias("near_next"),
         distinct_shingles(F.col("f"), k).alias("shingles"),
         containment(F.col("f"), F.col("edited_f"), k).alias("contained_in_edited"),
     )
