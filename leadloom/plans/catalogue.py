@@ -620,11 +620,14 @@ def ledger(spark, d):
 @query("q61_audit", "SELECT * FROM (VALUES " + ", ".join(f"('{c}', CAST(0 AS BIGINT))" for c in audit.CHECKS) + ") t(\"check\", violations)")
 def audited(spark, d):
     firms = qualify.with_verdict(T.company(spark, d), T.site(spark, d))
-    base = firms.where("verdict <> 'exclude' and ended is null")
     keep = firms.withColumn("reject_reason", F.when(F.col("ended").isNotNull(), "ended"))
-    rows = ranked(spark, d)
-    picked = select.week(evaluated(spark, d), every(spark, d), T.delivered(spark, d), groups(spark, d), 5)
-    found = {"ranked": rows.join(base.select("ico"), "ico", "left_semi"), "judged": keep, "events": every(spark, d), "week": picked, "reasons": reasons(spark, d)}
+    # Several checks read these; each is computed once.
+    happened = every(spark, d).persist()
+    why = events.reasons(happened, T.tender(spark, d)).persist()
+    rows = select.evaluate(qualify.nearest_workplace(firms.where("verdict <> 'exclude' and ended is null"), T.site(spark, d), BRIEF.origin), why).persist()
+    placed = select.ranked(rows).persist()
+    picked = select.week(rows, happened, T.delivered(spark, d), groups(spark, d), 5).persist()
+    found = {"ranked": placed, "judged": keep, "events": happened, "week": picked, "reasons": why}
     return audit.report(found)
 
 

@@ -17,7 +17,8 @@ def read_batches(spark: SparkSession, folder: str, schema: StructType | str, per
 
 def once_each(changes: DataFrame, keys: list[str], time_col: str = "ts", delay: str = "7 days") -> DataFrame:
     """Each repeated record once, as long as its copies come within ``delay``."""
-    return changes.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(keys)
+    timed = changes.withColumn(time_col, F.col(time_col).cast("timestamp"))
+    return timed.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(keys)
 
 
 def flag_uncovered(changes: DataFrame, retained_from: str, time_col: str = "ts") -> DataFrame:
@@ -26,7 +27,8 @@ def flag_uncovered(changes: DataFrame, retained_from: str, time_col: str = "ts")
 
 
 def weekly_counts(changes: DataFrame, time_col: str = "ts", delay: str = "7 days") -> DataFrame:
-    return changes.withWatermark(time_col, delay).groupBy(F.window(time_col, "7 days").alias("w"), "kind").agg(F.count("*").alias("n")).select(F.col("w.start").alias("week"), "kind", "n")
+    timed = changes.withColumn(time_col, F.col(time_col).cast("timestamp"))
+    return timed.withWatermark(time_col, delay).groupBy(F.window(time_col, "7 days").alias("w"), "kind").agg(F.count("*").alias("n")).select(F.col("w.start").alias("week"), "kind", "n")
 
 
 def last_in_batch(batch: DataFrame) -> DataFrame:
