@@ -128,9 +128,9 @@ def snapshot(spark: SparkSession, d: str) -> DataFrame:
 
 
 def finding(spark: SparkSession, d: str) -> DataFrame:
-    """Quotes to verify: as they are, wrapped, with an ellipsis, in capitals, without a quote."""
+    """Quotes to verify: as they are, wrapped, with an ellipsis, in small letters, without a quote."""
     i, q = F.col("item_id"), F.col("text")
-    form = F.when(i % 5 == 0, q).when(i % 5 == 1, F.concat(F.lit("„"), q, F.lit("“"))).when(i % 5 == 2, F.concat(q, F.lit("..."))).when(i % 5 == 3, F.upper(q))
+    form = F.when(i % 5 == 0, q).when(i % 5 == 1, F.concat(F.lit("„"), q, F.lit("“"))).when(i % 5 == 2, F.concat(q, F.lit("..."))).when(i % 5 == 3, F.lower(q))
     return table(spark, d, "benchmark").select(i.alias("finding_id"), form.alias("quote"))
 
 
@@ -187,7 +187,7 @@ SQL = {
     "delivered": f"SELECT {_PAD.format('o_custkey')} AS ico, o_orderkey AS run_id, CAST(o_orderdate AS DATE) + {VACANCY_SHIFT} AS delivered_on FROM orders WHERE o_orderkey % 10 = 0",
     "change": f"""SELECT {_PAD.format('user_id * 11 % 2000')} AS ico, CASE event_type WHEN 'signup' THEN 'INS' WHEN 'error' THEN 'DEL' ELSE 'UPD' END AS kind, CAST(day(ts) AS INTEGER) AS batch, event_id AS pos, ts FROM events WHERE event_id % 5 = 0""",
     "snapshot": """SELECT doc_id AS id, source AS ico, lang AS source, CASE WHEN doc_id % 19 <> 0 THEN source || '/' || CAST(doc_id % 7 AS VARCHAR) END AS url, DATE '2023-01-01' + CAST(doc_id % 300 AS INTEGER) AS fetched_at, text FROM documents""",
-    "finding": """SELECT item_id AS finding_id, CASE item_id % 5 WHEN 0 THEN text WHEN 1 THEN '„' || text || '“' WHEN 2 THEN text || '...' WHEN 3 THEN upper(text) END AS quote, text AS plain FROM benchmark""",
+    "finding": """SELECT item_id AS finding_id, CASE item_id % 5 WHEN 0 THEN text WHEN 1 THEN '„' || text || '“' WHEN 2 THEN text || '...' WHEN 3 THEN lower(text) END AS quote, text AS plain FROM benchmark""",
     "claim": """SELECT doc_id AS claim_id, source AS ico, CASE doc_id % 6 WHEN 0 THEN 'pain' WHEN 1 THEN 'pain:scale' WHEN 2 THEN 'production_mode:serial' WHEN 3 THEN 'production_mode:made_to_order' WHEN 4 THEN 'now:x' ELSE 'pain:other' END AS kind,
         CASE WHEN doc_id % 8 = 0 THEN 'údaj není uveden' ELSE 'value ' || CAST(doc_id % 50 AS VARCHAR) END AS value,
         CASE WHEN doc_id % 4 <> 0 THEN substr(replace(text, chr(10), ' '), 1, 40) || CASE WHEN doc_id % 3 = 0 THEN '.' ELSE '' END END AS quote, CASE WHEN doc_id % 4 = 0 THEN 'inference' ELSE 'fact' END AS state,
