@@ -3,8 +3,8 @@
 A rolling hash over the last bytes cuts texts where their content says so; equal
 passages give equal chunks whatever stands before them.  A chunk's inside (from its
 first to its last white space) is encoded and decoded once per worker and reused.  The
-text around each cut is encoded anew, with the unit on either side, until the ids on
-both sides agree with those of the chunks.
+text around each cut is encoded anew, and the piece around it grows, over whole chunks
+if need be, until it ends where its ids and the chunks' ids agree exactly.
 """
 
 from __future__ import annotations
@@ -105,15 +105,13 @@ class ChunkedEncoder:
         return value
 
     def _repaired(self, before: str, after: str) -> tuple[bytes, str]:
-        """What the text around a cut is, once the ids on both sides agree.
+        """Ids and decoded text around a cut, encoded anew as one piece.
 
-        ``before`` + ``after`` reaches white space on both sides, which no token spans.
-        The joint ids must equal those of its two outer characters' neighbours encoded
-        apart; a cut inside a word makes them differ, and then the joint ones hold.
+        ``before`` + ``after`` reaches white space on both sides, or has grown over
+        chunks without any until it does.  No token spans white space, so there the
+        joint ids and those of the chunks' insides agree, whatever follows.
         """
-        joint = self._units(before + after)
-        apart = (self._units(before)[0] + self._units(after)[0]) if before and after else joint[0]
-        return joint if joint[0] != apart else (apart, joint[1])
+        return self._units(before + after)
 
     def __call__(self, text: str) -> tuple[bytes, str]:
         """The ids of a text as bytes, and its decoded text."""

@@ -39,7 +39,8 @@ SCOPES = {
     "p": frozenset({"table", "td", "th", "button", "caption", "object"}), "option": frozenset({"select"}), "body": frozenset(),
 }
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# Lengths are bounded, so that unclosed tags and quotes cost no time that grows with the square of a page.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']{1,5000}+|\"[^\"]{0,5000}+\"|'[^']{0,5000}+'){0,400}+)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 _NO_SHOW = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
@@ -75,7 +76,7 @@ def build_tree(page: str) -> Node:
     root = here = Node("#document")
     at, n = 0, len(page)
     while at < n:
-        m = _TOKEN.search(page, at)
+        m = _TOKEN.search(page, at) if page.find(">", at) >= 0 or page.find("<!--", at) >= 0 else None
         if not m:
             here.children.append(page[at:])
             break
