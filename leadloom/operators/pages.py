@@ -116,3 +116,54 @@ def mode_findings(documents: DataFrame, patterns: dict[str, str]) -> DataFrame:
     """id, side, hits: matches of each side's pattern in each text."""
     counts = [F.struct(F.lit(side).alias("side"), F.regexp_count("text", F.lit(p)).alias("hits")) for side, p in patterns.items()]
     return documents.select("id", F.inline(F.array(*counts))).where("hits > 0")
+
+
+#: Labels of revenue rows, the older wording last (fixed values).
+REVENUE_LABELS = (("trzby", r"(?iU)tržby(?: z prodeje)?"), ("obrat", r"(?iU)obrat"), ("vykony", r"(?iU)výkony"))
+NUMBER = r"(\d{1,3}(?: \d{3})+|\d{2,})"
+
+
+def revenue_windows(documents: DataFrame, width: int = 60) -> DataFrame:
+    """id, label, pos, quote, numbers: text after each revenue label and the numbers in it."""
+
+    def windows(name: str, pattern: str) -> Column:
+        quotes = F.regexp_extract_all("text", F.lit(f"((?:{pattern}).{{0,{width}}})"), F.lit(1))
+        return F.transform(quotes, lambda q: F.struct(F.lit(name).alias("label"), q.alias("quote")))
+
+    labelled = [windows(name, pattern) for name, pattern in REVENUE_LABELS]
+    rows = documents.select("id", F.posexplode(F.concat(*labelled)).alias("pos", "w"))
+    numbers = F.transform(F.regexp_extract_all("w.quote", F.lit(NUMBER), F.lit(1)), lambda x: F.replace(x, F.lit(" "), F.lit("")).try_cast("long"))
+    return rows.select("id", F.col("w.label").alias("label"), "pos", F.col("w.quote").alias("quote"), numbers.alias("numbers")).where(F.size("numbers") > 0)
+
+
+def person_occurrences(pages: DataFrame, people: DataFrame, width: int = 120) -> DataFrame:
+    """Each person's best place on the company's pages, with the address and phone beside the name.
+
+    ``pages``: ico, page_ord, text; ``people``: ico, name.  A place scores 4 for an
+    address that names the person, 2 for a role word, 1 for a phone number; the first
+    best place wins.
+    """
+    found = pages.join(people.select("ico", "name").distinct(), "ico").withColumn("at", F.position(X.fold("name"), X.fold("text"))).where("at > 0")
+    near = F.substring("text", F.greatest(F.lit(1), F.col("at") - 20), F.length("name") + width + 20)
+    rows = found.select("ico", "name", "page_ord", "at", near.alias("near"))
+    surname = F.element_at(F.split(X.fold("name"), r"\s+"), -1)
+    mail = F.filter(F.regexp_extract_all("near", F.lit(f"({EMAIL})"), F.lit(1)), lambda m: F.contains(F.lower(m), surname))
+    phone = F.regexp_extract_all("near", F.lit(f"({PHONE})"), F.lit(1))
+    role = F.col("near").rlike(r"(?iU)jednatel|ředitel|majitel|vedoucí|manager|director|ceo")
+    rows = rows.withColumn("email", F.get(mail, 0)).withColumn("phone", F.get(phone, 0)).withColumn("role", role)
+    score = F.when(F.col("email").isNotNull(), 4).otherwise(0) + F.when(F.col("role"), 2).otherwise(0) + F.when(F.col("phone").isNotNull(), 1).otherwise(0)
+    best = rows.groupBy("ico", "name").agg(F.max(F.struct(score.alias("score"), (-F.col("page_ord")).alias("o"), (-F.col("at")).alias("a"), "email", "phone")).alias("b"))
+    return best.select("ico", "name", F.col("b.score").alias("score"), (-F.col("b.o")).alias("page_ord"), "b.email", "b.phone")
+
+
+def company_contacts(pages: DataFrame, people: DataFrame, withheld: DataFrame) -> DataFrame:
+    """Per company: general addresses by desk rank, and people with their own channel.
+
+    ``withheld``: names whose channel would be a guess (namesakes); they get none.
+    """
+    persons = person_occurrences(pages, people).join(withheld.select("ico", "name"), ["ico", "name"], "left_anti")
+    own = persons.where("email is not null").select("ico", F.lower("email").alias("address")).distinct()
+    mails = pages.select("ico", F.explode(F.transform(F.regexp_extract_all("text", F.lit(f"({EMAIL})"), F.lit(1)), F.lower)).alias("address")).distinct()
+    desks = mails.join(own, ["ico", "address"], "left_anti").groupBy("ico").agg(F.transform(F.array_sort(F.collect_list(F.struct(desk_rank(F.col("address")).alias("r"), "address"))), lambda x: x["address"]).alias("desks"))
+    named = persons.where("email is not null or phone is not null").groupBy("ico").agg(F.array_sort(F.collect_list(F.struct("name", "email", "phone", "score"))).alias("people"))
+    return desks.join(named, "ico", "full")

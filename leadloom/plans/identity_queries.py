@@ -153,3 +153,22 @@ def unit_scale(spark, d):
     i = F.col("doc_id")
     head = F.when(i % 3 == 0, "mil. k ... v tis. Kč\n").when(i % 3 == 1, "v tis.\nmil. kč\n").otherwise("")
     return identity.unit_scale(T.table(spark, d, "documents").select(i.alias("id"), F.concat(head, F.lit("Tržby 1 200\nv tis."), F.substring("text", 1, 20)).alias("text")), "Tržby")
+
+
+@query("q84_revenue_windows", "SELECT doc_id AS id, 'trzby' AS label, 1200 + doc_id % 10 AS number FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'obrat', 77 FROM documents WHERE doc_id % 3 = 0")
+def revenue_windows(spark, d):
+    i = F.col("doc_id")
+    head = F.concat(F.when(i % 2 == 0, F.concat(F.lit("Tržby: 1 "), (200 + i % 10).cast("string"), F.lit(" tis\n"))).otherwise(""), F.when(i % 3 == 0, "OBRAT 77\n").otherwise(""))
+    docs = T.table(spark, d, "documents").select(i.alias("id"), F.concat(head, F.regexp_replace("text", r"\d", "x")).alias("text"))
+    return pages.revenue_windows(docs).select("id", "label", F.col("numbers")[0].alias("number"))
+
+
+@query("q85_person_contacts", with_sql("SELECT ico, count(*) AS people, count(*) FILTER (ev % 2 = 0) AS reached FROM (SELECT ico, name, max(event_id // 12) AS ev FROM (SELECT ico, event_id, 'Jan Novák' || chr(CAST(97 + event_id // 12 % 20 AS INTEGER)) AS name FROM movement) GROUP BY ico, name) GROUP BY ico", "movement"))
+def person_contacts(spark, d):
+    i = F.expr("event_id div 12")
+    rows = T.movement(spark, d).select("ico", i.alias("page_ord"), F.concat(F.lit("Jan Novák"), F.char(97 + i % 20)).alias("name"))
+    last = rows.groupBy("ico", "name").agg(F.max("page_ord").alias("page_ord"))
+    mail = F.when(F.col("page_ord") % 2 == 0, F.concat(F.lit(" novak"), F.substring("name", -1, 1), F.lit("@firma.cz"))).otherwise("")
+    text = last.select("ico", "page_ord", F.concat(F.lit("Ing. "), "name", F.lit(", jednatel"), mail, F.lit(".")).alias("text"))
+    found = pages.person_occurrences(text, rows)
+    return found.groupBy("ico").agg(F.count("*").alias("people"), F.count("email").alias("reached"))

@@ -129,3 +129,11 @@ def coalesce_fields(base: DataFrame, other: DataFrame, key: str, columns: Sequen
     filled = {x: F.coalesce(F.nullif(F.trim(F.col(x)), F.lit("")), F.nullif(F.trim(F.col(f"__{x}")), F.lit(""))) for x in columns}
     return base.join(side, key, "left").select(*[filled[x].alias(x) if x in filled else F.col(x) for x in base.columns])
 
+
+
+def read_statement(spark: SparkSession, path: str, row_tag: str, row: str, current: str, previous: str) -> DataFrame:
+    """Rows of filed statements: number, current and previous value from a row element's attributes."""
+    schema = StructType([StructField(f"_{x}", StringType()) for x in (row, current, previous)])
+    rows = spark.read.format("xml").schema(schema).option("rowTag", row_tag).option("attributePrefix", "_").load(path)
+    number = lambda name: F.col(f"_{name}").try_cast("long")
+    return rows.select(number(row).alias("row"), number(current).alias("current"), number(previous).alias("previous"))

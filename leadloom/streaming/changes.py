@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 
@@ -55,3 +57,22 @@ def changed_flags(rows: DataFrame) -> DataFrame:
     """Batch twin of the page state: whether a snapshot differs from the one before it."""
     order = Window.partitionBy("ico", "source", "url").orderBy("fetched_at", "id")
     return rows.withColumn("changed", ~F.coalesce(F.lag("sha256").over(order) == F.col("sha256"), F.lit(False)))
+
+
+def page_changes(snapshots: DataFrame) -> DataFrame:
+    """Stream of snapshots (ico, source, url, id, sha256) with ``changed`` against the one before.
+
+    State is the last digest of each (ico, source, url); snapshots of a key within one
+    micro-batch are taken by id.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values("id")
+        last = state.get[0] if state.exists else None
+        before = [last, *rows["sha256"].tolist()[:-1]]
+        state.update((rows["sha256"].iloc[-1],))
+        yield rows.assign(changed=[a != b for a, b in zip(before, rows["sha256"])])[["ico", "source", "url", "id", "changed"]]
+
+    schema = "ico string, source string, url string, id long, changed boolean"
+    rows = snapshots.select("ico", "source", F.coalesce("url", F.lit("")).alias("url"), "id", "sha256")
+    return rows.groupBy("ico", "source", "url").applyInPandasWithState(step, schema, "sha256 string", "append", GroupStateTimeout.NoTimeout)

@@ -189,6 +189,24 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {r.uncovered for r in flagged} == {True, False}
 
 
+def test_page_changes_stream(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "web", "u", i, s) for i, s in enumerate("xxyyx")], "ico string, source string, url string, id long, sha256 string")
+    rows.where("id < 3").coalesce(1).write.parquet(str(tmp_path / "in"))
+    got = []
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    start = lambda: stream.page_changes(source).writeStream.foreachBatch(lambda b, n: got.extend(b.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
+    start()
+    rows.where("id >= 3").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    start()
+    assert sorted((r.id, r.changed) for r in got) == [(0, True), (1, False), (2, True), (3, False), (4, True)]
+
+
+def test_statement_rows(spark, tmp_path):
+    (tmp_path / "s.xml").write_text('<v><r c="1" b="10" m="8"/><r c="2" b="5" m=""/><r c="9" b="1" m="1"/></v>')
+    rows = tables.read_statement(spark, str(tmp_path / "s.xml"), "r", "c", "b", "m").withColumn("ico", F.lit("a")).withColumn("year", F.lit(2023))
+    assert tuple(tables.statement_totals(rows).first()) == ("a", 2023, 15000, 8000)
+
+
 def test_audit_finds_violations(spark):
     rows = spark.createDataFrame([("a",), ("a",)], "ico string")
     assert audit.distinct_companies({"week": rows}).count() == 1
