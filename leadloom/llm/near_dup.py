@@ -34,6 +34,8 @@ SAMPLES, BANDS, ROWS, BITS = 128, 24, 4, 512
 MARGIN = 0.2
 #: Classes in a block of step 3.
 BLOCK = 512
+#: Full sets that a task keeps while it compares two blocks.
+SET_BYTES = 32 << 20
 #: A table of so many keys at most (24 bytes each) is broadcast; a larger one is shuffled.
 BROADCAST_KEYS = 500_000
 
@@ -48,8 +50,8 @@ def _sign(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
     hasher = MinHasher(SAMPLES)
     schema = pa.schema([("id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
     for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            part = batch.slice(at, 1000)
+        for at in range(0, batch.num_rows, 250):
+            part = batch.slice(at, 250)
             sets = list(shingle_sets(part.column(1).to_pylist(), width))
             samples = hasher(sets)
             empty = [len(s) == 0 for s in sets]
@@ -95,21 +97,25 @@ def _confirm(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Ite
     """Of rows a, b, text_a, text_b those whose full sets are similar."""
     last, last_set = None, None
     for batch in batches:
-        keys = batch.column(1).to_pylist()
-        left = shingle_sets(batch.column(2).to_pylist(), width)
-        right, keep = batch.column(3), []
-        for i, s in enumerate(left):
-            if keys[i] != last:
-                last, last_set = keys[i], next(shingle_sets([right[i].as_py()], width))
-            keep.append(similar(s, last_set, percent))
-        yield batch.select([0, 1]).filter(pa.array(keep))
+        for at in range(0, batch.num_rows, 250):
+            part = batch.slice(at, 250)
+            keys = part.column(1).to_pylist()
+            right, keep = part.column(3), []
+            for i, s in enumerate(shingle_sets(part.column(2).to_pylist(), width)):
+                if keys[i] != last:
+                    last, last_set = keys[i], next(shingle_sets([right[i].as_py()], width))
+                keep.append(similar(s, last_set, percent))
+            yield part.select([0, 1]).filter(pa.array(keep))
 
 
 def _block(table: pa.Table, width: int, percent: int) -> pa.Table:
     """Links between the two blocks of one group, or within its one block, across components."""
-    names = table.to_pydict()
-    keys, blocks, labels = names["key"], np.array(names["block"]), names["label"]
-    bands, sketch = np.array(names["bands"]), np.array(names["sketch"]).view(np.uint64)
+    table = table.combine_chunks()
+    n = table.num_rows
+    keys, labels, texts = table["key"].to_pylist(), table["label"].to_pylist(), table["text"]
+    blocks = table["block"].to_numpy()
+    flat = lambda name: table[name].combine_chunks().flatten().to_numpy().reshape(n, -1)
+    bands, sketch = flat("bands"), flat("sketch").view(np.uint64)
     position = {}
     parent = [position.setdefault(x, len(position)) for x in labels]
     root = list(range(len(position)))
@@ -121,14 +127,19 @@ def _block(table: pa.Table, width: int, percent: int) -> pa.Table:
         return x
 
     sets: dict[int, np.ndarray] = {}
+    held = 0
 
     def full(i: int) -> np.ndarray:
+        nonlocal held
         if i not in sets:
-            sets[i] = next(shingle_sets([names["text"][i]], width))
+            if held > SET_BYTES:
+                sets.clear()
+                held = 0
+            sets[i] = next(shingle_sets([texts[i].as_py()], width))
+            held += sets[i].nbytes
         return sets[i]
 
-    low, high = names["low"][0], names["high"][0]
-    bucket = names["bucket"][0]
+    low, high, bucket = table["low"][0].as_py(), table["high"][0].as_py(), table["bucket"][0].as_py()
     left, right = np.flatnonzero(blocks == low), np.flatnonzero(blocks == high)
     found: list[tuple[bytes, bytes]] = []
     for at in range(0, len(left), 32):
@@ -205,13 +216,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = components(links)
 
     members = shared_buckets.where("size > 2").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    open_buckets = members.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 != l1").select("bucket")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
+    # A bucket's largest component needs no comparison with itself: its classes meet only the others' blocks.
+    top = F.max(F.struct("n", "label"))
+    open_buckets = members.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(top.alias("top"), F.sum("n").alias("all")).where("all > top.n")
+    in_top = F.col("label") == F.col("top.label")
+    own = F.ceil(F.col("top.n") / BLOCK).cast("int")
+    rest = F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int")
+    hashed = F.xxhash64("key")
     spread = materialize(
-        members.join(open_buckets, "bucket", "left_semi")
-        .withColumn("blocks", blocks)
-        .withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        members.join(open_buckets, "bucket")
+        .withColumn("block", F.when(in_top, F.pmod(hashed, own)).otherwise(own + F.pmod(hashed, rest)).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.when(in_top, own).otherwise(F.lit(0)), own + rest - 1)))
         .select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "key", "label"),
         "blocks",
     )
@@ -268,7 +283,8 @@ def _texts(rows: DataFrame, first: DataFrame, width: int) -> DataFrame:
 
 def _own(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = [set_key(s) for s in shingle_sets(batch.column(1).to_pylist(), width)]
-        want = batch.column(0).to_pylist()
-        keep = [w is None or w == k for w, k in zip(want, keys)]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column(1)], names=["key", "text"]).filter(pa.array(keep))
+        for at in range(0, batch.num_rows, 250):
+            part = batch.slice(at, 250)
+            keys = [set_key(s) for s in shingle_sets(part.column(1).to_pylist(), width)]
+            keep = [w is None or w == k for w, k in zip(part.column(0).to_pylist(), keys)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), part.column(1)], names=["key", "text"]).filter(pa.array(keep))
