@@ -106,14 +106,14 @@ def current_departed(spark, d):
     return split.select("ico", F.size("s.current").cast("long").alias("n_current"), F.size("s.departed").cast("long").alias("n_departed"))
 
 
-@query("q77_statement_totals", "SELECT ico, year, sum(q) FILTER (r IN (1, 2)) * 1000 AS value_czk, sum(p) FILTER (r IN (1, 2)) * 1000 AS previous_czk FROM (SELECT lpad(CAST(o_custkey AS VARCHAR), 8, '0') AS ico, year(o_orderdate) AS year, l_linenumber AS r, CAST(l_quantity AS BIGINT) AS q, CAST(l_suppkey AS BIGINT) AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey) GROUP BY ico, year")
+@query("q77_statement_totals", "SELECT ico, year, CAST(sum(q) FILTER (r IN (1, 2)) * 1000 AS BIGINT) AS value_czk, CAST(sum(p) FILTER (r IN (1, 2)) * 1000 AS BIGINT) AS previous_czk FROM (SELECT lpad(CAST(o_custkey AS VARCHAR), 8, '0') AS ico, year(o_orderdate) AS year, l_linenumber AS r, CAST(l_quantity AS BIGINT) AS q, CAST(l_suppkey AS BIGINT) AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey) GROUP BY ico, year")
 def statement_totals(spark, d):
     rows = T.table(spark, d, "lineitem").join(T.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     return tables.statement_totals(rows.select(
         F.lpad(F.col("o_custkey").cast("string"), 8, "0").alias("ico"), F.year("o_orderdate").alias("year"), F.col("l_linenumber").alias("row"), F.col("l_quantity").cast("long").alias("current"), F.col("l_suppkey").cast("long").alias("previous")))
 
 
-@query("q78_selection_state", with_sql("SELECT division, coalesce(sum(n) FILTER (on_), 0) AS companies, CASE WHEN count(*) FILTER (on_) = count(*) THEN 'on' WHEN count(*) FILTER (on_) > 0 THEN 'some' ELSE 'off' END AS state FROM (SELECT substr(nace, 1, 2) AS division, nace, count(*) AS n, max(CAST(nace AS INTEGER)) % 3 <> 0 AS on_ FROM company WHERE nace <> '' GROUP BY nace) GROUP BY division", "company"))
+@query("q78_selection_state", with_sql("SELECT division, CAST(coalesce(sum(n) FILTER (on_), 0) AS BIGINT) AS companies, CASE WHEN count(*) FILTER (on_) = count(*) THEN 'on' WHEN count(*) FILTER (on_) > 0 THEN 'some' ELSE 'off' END AS state FROM (SELECT substr(nace, 1, 2) AS division, nace, count(*) AS n, max(CAST(nace AS INTEGER)) % 3 <> 0 AS on_ FROM company WHERE nace <> '' GROUP BY nace) GROUP BY division", "company"))
 def selection_state(spark, d):
     codes = facets.code_rollup(T.company(spark, d)).where("code is not null")
     return facets.selection_state(codes, codes.where("cast(code as int) % 3 <> 0"))
