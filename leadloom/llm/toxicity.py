@@ -159,13 +159,26 @@ def forward_backward(x: np.ndarray, mask: np.ndarray, start: float, moves: tuple
     return np.where(mask, q.T, 0.0), b.T, (up, down, stay)
 
 
-def pick_markers(documents: list[set[str]], labels: np.ndarray, least: int = 3, precision: float = 0.9, most: int = 400) -> list[str]:
-    """Features that tell toxic documents, picked by how many uncovered ones they cover."""
-    total = Counter(f for d in documents for f in d)
-    toxic = [d for d, y in zip(documents, labels) if y]
-    positive = Counter(f for d in toxic for f in d)
+def document_features(text: str) -> set[str]:
+    return {f for w in set(text.split()) for f in token_features(w)}
+
+
+def pick_markers(texts: list[str], labels: np.ndarray, least: int = 3, precision: float = 0.9, most: int = 400) -> tuple[list[str], list[str]]:
+    """Features that tell toxic documents, picked by how many uncovered ones they cover.
+
+    Also further features that are more common in toxic documents than in others.
+    """
+    total: Counter[str] = Counter()
+    positive: Counter[str] = Counter()
+    for text, y in zip(texts, labels):  # no document's features are kept, only counts
+        own = document_features(text)
+        total.update(own)
+        if y:
+            positive.update(own)
+    total = Counter({f: n for f, n in total.items() if f in positive})
+    helpful = [f for f, n in positive.most_common(4000) if n >= 3 and n >= 0.5 * total[f]]
     able = {f for f, n in positive.items() if n >= least and n >= precision * total[f]}
-    open_docs = [d & able for d in toxic]
+    open_docs = [document_features(t) & able for t, y in zip(texts, labels) if y]
     markers: list[str] = []
     while len(markers) < most:
         covered = Counter(f for d in open_docs for f in d)
@@ -178,7 +191,7 @@ def pick_markers(documents: list[set[str]], labels: np.ndarray, least: int = 3,
         open_docs = [d for d in open_docs if best not in d]
     # Further features as common as the picked ones, whose documents those have covered.
     common = 0.3 * max((positive[f] for f in markers), default=0)
-    return markers + sorted(f for f in able - set(markers) if positive[f] >= max(common, least) and positive[f] >= 0.97 * total[f])
+    return markers + sorted(f for f in able - set(markers) if positive[f] >= max(common, least) and positive[f] >= 0.97 * total[f]), helpful
 
 
 def fit(texts: list[str], labels: np.ndarray, rounds: int = 60, seed: int = 3, penalty: float = 1e-4) -> ToxicityModel:
@@ -187,11 +200,7 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 60, seed: int = 3, p
     for t, y in zip(texts, labels):
         unique.setdefault(t, int(y))
     texts, labels = list(unique), np.array(list(unique.values()), dtype=int)
-    sets = [{f for w in set(t.split()) for f in token_features(w)} for t in texts]
-    markers = pick_markers(sets, labels)
-    toxic = Counter(f for s, y in zip(sets, labels) if y for f in s)
-    everywhere = Counter(f for s in sets for f in s)
-    helpful = [f for f, n in toxic.most_common(4000) if n >= 3 and n >= 0.5 * everywhere[f]]
+    markers, helpful = pick_markers(texts, labels)
     vocabulary = {f: i for i, f in enumerate(dict.fromkeys([*markers, *helpful]))}
     wanted = set(markers)
     random = np.random.default_rng(seed)
