@@ -1,7 +1,8 @@
 """Visible text of HTML pages by a small layout: tree building, visibility, blocks.
 
 The tree builder opens and closes elements with HTML's implied tags (a paragraph ends
-before a block, a list item before the next, table parts nest).  Rendering walks the
+before a block, a list item before the next, table parts nest, a cell opens its row);
+content between a table's parts goes before the table.  Rendering walks the
 tree: hidden elements give nothing, blocks stand on lines of their own with blank lines
 where they have margins, list items get bullets or numbers by depth, and table cells are
 padded to their column's width.
@@ -32,15 +33,25 @@ IMPLIED = {
     "tr": frozenset({"tr", "td", "th", "caption"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}),
     "tbody": frozenset({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}), "thead": frozenset({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}),
     "tfoot": frozenset({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}), "body": frozenset({"head"}),
+    **dict.fromkeys(("caption", "colgroup", "col"), frozenset({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"})),
 }
 SCOPES = {
     "li": frozenset({"ul", "ol", "table", "td", "th"}), "dt": frozenset({"dl", "table", "td", "th"}), "dd": frozenset({"dl", "table", "td", "th"}),
     "tr": frozenset({"table"}), "td": frozenset({"table", "tr"}), "th": frozenset({"table", "tr"}), "tbody": frozenset({"table"}), "thead": frozenset({"table"}), "tfoot": frozenset({"table"}),
     "p": frozenset({"table", "td", "th", "button", "caption", "object"}), "option": frozenset({"select"}), "body": frozenset(),
+    **dict.fromkeys(("caption", "colgroup", "col"), frozenset({"table"})),
 }
-
-# Lengths are bounded, so that unclosed tags and quotes cost no time that grows with the square of a page.
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']{1,5000}+|\"[^\"]{0,5000}+\"|'[^']{0,5000}+'){0,400}+)>", re.S)
+#: Elements that hold table parts only, the parts, and what else may stay between them; all other content goes before the table.
+CONTEXT = frozenset("table tbody thead tfoot tr".split())
+PARTS = frozenset("caption colgroup col tbody thead tfoot tr td th".split())
+STAYS = PARTS | frozenset("script style template".split())
+
+# Possessive, without limits of length: a tag matches at its first try, closed or cut by the page's end (the last group is
+# then empty), so no part of a page is read again and again.  A quote counts only where it opens an attribute's value.
+_OTHER = r"<!--.*?(?:-->|\Z)|<![^>]*+(?:>|\Z)|<\?[^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)"
+_TOKEN = re.compile(_OTHER + r"((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(>|\Z)", re.S)
+#: The same after a tag that the page's end cuts: quotes don't count, so that what follows is not lost in one.
+_TOKEN_PLAIN = re.compile(_OTHER + r"([^>]*+)(>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 _NO_SHOW = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
@@ -75,15 +86,22 @@ class Node:
 def build_tree(page: str) -> Node:
     root = here = Node("#document")
     at, n = 0, len(page)
+    token = _TOKEN
     while at < n:
-        m = _TOKEN.search(page, at) if page.find(">", at) >= 0 or page.find("<!--", at) >= 0 else None
+        m = token.search(page, at) if page.find(">", at) >= 0 or page.find("<!--", at) >= 0 else None
         if not m:
-            here.children.append(page[at:])
+            _add(here, page[at:])
             break
         if m.start() > at:
-            here.children.append(page[at : m.start()])
-        at = m.end()
+            _add(here, page[at : m.start()])
         name = m[2]
+        if name and not m[4] and page.find(">", m.start()) >= 0:
+            token, at = _TOKEN_PLAIN, m.start()
+            continue
+        if name and not m[4]:
+            _add(here, page[m.start() :])
+            break
+        at = m.end()
         if not name:
             continue
         tag = name.lower()
@@ -94,8 +112,13 @@ def build_tree(page: str) -> Node:
             here = _end(here, frozenset({"p"}), SCOPES["p"])
         if tag in IMPLIED:
             here = _end(here, IMPLIED[tag], SCOPES.get(tag, frozenset()))
+        if tag in PARTS or tag == "table":
+            here = _part(here, tag)
         node = Node(tag, m[3] or "", here)
-        here.children.append(node)
+        if tag == "form" and _table_around(here):  # such a form holds nothing
+            here.children.append(node)
+            continue
+        _add(here, node)
         if tag in RAW:
             low = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
             node.children.append(page[at : low.start() if low else n])
@@ -108,6 +131,43 @@ def build_tree(page: str) -> Node:
     return root
 
 
+def _table_around(here: Node) -> Node | None:
+    """The open table of which ``here`` is a part that holds no content of its own."""
+    node: Node | None = here
+    if here.tag not in CONTEXT and here.tag != "colgroup":
+        return None
+    while node is not None and node.tag != "table":
+        node = node.parent
+    return node
+
+
+def _add(here: Node, item: Node | str) -> None:
+    """Put a text or an element where it is shown: between the parts of a table is before the table."""
+    between = bool(item.strip()) if isinstance(item, str) else item.tag not in STAYS
+    table = _table_around(here) if between else None
+    if table is not None and table.parent is not None:
+        table.parent.children.insert(-1, item)  # an open table is the last child
+    else:
+        here.children.append(item)
+
+
+def _part(here: Node, tag: str) -> Node:
+    """Where a table part or a table goes that is opened at ``here``; a cell without a row gets one."""
+    node: Node | None = here
+    while node is not None and node.tag not in CONTEXT and node.tag not in ("td", "th", "caption"):
+        node = node.parent
+    if node is None or node.tag not in CONTEXT:
+        return here
+    if tag == "table":
+        table = _table_around(node)
+        return table.parent if table is not None and table.parent is not None else here
+    if tag in ("td", "th") and node.tag != "tr":
+        row = Node("tr", "", node)
+        node.children.append(row)
+        return row
+    return node
+
+
 def _end(here: Node, tags: frozenset[str], scope: frozenset[str]) -> Node:
     """The parent of the outermost open element in ``tags`` below the nearest ``scope``."""
     node, found = here, None
@@ -121,6 +181,8 @@ def _end(here: Node, tags: frozenset[str], scope: frozenset[str]) -> Node:
 def _close(here: Node, tag: str) -> Node:
     node: Node | None = here
     while node is not None and node.tag != tag:
+        if node.tag == "table" and tag in PARTS:
+            return here
         if node.tag in ("td", "th", "table") and tag not in ("td", "th", "tr", "tbody", "thead", "tfoot", "table", "body", "html"):
             return here
         node = node.parent

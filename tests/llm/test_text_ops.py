@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import struct
 import zlib
 from collections import defaultdict
@@ -222,3 +223,34 @@ def test_html_odd_pages(spark):
     got = sorted((r.page_id, r.text) for r in html_text.extract_pages(df).collect())
     assert [x for x in got if x[0] != 5] == [(1, ""), (2, ""), (3, "plain & text"), (3, "plain & text"), (4, "x"), (6, "")]
     assert html_text.extract_pages(df.limit(0)).count() == 0
+
+
+def test_html_tags_have_no_length_limit():
+    long = "A" * 6000
+    assert html_text.extract(f'<img src="data:{long}" alt="pic"> one')[1] == "pic one"
+    assert html_text.extract(f'<div style="display:none" data-x="{long}">no</div>two')[1] == "two"
+    many = " ".join(f'a{i}="x>{i}"' for i in range(900))
+    assert html_text.extract(f"<p {many} hidden>no</p><p {many}>three")[1] == "three"
+    assert html_text.extract("it <b title=it's>is</b> <a x='open>so</a> it goes")[1].split() == ["it", "is", "so", "it", "goes"]
+    for page in ('<a x=">" ' * 40_000, "<a x='" * 40_000, "<!" * 40_000 + "<!--", '<a "' * 40_000 + ">", "<p x=" * 40_000 + "end"):
+        html_text.extract(page)
+
+
+def test_html_tables_keep_all_content():
+    cases = {
+        "<table><td>a<td>b</table>c": "a | b\n\nc",
+        "<table><thead><th>A<th>B</thead><tr><td>c<td>d</table>": "A | B\nc | d",
+        "<table><form><tr><td>a</td></tr></form><tr><td>b</table>": "a\nb",
+        "<table>t<tr>u<td>v</table>w": "tu\n\nv\n\nw",
+        "<table><tr><td>a</td></tr><div>b<tr><td>c</table>d": "b\n\na\nc\n\nd",
+        "<table><colgroup><col><tr><td>a</table>": "a",
+        "<table><tr><td>a<table><td>b</table>c</td><td>d</table>": None,
+        "<table><p>a<table><td>b</table>c": None,
+        "<table><tr><td>a<caption>b</caption><tbody><td>c</table>d": None,
+        "<table><tr><b>a</b><td>b</td>c<a>d</a></tr><input type=submit value=e></table>f": None,
+    }
+    for page, want in cases.items():
+        found = html_text.extract(page)[1]
+        assert want is None or found == want, page
+        visible = re.sub(r"<input[^>]*value=(\w)>", r"\1", page)
+        assert sorted(re.sub(r"[\s|]", "", found)) == sorted(re.sub(r"<[^>]*>", "", visible)), page
