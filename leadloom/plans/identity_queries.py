@@ -152,7 +152,7 @@ def places(spark, d):
 def unit_scale(spark, d):
     i = F.col("doc_id")
     head = F.when(i % 3 == 0, "mil. k ... v tis. Kč\n").when(i % 3 == 1, "v tis.\nmil. kč\n").otherwise("")
-    return identity.unit_scale(T.table(spark, d, "documents").select(i.alias("id"), F.concat(head, F.lit("Tržby 1 200\nv tis."), F.substring("text", 1, 20)).alias("text")), "Tržby")
+    return identity.unit_scale(T.table(spark, d, "documents").select(i.alias("id"), F.concat(head, F.lit("Tržby 1 200\nv tis."), F.coalesce("text", F.lit(""))).alias("text")), "Tržby")
 
 
 @query("q84_revenue_windows", "SELECT doc_id AS id, 'trzby' AS label, 1200 + doc_id % 10 AS number FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'obrat', 77 FROM documents WHERE doc_id % 3 = 0")
