@@ -136,14 +136,24 @@ def revenue_windows(documents: DataFrame, width: int = 60) -> DataFrame:
     return rows.select("id", F.col("w.label").alias("label"), "pos", F.col("w.quote").alias("quote"), numbers.alias("numbers")).where(F.size("numbers") > 0)
 
 
+def places(name: Column, text: Column) -> Column:
+    """Positions, from 1, of all places of a name in a text; an empty name has the first one."""
+    between = F.split(text, F.concat(F.lit(r"\Q"), name, F.lit(r"\E")), -1)
+    start = F.array().cast("array<int>")
+    after = lambda found: F.coalesce(F.try_element_at(found, F.lit(-1)) + F.length(name), F.lit(1))
+    found = F.aggregate(F.slice(between, 1, F.size(between) - 1), start, lambda found, part: F.array_append(found, after(found) + F.length(part)))
+    return F.when(name == "", F.array(F.lit(1))).otherwise(found)
+
+
 def person_occurrences(pages: DataFrame, people: DataFrame, width: int = 120) -> DataFrame:
     """Each person's best place on the company's pages, with the address and phone beside the name.
 
     ``pages``: ico, page_ord, text; ``people``: ico, name.  A place scores 4 for an
-    address that names the person, 2 for a role word, 1 for a phone number; the first
-    best place wins.
+    address that names the person, 2 for a role word, 1 for a phone number; every place
+    of the name on a page counts, and the first best one wins.
     """
-    found = pages.join(people.select("ico", "name").distinct(), "ico").withColumn("at", F.position(X.fold("name"), X.fold("text"))).where("at > 0")
+    found = pages.join(people.select("ico", "name").distinct(), "ico").where(F.contains(X.fold("text"), X.fold("name")))
+    found = found.withColumn("at", F.explode(places(X.fold("name"), X.fold("text"))))
     near = F.substring("text", F.greatest(F.lit(1), F.col("at") - 20), F.length("name") + width + 20)
     rows = found.select("ico", "name", "page_ord", "at", near.alias("near"))
     surname = F.element_at(F.split(X.fold("name"), r"\s+"), -1)
