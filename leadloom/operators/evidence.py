@@ -45,24 +45,48 @@ def counts() -> Column:
     return ~(F.col("relevance").eqNullSafe(F.lit("unrelated")) | absent | argues_against(F.col("kind"), quote))
 
 
+def _longest(words: Column) -> Column:
+    return F.get(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 0)["w"]
+
+
+def _candidates(quoted: DataFrame, split: DataFrame) -> DataFrame:
+    """finding_id, snapshot_id of all documents that may contain a form of a quote.
+
+    ``split`` has snapshot_id and __word, the words of each document in small letters.
+    Only inner words of a form are whole words of a text that contains it; a form of one
+    or two words has none, so its longest word is looked for inside the texts' words.
+    """
+    forms = F.array_distinct(F.transform(X.quote_forms(F.col("quote")), lambda f: F.split(F.lower(X.normalise(f)), " ")))
+    long = F.transform(F.filter(forms, lambda w: F.size(w) > 2), lambda w: _longest(F.slice(w, 2, F.size(w) - 2)))
+    short = F.filter(F.transform(F.filter(forms, lambda w: F.size(w) < 3), _longest), lambda w: w != "")
+    found = quoted.select("finding_id", F.explode(F.array_distinct(long)).alias("__word")).join(split, "__word")
+    parts = quoted.select("finding_id", F.explode(F.array_distinct(short)).alias("__part"))
+    if not parts.isEmpty():
+        gram = F.substring("__part", 1, 3)
+        grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("__word") - n + 1)), lambda i: F.col("__word").substr(i, F.lit(n)))
+        words = split.select("__word").distinct().select("__word", F.explode(F.array_distinct(F.concat(grams(1), grams(2), grams(3)))).alias("__gram"))
+        asked = parts.select("__part").distinct().withColumn("__gram", gram)
+        holding = asked.join(words, "__gram").where(F.contains("__word", "__part")).select("__part", "__word")
+        found = found.unionByName(parts.join(holding, "__part").select("finding_id", "__word").distinct().join(split, "__word"))
+    return found.select("finding_id", "snapshot_id").distinct()
+
+
 def verify_quotes(findings: DataFrame, documents: DataFrame, on: list[str] | None = None) -> DataFrame:
     """Findings with state, matched form and snapshot_id.
 
     A finding without a quote is an inference; a quote that a candidate document contains
     is a fact, of the first such document; any other is a discard, under the first
     document.  ``on`` names the columns that findings and documents share (as a rule the
-    company).  Without it every document is a candidate; then the quote's longest inner
-    word is the join key, so texts and quotes never meet as a cross product.
+    company).  Without it every document is a candidate; then the longest inner word of
+    each form of the quote is the join key, and forms of one or two words go by the words
+    that contain their longest one, so texts and quotes never meet as a cross product.
     """
     quoted = findings.where("quote is not null and quote <> ''")
     if on:
         pairs = quoted.join(documents.select(*on, F.col("id").alias("snapshot_id"), "text"), on)
     else:
-        words = F.split(F.lower(X.normalise("quote")), " ")
-        key = F.element_at(F.array_sort(F.transform(F.slice(words, 2, F.greatest(F.lit(1), F.size(words) - 2)), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
-        asked = quoted.withColumn("__word", key)
         split = documents.select(F.col("id").alias("snapshot_id"), F.explode(F.array_distinct(F.split(F.lower(X.normalise("text")), " "))).alias("__word"))
-        near = asked.join(split, "__word").drop("__word")
+        near = quoted.join(_candidates(quoted, split), "finding_id")
         pairs = near.join(documents.select(F.col("id").alias("snapshot_id"), "text"), "snapshot_id")
     found = pairs.withColumn("matched", X.find_quote(F.col("quote"), F.col("text"))).groupBy("finding_id").agg(
         F.min(F.when(F.col("matched").isNotNull(), F.struct("snapshot_id", "matched"))).alias("hit"), F.min("snapshot_id").alias("first_id")
