@@ -5,7 +5,8 @@ letters in lower case (the word) and the word's beginnings of four to six letter
 Document labels become token labels in training: features are picked greedily that
 occur almost only in toxic documents and cover toxic documents not covered yet; a token
 of a toxic document that has a picked feature is labelled toxic.  The field has two
-states; chains are lines, cut after CHAIN tokens.  Forward-backward marginals give each
+states; each line is split into consecutive chains of CHAIN tokens, in training as in
+tagging.  Forward-backward marginals give each
 token's probability; a document's score is the calibrated chance that any token is toxic.
 """
 
@@ -208,13 +209,14 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 60, seed: int = 3, p
     plain: list[int] = []
     for text, y in zip(texts, labels):
         for line in text.split("\n"):
-            tokens = line.split()[:CHAIN]
-            names = [token_features(t) for t in tokens]
-            ids = [[vocabulary[f] for f in n if f in vocabulary] for n in names]
-            if any(ids):
-                chosen.append((ids, [int(bool(y) and not wanted.isdisjoint(n)) for n in names], 1.0))
-            elif tokens:
-                plain.append(len(tokens))
+            tokens = line.split()
+            for i in range(0, len(tokens), CHAIN):
+                names = [token_features(t) for t in tokens[i : i + CHAIN]]
+                ids = [[vocabulary[f] for f in n if f in vocabulary] for n in names]
+                if any(ids):
+                    chosen.append((ids, [int(bool(y) and not wanted.isdisjoint(n)) for n in names], 1.0))
+                else:
+                    plain.append(len(names))
     if not vocabulary or not chosen:
         return ToxicityModel({}, -8.0, -2.0, (-2.0, 0.0, 0.0), 1.0, 0.0)
     if len(chosen) > 3000:
