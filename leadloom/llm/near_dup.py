@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .shingles import MinHasher, band_keys, odd_sketch, shared, shingle_sets
 from .store import discard, materialize
@@ -191,6 +192,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gets its component's id and is kept only if no row of the component has an id.
     Other columns are not read, so clashing names don't matter.
     """
+    return labelled_rows(docs, id_col, text_col, width, percent).drop("set_key", "component_key")
+
+
+def labelled_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 80) -> DataFrame:
+    """:func:`near_duplicates` with set_key, which tells rows of one id apart, and component_key, which
+    tells components apart even where no row has an id; both are null for texts without words.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = materialize(signatures(rows, "id", "text", width), "signatures")
     classes = materialize(
@@ -248,7 +256,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     named = materialize(classes.select("key", "first_id").join(final, "key", "left").select("key", "first_id", F.coalesce("top", "key").alias("top")), "named")
     smallest = named.groupBy("top").agg(F.min("first_id").alias("component_id"))
-    of_class = named.join(smallest, "top").select("key", "component_id")
+    of_class = named.join(smallest, "top").select("key", "component_id", "top")
     placed = signed.select("id", "n", "key").join(of_class, "key", "left")
     component = F.coalesce("component_id", "id")
     return placed.select(
@@ -256,9 +264,57 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
         F.coalesce(F.col("id") == component, component.isNull()).alias("kept"),
+        F.col("key").alias("set_key"),
+        F.col("top").alias("component_key"),
     )
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without near copies: one row of each component.
+
+    That is the row of the smallest id, null ids last; of rows that share it the one of
+    the smallest set key, then of the smallest values of all columns.  Null, empty and
+    blank texts stay.  Only rows whose id is null or repeated are told apart by their text.
+    """
+    key = F.col(id_col).cast("long")
+    rows = materialize(labelled_rows(docs, id_col, text_col, width, percent).select("doc_id", "set_key", "component_key"), "labelled")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "set_key")
+    best = rows.where("set_key is not null").groupBy("component_key").agg(F.min(own).alias("best"))
+    pairs = rows.where("set_key is not null").groupBy("doc_id", "set_key", "component_key").count()
+    judged = materialize(pairs.join(best, "component_key").select("doc_id", "set_key", "count", (own == F.col("best")).alias("wins")), "judged")
+    many = rows.groupBy("doc_id").count().where("doc_id is null or count > 1").select("doc_id")
+    lost = judged.where("not wins").select("doc_id").where("doc_id is not null").distinct()
+    if many.isEmpty():
+        return docs.join(lost.withColumnRenamed("doc_id", "__id"), key == F.col("__id"), "left_anti")
+    # Rows of ids that occur once are judged by the id, all others by id and set key.
+    many = materialize(many, "many").withColumnRenamed("doc_id", "__id")
+    once = docs.join(lost.withColumnRenamed("doc_id", "__id").unionByName(many).distinct(), key.eqNullSafe(F.col("__id")), "left_anti")
+    told = docs.join(many, key.eqNullSafe(F.col("__id")), "left_semi")
+    marks = judged.join(many, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(F.col("doc_id").alias("__id"), F.col("set_key").alias("__key"), "count", "wins")
+    keyed = _with_key(told, text_col, width)
+    blank = keyed.where("__key is null").select(*docs.columns)
+    wins = keyed.join(marks.where("wins").withColumnRenamed("__key", "__want"), (F.col("__key") == F.col("__want")) & key.eqNullSafe(F.col("__id")))
+    alone = wins.where("count = 1").select(*docs.columns)
+    again = wins.where("count > 1").groupBy("__want", "__id").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+    return once.unionByName(blank).unionByName(alone).unionByName(again)
+
+
+def _with_key(docs: DataFrame, text_col: str, width: int) -> DataFrame:
+    """``docs`` with __key, the key of each text's shingle set, null without words."""
+    at = docs.columns.index(text_col)
+    names = [*docs.columns, "__key"]
+    schema = StructType([*docs.schema.fields, StructField("__key", BinaryType())])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 250):
+                part = batch.slice(low, 250)
+                keys = [set_key(s) if len(s) else None for s in shingle_sets(part.column(at).to_pylist(), width)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.binary())], names=names)
+
+    return docs.mapInArrow(add, schema)
+
+
 def _block_function(width: int, percent: int):
     def links(table: pa.Table) -> pa.Table:
         return _block(table, width, percent)
