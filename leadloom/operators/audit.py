@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from leadloom.operators.select import ORDERING
 
+#: Places that one task compares in the check of the order.
+BLOCK = 100_000
+
 CHECKS: dict[str, Callable[[dict[str, DataFrame]], DataFrame]] = {}
 
 
@@ -49,9 +52,12 @@ def channel(t):
 
 @check("monotone")
 def monotone(t):
-    keys = F.struct(*ORDERING, "ico")
-    before = F.lag(keys).over(Window.partitionBy(F.floor((F.col("place") - 1) / 100_000)).orderBy("place"))
-    return t["ranked"].withColumn("b", before).where(F.col("b") > keys).select("ico")
+    rows = t["ranked"].select("ico", "place", F.struct(*ORDERING, "ico").alias("k"), F.floor((F.col("place") - 1) / BLOCK).alias("block"))
+    within = rows.withColumn("b", F.lag("k").over(Window.partitionBy("block").orderBy("place"))).where("b > k").select("ico")
+    # Blocks that hold no row leave no gap: each block's first row meets the last one of the block before it.
+    edges = rows.groupBy("block").agg(F.min(F.struct("place", "k")).alias("first"), F.max(F.struct("place", "k")).alias("last"))
+    across = edges.withColumn("b", F.lag("last.k").over(Window.orderBy("block"))).where("b > first.k").select("first.k.ico")
+    return within.unionByName(across)
 
 
 @check("class")

@@ -619,12 +619,12 @@ def ledger(spark, d):
 
 @query("q61_audit", "SELECT * FROM (VALUES " + ", ".join(f"('{c}', CAST(0 AS BIGINT))" for c in audit.CHECKS) + ") t(\"check\", violations)")
 def audited(spark, d):
-    firms = qualify.with_verdict(T.company(spark, d), T.site(spark, d))
-    keep = firms.withColumn("reject_reason", F.when(F.col("ended").isNotNull(), "ended"))
+    firms = qualify.apply_brief(qualify.with_verdict(T.company(spark, d), T.site(spark, d)), T.site(spark, d), BRIEF)
+    keep = firms.withColumn("reject_reason", F.coalesce(F.when(F.col("ended").isNotNull(), "ended"), "reject_reason"))
     # Several checks read these; each is computed once.
     happened = every(spark, d).persist()
     why = events.reasons(happened, T.tender(spark, d)).persist()
-    rows = select.evaluate(qualify.nearest_workplace(firms.where("verdict <> 'exclude' and ended is null"), T.site(spark, d), BRIEF.origin), why).persist()
+    rows = select.evaluate(qualify.eligible(keep), why, evidence.richness(T.claim(spark, d))).persist()
     placed = select.ranked(rows).persist()
     picked = select.week(rows, happened, T.delivered(spark, d), groups(spark, d), 5).persist()
     found = {"ranked": placed, "judged": keep, "events": happened, "week": picked, "reasons": why}
