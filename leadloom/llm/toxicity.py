@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
@@ -164,10 +164,10 @@ def document_features(text: str) -> set[str]:
     return {f for w in set(text.split()) for f in token_features(w)}
 
 
-def pick_markers(texts: list[str], labels: np.ndarray, least: int = 3, precision: float = 0.9, most: int = 400) -> tuple[list[str], list[str]]:
+def pick_markers(texts: list[str], labels: np.ndarray, least: int = 3, precision: float = 0.9) -> tuple[list[str], list[str]]:
     """Features that tell toxic documents, picked by how many uncovered ones they cover.
 
-    Also further features that are more common in toxic documents than in others.
+    Also all further features that are as common in toxic documents as in all others together.
     """
     total: Counter[str] = Counter()
     positive: Counter[str] = Counter()
@@ -177,26 +177,37 @@ def pick_markers(texts: list[str], labels: np.ndarray, least: int = 3, precision
         if y:
             positive.update(own)
     total = Counter({f: n for f, n in total.items() if f in positive})
-    helpful = [f for f, n in positive.most_common(4000) if n >= 3 and n >= 0.5 * total[f]]
+    helpful = [f for f, n in positive.items() if n >= least and n >= 0.5 * total[f]]
     able = {f for f, n in positive.items() if n >= least and n >= precision * total[f]}
     open_docs = [document_features(t) & able for t, y in zip(texts, labels) if y]
+    covered = Counter(f for d in open_docs for f in d)
+    holders: dict[str, list[int]] = {}
+    for i, d in enumerate(open_docs):
+        for f in d:
+            holders.setdefault(f, []).append(i)
     markers: list[str] = []
-    while len(markers) < most:
-        covered = Counter(f for d in open_docs for f in d)
-        if not covered:
-            break
+    done = [False] * len(open_docs)
+    while covered:
         best = max(covered, key=lambda f: (covered[f], len(f), f))
         if covered[best] < least:
             break
         markers.append(best)
-        open_docs = [d for d in open_docs if best not in d]
+        for i in holders[best]:
+            if not done[i]:
+                done[i] = True
+                covered.subtract(open_docs[i])
+        covered = +covered
     # Further features as common as the picked ones, whose documents those have covered.
     common = 0.3 * max((positive[f] for f in markers), default=0)
-    return markers + sorted(f for f in able - set(markers) if positive[f] >= max(common, least) and positive[f] >= 0.97 * total[f]), helpful
+    return markers + sorted(f for f in able - set(markers) if positive[f] >= max(common, least) and positive[f] >= 0.97 * total[f]), sorted(helpful)
+
 
+def fit(texts: list[str], labels: np.ndarray, rounds: int = 60, penalty: float = 1e-4) -> ToxicityModel:
+    """Fit on all chains of a bounded sample; without both labels every score is 0.5 or what the calibration gives.
 
-def fit(texts: list[str], labels: np.ndarray, rounds: int = 60, seed: int = 3, penalty: float = 1e-4) -> ToxicityModel:
-    """Fit on a bounded sample; without both labels every score is 0.5 or what the calibration gives."""
+    Chains in which no token has a feature differ by length alone, so those of one
+    length are one chain with their number as its weight.
+    """
     unique = {}
     for t, y in zip(texts, labels):
         unique.setdefault(t, int(y))
@@ -204,9 +215,8 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 60, seed: int = 3, p
     markers, helpful = pick_markers(texts, labels)
     vocabulary = {f: i for i, f in enumerate(dict.fromkeys([*markers, *helpful]))}
     wanted = set(markers)
-    random = np.random.default_rng(seed)
     chosen: list[tuple[list[list[int]], list[int], float]] = []
-    plain: list[int] = []
+    plain: Counter[int] = Counter()
     for text, y in zip(texts, labels):
         for line in text.split("\n"):
             tokens = line.split()
@@ -216,18 +226,13 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 60, seed: int = 3, p
                 if any(ids):
                     chosen.append((ids, [int(bool(y) and not wanted.isdisjoint(n)) for n in names], 1.0))
                 else:
-                    plain.append(len(names))
+                    plain[len(names)] += 1
     if not vocabulary or not chosen:
         return ToxicityModel({}, -8.0, -2.0, (-2.0, 0.0, 0.0), 1.0, 0.0)
-    if len(chosen) > 3000:
-        chosen = [chosen[i] for i in random.choice(len(chosen), 3000, replace=False)]
-    if plain:
-        some = random.choice(plain, min(len(plain), len(chosen)), replace=False)
-        chosen += [([[]] * n, [0] * n, len(plain) / len(some)) for n in map(int, some)]
+    chosen += [([[]] * n, [0] * n, float(weight)) for n, weight in plain.items()]
     chosen.sort(key=lambda c: len(c[0]))
-    parts = [chosen[i : i + 512] for i in range(0, len(chosen), 512)]
     ready = []
-    for part in parts:
+    for part in (chosen[i : i + 512] for i in range(0, len(chosen), 512)):
         _, mask = _padded([[1.0] * len(c[0]) for c in part])
         y = np.zeros(mask.shape)
         y[mask] = [v for c in part for v in c[1]]
@@ -281,13 +286,24 @@ def _calibrate(value: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return a / scale, c - a * middle / scale
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, max_labelled: int = 1_500, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
-    """Fit on at most ``max_labelled`` labelled documents of each label, those of the smallest hash of the id."""
+def train(
+    docs: DataFrame, labels: DataFrame, usable: Column, max_labelled: int = 1_500, max_chars: int = 40_000_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"
+) -> ToxicityModel:
+    """Fit on a bounded sample of labelled documents, whole texts.
+
+    The bounds: at most ``max_labelled`` ids of each label, those of the smallest hash of
+    the id, and of their rows in that order as many as have ``max_chars`` characters
+    together.  Repeated rows of a document are one.  Ties of the hash go by the id.
+    """
     known = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).withColumn(id_col, F.col("k")).where(usable)
-    parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(max_labelled).select("k", "y") for y in (0, 1)]
+    parts = [known.where(F.col("y") == y).select("k", "y").distinct().orderBy(F.xxhash64("k"), "k").limit(max_labelled) for y in (0, 1)]
     chosen = parts[0].unionByName(parts[1])
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
-    table = docs.select(F.col(id_col).alias("k"), text).join(F.broadcast(chosen), "k").select("k", "y", "text").toPandas().sort_values(["k", "y", "text"])
+    found = docs.select(F.col(id_col).alias("k"), text).join(F.broadcast(chosen), "k").select("k", "y", "text").distinct()
+    # One task sees the rows of the chosen ids, sorted on disk if need be; the driver gets those within the bounds.
+    order = Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("k"), "k", "y", "text").rowsBetween(Window.unboundedPreceding, 0)
+    within = found.select("*", F.sum(F.length("text")).over(order).alias("chars"), F.count(F.lit(1)).over(order).alias("rows"))
+    table = within.where((F.col("chars") <= max_chars) & (F.col("rows") <= 2 * max_labelled)).select("k", "y", "text").toPandas().sort_values(["k", "y", "text"])
     return fit(table["text"].tolist(), table["y"].to_numpy())
 
 
