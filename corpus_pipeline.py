@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom.llm import line_dedup, near_dup, packing, quality, toxicity
-from leadloom.llm.queries import LINE_PAGES, LINE_RATIO, remainder, table, tokenizer_path
+from leadloom.llm.queries import LINE_RATIO, remainder, table, tokenizer_path
 from leadloom.llm.store import materialize
 
 
@@ -29,7 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their site's boilerplate lines; n_chars follows the text."""
-    cleaned = line_dedup.drop_boilerplate(docs, ratio=LINE_RATIO, least_pages=LINE_PAGES)
+    cleaned = line_dedup.drop_boilerplate(docs, ratio=LINE_RATIO)
     return cleaned.withColumn("n_chars", F.col("kept_chars")).select(*docs.columns)
 
 
