@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import chat, chunked_bpe, fingerprints, html_text, line_dedup, media, near_dup, packing, quality, toxicity
 
 #: The site-relative frequency above which a line is boilerplate, in ``op9`` and the pipeline.
-LINE_RATIO, LINE_PAGES = 0.02, 5
+LINE_RATIO = 0.05
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,7 +72,7 @@ def near(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = line_dedup.drop_boilerplate(table(spark, sf_dir, "documents"), ratio=LINE_RATIO, least_pages=LINE_PAGES)
+    cleaned = line_dedup.drop_boilerplate(table(spark, sf_dir, "documents"), ratio=LINE_RATIO)
     return cleaned.select("doc_id", "dropped_lines", "kept_chars", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
@@ -94,7 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
-def line_dedup_sql(source: str = "documents", ratio: float = LINE_RATIO, pages: int = LINE_PAGES) -> str:
+def line_dedup_sql(source: str = "documents", ratio: float = LINE_RATIO) -> str:
     """doc_id, text (cleaned), dropped_lines of the rows of ``source``."""
     return f"""
       SELECT d.doc_id, d.lang, d.source, d.n_chars,
@@ -108,7 +108,7 @@ def line_dedup_sql(source: str = "documents", ratio: float = LINE_RATIO, pages:
                 SELECT rowid_ AS rid, source, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM (SELECT *, row_number() OVER () AS rowid_ FROM {source}))
               WHERE line <> '') GROUP BY source, line) c
           JOIN (SELECT source, count(*) AS total FROM {source} GROUP BY source) t ON c.source IS NOT DISTINCT FROM t.source
-          WHERE c.pages / t.total > {ratio} AND c.pages >= {pages}) GROUP BY source) b
+          WHERE c.pages / t.total > {ratio} AND c.pages > 1) GROUP BY source) b
       ON d.source IS NOT DISTINCT FROM b.source"""
 
 

@@ -118,12 +118,34 @@ def test_line_dedup_equals_brute_force(spark):
             lines += ["", "boiler", "boiler"]
         rows.append((i if i % 50 else None, host, "\n".join(lines) if i % 37 else None))
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
-    got = line_dedup.drop_boilerplate(df, ratio=0.05, least_pages=3).collect()
-    assert sorted(((x.doc_id, x.text, x.dropped_lines) for x in got), key=str) == sorted(_brute_lines(rows, 0.05, 3), key=str)
+    got = line_dedup.drop_boilerplate(df, ratio=0.05).collect()
+    assert sorted(((x.doc_id, x.text, x.dropped_lines) for x in got), key=str) == sorted(_brute_lines(rows, 0.05, 2), key=str)
     assert sum(x.dropped_lines for x in got) > 20
     assert line_dedup.drop_boilerplate(df.limit(0)).count() == 0
 
 
+def test_line_dedup_by_shuffle_equals_brute_force(spark, monkeypatch):
+    """Beyond the bound of a broadcast: hosts with the most pages, hosts without any line to drop, null hosts and clashing names."""
+    r = random.Random(8)
+    rows = []
+    for i in range(900):
+        host = r.choice(["hot"] * 6 + ["plain"] * 3 + [f"h{r.randrange(60)}", None])
+        lines = [f"line {i} {r.random()}" for _ in range(3)] if host == "plain" else [f"{host} {r.randrange(30)}" for _ in range(r.randrange(0, 6))]
+        rows.append((i, host, "\n".join(lines)))
+    df = spark.createDataFrame([(*x, i) for i, x in enumerate(rows)], "doc_id long, source string, text string, kept_chars int")
+    for bound in (0, 60, 150):
+        monkeypatch.setattr(line_dedup, "BROADCAST_LINES", bound)
+        got = line_dedup.drop_boilerplate(df, ratio=0.05).collect()
+        assert sorted(((x.doc_id, x.text, x.dropped_lines) for x in got), key=str) == sorted(_brute_lines(rows, 0.05, 2), key=str)
+
+
+def test_lines_of_a_small_host_go(spark):
+    """Four pages that all have one line: no number of pages is needed but two."""
+    rows = [(i, "h", f"own {i}\nmenu") for i in range(4)] + [(9, "alone", "only\nonly")]
+    got = {x.doc_id: x.text for x in line_dedup.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert got == {0: "own 0", 1: "own 1", 2: "own 2", 3: "own 3", 9: "only\nonly"}
+
+
 def test_line_dedup_equals_sql(spark):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
