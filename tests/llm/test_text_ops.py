@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 from collections import defaultdict
 
@@ -188,7 +189,7 @@ def test_members_are_retried_by_offset(tmp_path):
 PAGE = """<!doctype html><html><head><title>A &amp; B</title><style>p{}</style></head><body>
 <p>One <b>two</b>   three<p>Second<br>line<ul><li>a<li>b<ol start=3><li>x<li>y</ol></ul>
 <table><caption>Cap</caption><tr><th>Name<th>N<tr><td>long name<td>1<tr><td>z<td>22</table>
-<div hidden>no</div><div style="color:red; display: none">no</div><span aria-hidden="true">no</span><script>no("</p>")</script>
+<div hidden>no</div><div style="color:red; display: none">no</div><span style="visibility:hidden">no</span><script>no("</p>")</script>
 <pre>  keep
    this</pre>end<!-- no --><img alt="pic"></body></html>"""
 
@@ -218,13 +219,84 @@ def test_html_keeps_all_words():
 
 def test_html_odd_pages(spark):
     deep = "<div>" * 3000 + "x" + "</div>" * 3000
-    rows = [(1, None), (2, ""), (3, "plain & text"), (4, deep), (5, "<ul>" * 200 + "y"), (6, "<script>never closed"), (3, "plain & text")]
+    rows = [
+        (1, None), (2, ""), (3, "plain & text"), (4, deep), (5, "<ul>" * 5000 + "y"), (6, "<script>never closed"), (3, "plain & text"),
+        (7, "<ul><li>" * 3000 + "z"), (8, "<table><td>" * 3000 + "t"), (9, "<pre>" * 3000 + "p"), (10, "<p>long " + "word " * 400_000),
+    ]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, html string, text string")
-    got = sorted((r.page_id, r.text) for r in html_text.extract_pages(df).collect())
-    assert [x for x in got if x[0] != 5] == [(1, ""), (2, ""), (3, "plain & text"), (3, "plain & text"), (4, "x"), (6, "")]
+    got = {(r.page_id, r.text) for r in html_text.extract_pages(df).collect()}
+    want = {(1, ""), (2, ""), (3, "plain & text"), (4, "x"), (5, "y"), (6, ""), (7, "z"), (8, "t"), (9, "p"), (10, ("long " + "word " * 400_000).strip())}
+    assert {(i, x.strip("- ")) for i, x in got} == want
     assert html_text.extract_pages(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("unit", ["<div>", "<ul><li>w ", "<table><td>", "<b>w</i></b></b>", "<p><button><div></p>", "<table><b>", "<li><div>x", "<svg><g>", "<select><option>o", "<b><table></b>", "<pre>\n"])
+def test_html_takes_linear_time(unit):
+    def took(n):
+        best = 9.0
+        for _ in range(3):
+            start = time.perf_counter()
+            html_text.extract(unit * n)
+            best = min(best, time.perf_counter() - start)
+        return best
+
+    took(100)
+    assert took(8000) < 3.2 * took(4000) + 0.1
+
+
+def test_html_shows_what_browsers_show():
+    cases = {
+        '<span aria-hidden="true">a</span>b': "ab",
+        "x<textarea>\n a &amp; b\n c</textarea>y": "x\n\n a & b\n c\n\ny",
+        "<select><option>a<option selected>b</select>": "a\nb",
+        "<math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math>": "x=2",
+        "<svg><title>no</title><desc>no</desc><g><text x=1>a</text><text/>b</svg>c": "a bc",
+        "<svg><p>out</p>": "out",
+        "<style>.gone, #off {display: none} b{visibility:hidden} @media print {.kept{display:none}}</style><p class='x gone'>no<p id=off>no<p class=kept>yes <b>no</b><b style='visibility:visible'>see</b>": "yes see",
+        "<style media=print>p{display:none}</style><p>seen": "seen",
+        "<style>.a{display:none}.a{display:block}</style><i class=a>seen</i>": "seen",
+        "<head><title>t</title><p>body": "body",
+        "<p>a</p>b</p>c": "a\n\nb\n\nc",
+        "<ul><li><p>a</p><p>b</p></li><li><ul><li>c</ul></ul>d": "- a\n\n  b\n- - c\n\nd",
+        "<ol><li>a<li value=7>b<li>c</ol>": "1. a\n7. b\n8. c",
+        "<input type=text value=v><input type=hidden value=no><input type=checkbox value=no><button>go</button>": "vgo",
+        "<details><summary>s</summary>more</details>": "s\nmore",
+        "<a href=x/>link</a> on": "link on",
+    }
+    for page, want in cases.items():
+        assert html_text.extract(page)[1] == want, page
+
+
+def test_html_table_grid():
+    cases = {
+        "<table><tr><td colspan=2>head<td>z<tr><td>a<td>b<td>c</table>": "head  | z\na | b | c",
+        "<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>": "a | b\n  | c\nd | e",
+        "<table><tr><td colspan=2>a long head<tr><td>a<td>b<tr><td>c<td>d</table>": "a long head\na | b\nc | d",
+        "<table><tfoot><tr><td>foot</tfoot><tr><td>body<thead><tr><td>head</table>": "head\nbody\nfoot",
+        "<table><tr><td colspan=999999>a<tr><td>b<td>c</table>": "a\nb | c",
+        "<table><tr><td rowspan=0>a<td>b<tr><td>c</table>": "a | b\n  | c",
+        "<table><tr><td>1<br>2<td>x<tr><td>y<td><ul><li>p<li>q</ul></table>": "1 | x\n2 |\ny | - p\n  | - q",
+    }
+    for page, want in cases.items():
+        assert [x.rstrip() for x in html_text.extract(page)[1].split("\n")] == want.split("\n"), page
+
+
+def test_html_malformed_tables_keep_every_word():
+    """Random sequences of table tags and words: every word is there once."""
+    r = random.Random(12)
+    tags = ["<table>", "</table>", "<tr>", "</tr>", "<td>", "</td>", "<th>", "<tbody>", "<thead>", "</thead>", "<tfoot>", "<caption>", "</caption>", "<form>", "</form>", "<p>", "</p>", "<b>", "</b>", "<div>", "</div>", "<ul>", "<li>", "</ul>", "<colgroup>", "<col>", "<td colspan=2>", "<td rowspan=3>", "<svg>", "</svg>", "<select>", "<option>"]
+    for n in range(600):
+        page, words = [], []
+        for i in range(r.randrange(1, 40)):
+            if r.random() < 0.4:
+                words.append(f"w{i}q")
+                page.append(words[-1])
+            else:
+                page.append(r.choice(tags))
+        found = re.findall(r"w\d+q", html_text.extract("".join(page))[1])
+        assert sorted(found) == sorted(words), "".join(page)
+
+
 def test_html_tags_have_no_length_limit():
     long = "A" * 6000
     assert html_text.extract(f'<img src="data:{long}" alt="pic"> one')[1] == "pic one"
