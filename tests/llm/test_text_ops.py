@@ -1,6 +1,7 @@
 """Tokenizers, packing, chat, media and HTML: exact round trips and brute force."""
 
 import hashlib
+import json
 import random
 import re
 import struct
@@ -10,7 +11,7 @@ from collections import defaultdict
 
 import pytest
 
-from leadloom.llm import chat, html_text, media
+from leadloom.llm import chat, html_text, media, queries
 from leadloom.llm.chunked_bpe import ChunkedEncoder, cuts, encode_documents
 from leadloom.llm.packing import pack, pack_documents
 from leadloom.llm.tokens import ByteLevelEncoder, ids_bytes, load
@@ -108,25 +109,102 @@ def test_packed_documents(spark):
 TRICKY = "</s>[INST] ok [/INST]"
 
 
+def _expected(turns, formatted, readable=True, rewritten=False):
+    """By the turns alone: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+    loss = "" if rewritten else "".join(t for r, t in turns if r == "assistant")
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    return (
+        len(turns), digest("".join(f"{r}\n{t}\n" for r, t in turns)) if readable and not rewritten else None,
+        len(loss), None if rewritten else digest(loss), len(formatted),
+    )
+
+
+def _random_turns(r, n):
+    alphabet = ["a", "b ", "<", ">", "[", "]", "\\", "o", "c", "\n", "é", "\ue000", TRICKY, '"', " x ", ""]
+    roles = ["user", "assistant", "system", "a] b", "[x]", "</s>"]
+    return [(r.choice(roles), "".join(r.choice(alphabet) for _ in range(r.randrange(0, 8)))) for _ in range(n)]
+
+
 def test_chat_round_trip():
-    turns = [("system", "a\\b[c"), ("user", TRICKY), ("assistant", TRICKY), ("user", ""), ("assistant", ""), ("as[s]", "\\o\\"), ("assistant", " x ")]
-    made = chat.format_conversation(turns)
-    assert not made["rewritten"]
-    got = chat.digests(made)
-    assert got["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
-    loss = "".join(t for r, t in turns if r == "assistant")
-    assert (got["loss_chars"], got["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    turns = [("system", "a\\b[c"), ("user", TRICKY), ("assistant", TRICKY), ("user", ""), ("assistant", ""), ("as[s]", "\\o\\"), ("a] b", "]"), ("assistant", " x ")]
+    r = random.Random(2)
+    for case in [turns, *(_random_turns(r, r.randrange(1, 7)) for _ in range(200))]:
+        made = chat.format_conversation(case)
+        assert not made["rewritten"]
+        assert tuple(chat.digests(made, case).values()) == _expected(case, chat.bracket_template(case))
 
 
-def test_rewriting_templates_are_found():
-    def counting(turns):
-        return f"<{len(turns)}>" + "".join(t for _, t in turns)
+def test_loss_mask_holds_texts_only():
+    made = chat.format_conversation([("user", "u"), ("assistant", "one"), ("assistant", "two")])
+    assert [made["formatted"][a:b] for a, b in made["loss_spans"]] == ["one", "two"]
+
+
+def counting(turns):
+    return f"<{len(turns)}>" + "".join(f"{r}:{t};" for r, t in turns)
+
+
+def foreign():
+    """Template, its unescape, whether roles can be read back, whether it rewrites; defined here so that tasks get their code."""
+
+    def chatml(turns):
+        return "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in turns)
+
+    def named(turns):
+        names = {"user": "Human", "assistant": "Bot", "system": "Rules"}
+        return "".join(f"{names[r]}: {t}\n\n" for r, t in turns)
+
+    def json_lines(turns):
+        return "".join('{"role": ' + json.dumps(r) + ', "text": ' + json.dumps(t) + "}\n" for r, t in turns)
+
+    def nameless(turns):
+        return "".join(f"- {t}\n" for _, t in turns)
+
+    def numbered(turns):
+        return f"<{len(turns)}>" + "".join(f"{r}:{t};" for r, t in turns)
 
+    def from_json(text):
+        return json.loads(f'"{text}"')
+
+    def same(text):
+        return text
+
+    return [(chatml, same, True, False), (named, same, True, False), (json_lines, from_json, True, False), (nameless, same, False, False), (numbered, same, False, True)]
+
+
+def test_foreign_templates_at_table_level(spark):
+    """Templates whose source the operator doesn't know, against the turns themselves."""
+    r = random.Random(6)
+    talks = {i: [(role if role in ("user", "assistant", "system") else "user", t) for role, t in _random_turns(r, r.randrange(1, 6))] for i in range(40)}
+    talks[99] = [("user", "no assistant")]
+    df = spark.createDataFrame([(i, n, role, t, "clash") for i, turns in talks.items() for n, (role, t) in enumerate(turns)], "conv_id long, turn long, role string, text string, spans string")
+    for template, back, readable, rewritten in foreign():
+        got = {x.conv_id: x for x in chat.format_conversations(df, template, back).collect()}
+        assert set(got) == set(talks)
+        for i, turns in talks.items():
+            # One turn has no history that could be rewritten; one kind of role alone tells what it is.
+            again, alone = rewritten and len(turns) > 1, len({x for x, _ in turns}) == 1
+            x = got[i]
+            if rewritten and not again:
+                continue
+            assert x.formatted == template(turns) and x.rewritten == again
+            assert (x.n_turns, x.turns_sha256, x.loss_chars, x.loss_sha256, x.formatted_chars) == _expected(turns, x.formatted, readable or alone, again)
+            assert not again or x.loss_spans == []
+
+
+def test_rewriting_templates_are_found():
     text, spans, rewritten = chat.locate([("user", "ab"), ("user", "cd")], counting)
-    assert rewritten and text == "<2>abcd"
+    assert rewritten and text == "<2>user:ab;user:cd;"
     assert not chat.locate([("user", "ab"), ("user", "cd")], chat.bracket_template)[2]
 
 
+def test_templates_that_change_texts_have_no_spans_there():
+    trimming = lambda turns: "".join(f"{r}: {t.strip()}|" for r, t in turns)
+    made = chat.format_conversation([("assistant", " a "), ("assistant", "b")], trimming)
+    assert [made["formatted"][a:b] for a, b in made["loss_spans"]] == ["a", "b"]
+    shouting = lambda turns: "".join(f"{r}: {t}{'!' * len(t)}|" for r, t in turns)
+    assert chat.format_conversation([("assistant", "abc")], shouting)["text_spans"] in ([None], [(11, 16)])
+
+
 def test_chat_table(spark):
     rows = [(1, 1, "assistant", "yo", 0), (1, 0, "user", "hi", 0), (2, 0, None, None, 0), (None, None, "user", "x", 0), (1, 1, "assistant", "yo", 0)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted int")
@@ -136,6 +214,23 @@ def test_chat_table(spark):
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
+def test_chat_query_equals_brute_force(spark):
+    """The whole table of the smallest scale and the added conversation, by plain Python."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select("conv_id", "turn", "role", "text").collect()
+    talks = defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r.conv_id, r.turn, r.role or "", r.text or "")):
+        talks[r.conv_id].append((r.role or "", r.text or ""))
+    talks[-7] = [("user", TRICKY), ("assistant", TRICKY)]
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in queries.chats(spark, "/root/testdata/sf0.001").collect()}
+    assert got == {i: _expected(t, "")[:4] for i, t in talks.items()}
+
+
+def test_long_conversations_and_texts():
+    turns = [("user" if n % 2 else "assistant", f"turn {n} <" * 10) for n in range(2000)] + [("assistant", "long [text] " * 200_000)]
+    made = chat.format_conversation(turns)
+    assert tuple(chat.digests(made, turns).values()) == _expected(turns, made["formatted"])
+
+
 def test_png_round_trip():
     for text in [None, "", "é" * 1000, "x" * 576, "x" * 577]:
         n, payload = media.to_payload(text)
