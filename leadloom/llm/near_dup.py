@@ -8,9 +8,13 @@
    below the threshold go, all others are confirmed on the full sets.
 3. Buckets whose classes are then not all in one component are compared in blocks of
    bounded size, class against class, but only across components, and only in the
-   first bucket that two classes share.  A block emits confirmed links only.
+   first bucket that two classes share: first on sketches alone, which tells what
+   classes have a likely partner in a block; only these fetch their texts and are
+   confirmed, in smaller blocks.  Neither step emits pairs that are no links.
 4. Components of the links are found by label propagation with pointer jumping.
 
+Joins on a bucket, a class or a component deal the rows of a hot one over many tasks.
+
 A pair of similarity 0.8 shares no band with probability (1 - 0.8**4)**24 = 3e-6, and
 the sketch filter stands five standard deviations below the threshold.
 """
@@ -27,18 +31,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
+from .joins import BROADCAST_KEYS, many_to_one, salts
 from .shingles import MinHasher, band_keys, odd_sketch, shared, shingle_sets
 from .store import discard, materialize
 
 SAMPLES, BANDS, ROWS, BITS = 128, 24, 4, 512
 #: Pairs whose estimated similarity is this far below the threshold are not confirmed.
 MARGIN = 0.2
-#: Classes in a block of step 3.
-BLOCK = 512
+#: Classes in a block whose texts are compared, and such blocks in one whose sketches are.
+BLOCK, SKETCHED = 512, 4
 #: Full sets that a task keeps while it compares two blocks.
 SET_BYTES = 32 << 20
-#: A table of so many keys at most (24 bytes each) is broadcast; a larger one is shuffled.
-BROADCAST_KEYS = 500_000
 
 _SIGNATURE = "id long, key binary, n long, bands array<long>, sketch array<long>"
 
@@ -159,20 +162,55 @@ def _block(table: pa.Table, width: int, percent: int) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
 
 
+def _likely(table: pa.Table, percent: int) -> pa.Table:
+    """The classes of one or two blocks that have a likely partner there in another component.
+
+    A class is named once for each pair of small blocks in which it has one.
+    """
+    table = table.combine_chunks()
+    n = table.num_rows
+    blocks, small = table["block"].to_numpy(), table["small"].to_numpy()
+    flat = lambda name: table[name].combine_chunks().flatten().to_numpy().reshape(n, -1)
+    bands, sketch = flat("bands"), flat("sketch").view(np.uint64)
+    component = table["label"].combine_chunks().dictionary_encode().indices.to_numpy()
+    low, high, bucket = table["low"][0].as_py(), table["high"][0].as_py(), table["bucket"][0].as_py()
+    left, right = np.flatnonzero(blocks == low), np.flatnonzero(blocks == high)
+    found = [np.zeros((0, 3), dtype=np.int64)]
+    for at in range(0, len(left), 32):
+        rows = left[at : at + 32]
+        x, y = np.nonzero((_estimates(sketch[rows], sketch[right]) >= percent / 100 - MARGIN) & (component[rows][:, None] != component[right][None, :]))
+        for part in range(0, len(x), 65_536):
+            i, j = rows[x[part : part + 65_536]], right[y[part : part + 65_536]]
+            equal = bands[i] == bands[j]
+            first = bands[i][np.arange(len(i)), equal.argmax(axis=1)] == bucket
+            i, j = i[first], j[first]
+            near, far = np.minimum(small[i], small[j]), np.maximum(small[i], small[j])
+            found.append(np.unique(np.concatenate([np.stack([near, far, i], axis=1), np.stack([near, far, j], axis=1)]), axis=0))
+    marked = np.unique(np.concatenate(found), axis=0)
+    return pa.table(
+        {
+            "bucket": pa.array(np.full(len(marked), bucket, dtype=np.int64)), "low": pa.array(marked[:, 0].astype(np.int32)), "high": pa.array(marked[:, 1].astype(np.int32)),
+            "block": pa.array(small[marked[:, 2]].astype(np.int32)), "key": table["key"].take(pa.array(marked[:, 2])).combine_chunks(),
+        }
+    )
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the smallest node that each node of ``edges`` (a, b) can reach."""
     both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    hubs = materialize(salts(both.groupBy("b").count(), "b"), "hubs")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("label")), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        moved = labels.join(near, "node").select("node", F.col("label").alias("before"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        step = materialize(moved.join(jump, "label", "left").select("node", "before", F.least("label", "far").alias("label")), "labels")
+        near = many_to_one(both, labels.select(F.col("node").alias("b"), "label"), "b", hubs, F.col("a")).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        moved = materialize(labels.join(near, "node").select("node", F.col("label").alias("before"), F.least("label", "near").alias("label")), "moved")
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far")).where("far < label")
+        jumped = many_to_one(moved, jump, "label", salts(moved.groupBy("label").count(), "label"), F.col("node"), "left")
+        step = materialize(jumped.select("node", "before", F.least("label", "far").alias("label")), "labels")
         done = step.where(F.col("before") != F.col("label")).isEmpty()
-        discard(labels)
+        discard(labels, moved)
         labels = step.select("node", "label")
         if done:
-            discard(both)
+            discard(both, hubs)
             return labels
 
 
@@ -202,62 +240,35 @@ def labelled_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = materialize(signatures(rows, "id", "text", width), "signatures")
     classes = materialize(
-        signed.where("key is not null").groupBy("key").agg(F.min("id").alias("first_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
+        signed.where("key is not null").groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
         "classes",
     )
     banded = classes.select("key", F.explode("bands").alias("bucket"))
     heads = materialize(banded.groupBy("bucket").agg(F.min("key").alias("head"), F.count("*").alias("size")).where("size > 1"), "heads")
-    shared_buckets = materialize(banded.join(heads, "bucket"), "buckets")
-    wanted = shared_buckets.select("key").distinct()
-    first = materialize(wanted.join(classes.select("key", "first_id"), "key"), "wanted")
+    hot = materialize(salts(heads, "bucket", "size"), "hot")
+    shared_buckets = materialize(many_to_one(banded, heads, "bucket", hot, F.col("key")), "buckets")
+    first = materialize(shared_buckets.select("key").distinct().join(classes.select("key", "first_id"), "key"), "wanted")
     texts = _texts(rows, first, width)
-    stars = shared_buckets.where(F.col("key") != F.col("head")).select(F.col("key").alias("a"), F.col("head").alias("b")).distinct()
-    sketches = classes.select("key", "sketch")
-    likely = (
-        stars.join(sketches.toDF("a", "sketch_a"), "a")
-        .join(sketches.toDF("b", "sketch_b"), "b")
-        .where(estimate(F.col("sketch_a"), F.col("sketch_b")) >= percent / 100 - MARGIN)
-        .select("a", "b")
-    )
-    pairs = likely.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
-    links = materialize(pairs.mapInArrow(partial(_confirm, width=width, percent=percent), "a binary, b binary"), "links")
+    links = _star_links(shared_buckets, classes, texts, width, percent)
     labels = components(links)
-
     members = shared_buckets.where("size > 2").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    # A bucket's largest component needs no comparison with itself: its classes meet only the others' blocks.
-    top = F.max(F.struct("n", "label"))
-    open_buckets = members.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(top.alias("top"), F.sum("n").alias("all")).where("all > top.n")
-    in_top = F.col("label") == F.col("top.label")
-    own = F.ceil(F.col("top.n") / BLOCK).cast("int")
-    rest = F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int")
-    hashed = F.xxhash64("key")
-    spread = materialize(
-        members.join(open_buckets, "bucket")
-        .withColumn("block", F.when(in_top, F.pmod(hashed, own)).otherwise(own + F.pmod(hashed, rest)).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.when(in_top, own).otherwise(F.lit(0)), own + rest - 1)))
-        .select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "key", "label"),
-        "blocks",
-    )
-    described = spread.join(classes.select("key", "bands", "sketch"), "key").join(texts, "key")
-    more = (
-        described.groupBy("bucket", "low", "high")
-        .applyInArrow(_block_function(width, percent), "a binary, b binary")
-        .distinct()
-    )
+    spread = materialize(dealt_blocks(members, hot), "blocks")
+    marked = materialize(likely_members(spread, classes, percent), "marked")
+    described = marked.join(classes.select("key", "bands", "sketch"), "key").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key")).join(texts, "key")
+    more = materialize(described.groupBy("bucket", "low", "high").applyInArrow(_block_function(width, percent), "a binary, b binary").distinct(), "more")
     merged = components(
         more.join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
     )
-    final = (
-        first.select("key")
-        .join(labels.toDF("key", "label"), "key", "left")
-        .select("key", F.coalesce("label", "key").alias("label"))
-        .join(merged.toDF("label", "top"), "label", "left")
-        .select("key", F.coalesce("top", "label").alias("top"))
-    )
-    named = materialize(classes.select("key", "first_id").join(final, "key", "left").select("key", "first_id", F.coalesce("top", "key").alias("top")), "named")
-    smallest = named.groupBy("top").agg(F.min("first_id").alias("component_id"))
-    of_class = named.join(smallest, "top").select("key", "component_id", "top")
-    placed = signed.select("id", "n", "key").join(of_class, "key", "left")
+    large = materialize(salts(labels.groupBy("label").count(), "label"), "large")
+    final = many_to_one(labels.withColumnRenamed("node", "key"), merged.toDF("label", "top"), "label", large, F.col("key"), "left").select("key", F.coalesce("top", "label").alias("top"))
+    # Classes without a link of step 2 may have one of step 3.
+    found = classes.select("key", "first_id", "copies").join(final, "key", "left").join(merged.toDF("key", "own"), "key", "left")
+    named = materialize(found.select("key", "first_id", "copies", F.coalesce("top", "own", "key").alias("top")), "named")
+    smallest = materialize(named.groupBy("top").agg(F.min("first_id").alias("component_id"), F.count("*").alias("size")), "smallest")
+    of_class = many_to_one(named, smallest.drop("size"), "top", salts(smallest, "top", "size"), F.col("key")).select("key", "component_id", "top", "copies")
+    of_class = materialize(of_class, "components")
+    placed = many_to_one(signed.select("id", "n", "key"), of_class.drop("copies"), "key", salts(of_class, "key", "copies"), F.col("id"), "left")
+    discard(classes, heads, hot, shared_buckets, first, texts, links, labels, spread, marked, more, merged, large, named, smallest)
     component = F.coalesce("component_id", "id")
     return placed.select(
         F.col("id").alias("doc_id"),
@@ -269,6 +280,54 @@ def labelled_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
+def _star_links(shared_buckets: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) of each class with its buckets' first classes."""
+    stars = materialize(shared_buckets.where(F.col("key") != F.col("head")).select(F.col("key").alias("a"), F.col("head").alias("b")).distinct(), "stars")
+    heavy = materialize(salts(stars.groupBy("b").count(), "b"), "heavy")
+    sketches = classes.select("key", "sketch")
+    likely = (
+        many_to_one(stars.join(sketches.toDF("a", "sketch_a"), "a"), sketches.toDF("b", "sketch_b"), "b", heavy, F.col("a"))
+        .where(estimate(F.col("sketch_a"), F.col("sketch_b")) >= percent / 100 - MARGIN)
+        .select("a", "b")
+    )
+    pairs = many_to_one(likely.join(texts.toDF("a", "text_a"), "a"), texts.toDF("b", "text_b"), "b", heavy, F.col("a")).select("a", "b", "text_a", "text_b")
+    links = materialize(pairs.mapInArrow(partial(_confirm, width=width, percent=percent), "a binary, b binary"), "links")
+    discard(stars, heavy)
+    return links
+
+
+def dealt_blocks(members: DataFrame, hot: DataFrame) -> DataFrame:
+    """The members (bucket, key, label) of buckets with several components, dealt to pairs of blocks.
+
+    A bucket's largest component needs no comparison with itself: its classes meet only
+    the others' blocks.  ``small`` is a member's block of BLOCK classes.
+    """
+    top = F.max(F.struct("n", "label"))
+    open_buckets = members.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(top.alias("top"), F.sum("n").alias("all")).where("all > top.n")
+    in_top = F.col("label") == F.col("top.label")
+    blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / size)).cast("int")
+    own, rest = blocks(F.col("top.n"), BLOCK), blocks(F.col("all") - F.col("top.n"), BLOCK)
+    wide, further = blocks(own, SKETCHED), blocks(rest, SKETCHED)
+    hashed = F.xxhash64("key")
+    return (
+        many_to_one(members.select("bucket", "key", "label"), open_buckets, "bucket", hot, F.col("key"))
+        .withColumn("small", F.when(in_top, F.pmod(hashed, own)).otherwise(own + F.pmod(hashed, rest)).cast("int"))
+        .withColumn("block", F.when(in_top, F.floor(F.col("small") / SKETCHED)).otherwise(wide + F.floor((F.col("small") - own) / SKETCHED)).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.when(in_top, wide).otherwise(F.lit(0)), wide + further - 1)))
+        .select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "small", "key", "label")
+    )
+
+
+def likely_members(spread: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """bucket, low, high, block, key: of :func:`dealt_blocks` the classes with a likely partner, by small blocks."""
+
+    def likely(table: pa.Table) -> pa.Table:
+        return _likely(table, percent)
+
+    described = spread.join(classes.select("key", "bands", "sketch"), "key")
+    return described.groupBy("bucket", "low", "high").applyInArrow(likely, "bucket long, low int, high int, block int, key binary")
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` without near copies: one row of each component.
 
