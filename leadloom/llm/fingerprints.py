@@ -34,7 +34,7 @@ def shingle_hashes(text: Column, words: int = WORDS) -> Column:
 
 def bottom_k(hashes: Column, k: int = K) -> Column:
     """The ``k`` smallest distinct hashes, ascending."""
-    return F.slice(F.array_sort(F.array_distinct(hashes)), 1, k)
+    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, k)
 
 
 def fingerprint(text: Column, k: int = K, words: int = WORDS) -> Column:
@@ -91,12 +91,13 @@ def range_of(value: Column, bounds: list[int]) -> Column:
     return F.greatest(chunk, F.lit(0)) * width + F.when(chunk >= 0, inside).otherwise(0)
 
 
-def with_next(rows: DataFrame, id_col: str, value: str) -> DataFrame:
-    """Rows with ``next``: ``value`` (a struct) of the next larger id, of the first after the last.
+def with_next(rows: DataFrame, id_col: str, value: str, made: dict[str, Column]) -> DataFrame:
+    """Rows with ``next``: ``value`` and ``made`` of the next larger id, of the first after the last.
 
     Rows are dealt once, by ranges of the id; each range also gets the first row of the
-    range after it.  Where an id repeats, its least value stands for it.  Rows without
-    an id have a null ``next`` and are dealt by their values.
+    range after it.  ``made`` are columns that are computed from a row where it was dealt
+    to, once for the row and the one before it.  Where an id repeats, its least value
+    stands for it.  Rows without an id have a null ``next`` and are dealt by their values.
     """
     spark = rows.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -112,9 +113,9 @@ def with_next(rows: DataFrame, id_col: str, value: str) -> DataFrame:
         homes = F.filter(F.array(home, guest), lambda h: h.isNotNull())
     else:
         homes = F.array(home)
-    dealt = rows.withColumn("__home", F.explode(homes)).select("*", "__home.range", "__home.guest").drop("__home").repartition(parts, "range")
+    dealt = rows.withColumn("__home", F.explode(homes)).select("*", "__home.range", "__home.guest").drop("__home").repartition(parts, "range").select("*", *[c.alias(n) for n, c in made.items()])
     order = f"(PARTITION BY range ORDER BY guest, {id_col}, {value})"
-    marked = dealt.withColumn("__lead", F.expr(f"CASE WHEN {id_col} <=> lag({id_col}) OVER {order} AND guest = lag(guest) OVER {order} THEN NULL ELSE {value} END"))
+    marked = dealt.withColumn("__lead", F.expr(f"CASE WHEN {id_col} <=> lag({id_col}) OVER {order} AND guest = lag(guest) OVER {order} THEN NULL ELSE struct({', '.join([value, *made])}) END"))
     found = marked.withColumn("next", F.expr(f"lead(__lead) IGNORE NULLS OVER {order}")).where("not guest")
     return found.withColumn("next", F.when(F.col(id_col).isNotNull(), F.col("next"))).drop("range", "guest", "__lead")
 
@@ -130,12 +131,11 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     null.  Other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    followed = with_next(rows, "doc_id", "text").withColumn("n_chars", F.length("text").cast("long"))
+    followed = with_next(rows, "doc_id", "text", {"f": fingerprint(F.col("text"), k, words), "n_chars": F.length("text").cast("long")})
     start = F.expr("substring(text, 1, cast(n_chars - n_chars div 2 as int))")
-    end = F.expr("substring(coalesce(next, ''), 1, cast(n_chars div 2 as int))")
-    made = followed.select("doc_id", "n_chars", "text", "next", F.concat(start, end).alias("edited"))
-    # The next text's hashes are made here again: they would take more to shuffle than its text.
-    made = made.select("*", fingerprint(F.col("text"), k, words).alias("f"), fingerprint(F.col("edited"), k, words).alias("edited_f"), fingerprint(F.col("next"), k, words).alias("next_f"))
+    end = F.expr("substring(coalesce(next.text, ''), 1, cast(n_chars div 2 as int))")
+    made = followed.select("doc_id", "n_chars", "f", F.concat(start, end).alias("edited"), F.col("next.f").alias("next_f"))
+    made = made.select("*", fingerprint(F.col("edited"), k, words).alias("edited_f"))
     return made.select(
         "doc_id",
         "n_chars",
@@ -143,7 +143,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         as_text(F.col("f")).alias("fingerprint"),
         as_text(F.col("edited_f")).alias("edited_fingerprint"),
         resemblance(F.col("f"), F.col("edited_f"), k).alias("near_edited"),
-        F.when(F.col("next").isNotNull(), resemblance(F.col("f"), F.col("next_f"), k)).alias("near_next"),
+        F.when(F.col("next_f").isNotNull(), resemblance(F.col("f"), F.col("next_f"), k)).alias("near_next"),
         distinct_shingles(F.col("f"), k).alias("shingles"),
         containment(F.col("f"), F.col("edited_f"), k).alias("contained_in_edited"),
     )

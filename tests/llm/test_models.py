@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from leadloom.llm import fingerprints, line_dedup, quality, queries, toxicity
@@ -181,6 +182,35 @@ def test_fingerprints(spark):
     assert fingerprints.fingerprint_edits(df.limit(0)).count() == 0
 
 
+def _print(text, k=fingerprints.K):
+    """The fingerprint string by plain Python: nested 64-bit hashes of the words and of each five of them."""
+    def chained(parts):
+        seed = 42
+        for x in parts:
+            seed = xxhash.xxh64_intdigest(x, seed)
+        return seed
+
+    words = [xxhash.xxh64_intdigest(w.encode(), 42) for w in re.split(r"[ \t\n\x0b\f\r]+", text.lower()) if w]
+    found = {chained([h.to_bytes(8, "little") for h in words[i : i + 5]]) for i in range(max(1, len(words) - 4))} if len(words) >= 5 else set()
+    if 0 < len(words) < 5:
+        return None  # shorter sequences are padded with nulls, which hash as nothing
+    signed = sorted(h - 2**64 if h >= 2**63 else h for h in found)[:k]
+    return "".join(f"{h & (2**64 - 1):016x}" for h in signed)
+
+
+def test_fingerprint_strings(spark):
+    r = random.Random(18)
+    texts = ["", "a b c d e", "A b  c d e\nf", *(" ".join(f"w{r.randrange(90)}é" for _ in range(r.randrange(5, 900))) for _ in range(30)), " ".join(f"v{i % 4099}" for i in range(200_000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("fingerprint", F.lit(1))
+    got = {x.doc_id: x for x in fingerprints.fingerprint_edits(df).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].fingerprint == _print(t)
+        following = texts[(i + 1) % len(texts)]
+        edited = t[: len(t) - len(t) // 2] + following[: len(t) // 2]
+        want = _print(edited)
+        assert want is None or got[i].edited_fingerprint == want
+
+
 def test_repeated_ids_have_one_next(spark):
     rows = [(1, "a b"), (1, "a b"), (2, "zz"), (2, "c d"), (3, "e f")]
     got = fingerprints.with_next(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()
