@@ -91,7 +91,7 @@ def range_of(value: Column, bounds: list[int]) -> Column:
     return F.greatest(chunk, F.lit(0)) * width + F.when(chunk >= 0, inside).otherwise(0)
 
 
-def with_next(rows: DataFrame, id_col: str, value: str, made: dict[str, Column]) -> DataFrame:
+def with_next(rows: DataFrame, id_col: str, value: str, made: dict[str, Column] | None = None) -> DataFrame:
     """Rows with ``next``: ``value`` and ``made`` of the next larger id, of the first after the last.
 
     Rows are dealt once, by ranges of the id; each range also gets the first row of the
@@ -99,7 +99,7 @@ def with_next(rows: DataFrame, id_col: str, value: str, made: dict[str, Column])
     to, once for the row and the one before it.  Where an id repeats, its least value
     stands for it.  Rows without an id have a null ``next`` and are dealt by their values.
     """
-    spark = rows.sparkSession
+    spark, made = rows.sparkSession, made or {}
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     bounds = range_bounds(rows, id_col, 3 * parts)  # more ranges than partitions: hashing spreads them evenly
     place = range_of(F.col(id_col), bounds)
