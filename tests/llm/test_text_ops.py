@@ -47,7 +47,40 @@ def test_chunks_equal_tokenizer(bits):
     for t in texts():
         ids = library.encode(t, add_special_tokens=False).ids
         assert own(t) == (ids_bytes(ids), library.decode(ids, skip_special_tokens=False)), t[:100]
-    assert bits > 6 or own.reused
+    assert own.apart and (bits > 6 or own.reused)
+
+
+@pytest.mark.parametrize("bits", [4, 6, 8])
+def test_chunks_of_tokens_that_span_white_space(bits):
+    """A vocabulary whose tokens begin with white space: windows between tokens agree, or grow until they do."""
+    path = paths.path("byte_bpe_50k.json")
+    own, library = ChunkedEncoder(path, bits=bits), load(path)
+    assert not own.apart
+    for t in texts(150, seed=bits):
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert own(t) == (ids_bytes(ids), library.decode(ids, skip_special_tokens=False)), t[:100]
+    assert own.reused
+
+
+def test_windows_that_disagree_grow_to_the_whole_text():
+    """Chunks that hold wrong ids at their ends are found by comparison, not trusted."""
+    path = paths.path("word_bpe_49k.json")
+    own, library = ChunkedEncoder(path, bits=6), load(path)
+    text = " ".join(f"word{i} other, thing{i % 7}." for i in range(200))
+    ids = library.encode(text, add_special_tokens=False).ids
+    want = (ids_bytes(ids), library.decode(ids, skip_special_tokens=False))
+    assert own(text) == want and not own.grown
+    own.words["other,"] = ids_bytes([1, 2, 3])
+    own.chunks.clear()
+    assert own(text) == want and own.grown
+
+
+def test_bpe_of_a_very_long_text():
+    path = paths.path("word_bpe_49k.json")
+    own, library = ChunkedEncoder(path), load(path)
+    text = " ".join(f"w{i % 977}é {i}." for i in range(120_000)) + "x" * 50_000
+    ids = library.encode(text, add_special_tokens=False).ids
+    assert own(text)[0] == ids_bytes(ids)
 
 
 def test_cuts_follow_content():
