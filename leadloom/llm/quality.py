@@ -119,11 +119,13 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, max_labelled: int
 
     ``usable`` (over ``id_col``) says which labelled rows may be learnt from.  Only the
     feature vectors of that bounded sample (about 180 bytes each) reach the driver.
+    Repeated labels are one; of documents that repeat an id the rows count each, within
+    the bound.  Ties of the hash go by the id, then the label, then the features.
     """
     known = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).withColumn(id_col, F.col("k"))
-    chosen = known.where(usable & F.col("y").isin(0, 1)).orderBy(F.xxhash64("k"), "k", "y").limit(max_labelled).select("k", "y")
-    sample = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "k").select("y", "text")
-    table = with_features(sample).toPandas()
+    chosen = known.where(usable & F.col("y").isin(0, 1)).select("k", "y").distinct().orderBy(F.xxhash64("k"), "k", "y").limit(max_labelled)
+    sample = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "k").select("k", "y", "text")
+    table = with_features(sample).orderBy(F.xxhash64("k"), "k", "y", "features").limit(max_labelled).toPandas()
     order = np.lexsort(np.array(table["features"].tolist()).T) if len(table) else []
     rows = np.array(table["features"].tolist()).reshape(-1, len(FEATURES))[order] if len(table) else np.zeros((0, len(FEATURES)))
     return fit_pairs(rows, table["y"].to_numpy()[order] if len(table) else np.zeros(0))

@@ -23,6 +23,41 @@ def test_quality_is_right_on_held_out_rows(spark):
     assert np.mean([r.predicted == labels[r.doc_id] for r in got]) > 0.95
 
 
+def test_pairwise_fit_is_the_optimum():
+    """At the weights found, the gradient of the pairs' logistic loss is nil, and a plain descent ends at the same order."""
+    r = np.random.default_rng(1)
+    rows = r.normal(size=(400, len(quality.FEATURES)))
+    labels = (rows[:, 0] + 0.5 * rows[:, 3] + r.normal(scale=0.7, size=400) > 0).astype(int)
+    model = quality.fit_pairs(rows, labels, pairs=4000, rounds=1500, penalty=1e-2)
+    x = np.clip((rows - rows.mean(axis=0)) / (rows.std(axis=0) + 1e-3), -6, 6)
+    again = np.random.default_rng(5)
+    good, bad = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
+    d = x[again.choice(good, 4000)] - x[again.choice(bad, 4000)]
+    gradient = lambda w: (1 / (1 + np.exp(d @ w))) @ d / 4000 - 1e-2 * w
+    assert np.abs(gradient(np.array(model.weights))).max() < 1e-3
+    w = np.zeros(x.shape[1])
+    for _ in range(6000):
+        w = w + 0.1 * gradient(w)
+    assert np.abs(w - model.weights).max() < 0.02
+    # The score of 0.5 is the quantile of the rejected share.
+    assert abs((model.score(rows) < 0.5).mean() - (labels == 0).mean()) <= 1 / 400 + 1e-9
+
+
+def test_quality_training_is_bounded_in_rows(spark):
+    docs = spark.createDataFrame([(i % 5, f"text {i} " * (i % 9)) for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)] * 3, "doc_id long, quality int")
+    seen = []
+    found = quality.fit_pairs
+    quality.fit_pairs = lambda rows, y: seen.append(len(rows)) or found(rows, y, pairs=50, rounds=5)
+    try:
+        quality.train(docs, labels, F.lit(True), max_labelled=30)
+        quality.train(docs.limit(0), labels, F.lit(True))
+        quality.train(docs, labels.limit(0), F.lit(True))
+    finally:
+        quality.fit_pairs = found
+    assert seen == [30, 0, 0]
+
+
 def test_toxicity_is_right_on_held_out_rows(spark):
     labels = {r.doc_id: r.toxic for r in queries.table(spark, SF, "labels").collect()}
     got = [r for r in queries.toxicity_scores(spark, SF).collect() if r.held_out and r.doc_id in labels]

@@ -290,6 +290,22 @@ def test_media_archives(spark, tmp_path):
     assert media.media_columns(df.limit(0), id_col="key").count() == 0
 
 
+def test_media_values_equal_a_plain_computation(spark):
+    long = "long é " * 200_000
+    rows = [(1, "a", 0), (2, None, 0), (3, "", 0), (4, "x" * 576, 0), (5, "é" * 289, 0), (6, long, 0), (1, "a", 0), (None, "n", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, feature int")
+    got = media.media_columns(df).collect()
+    assert len(got) == len(rows)
+    texts = {(i, len((t or "").encode())): t or "" for i, t, _ in rows}
+    for x in got:
+        data = texts[x.doc_id, x.n_bytes].encode()
+        payload = data + b"\xff" * (max(1, -(-len(data) // 576)) * 576 - len(data))
+        assert x.payload_bytes == len(payload) and x.payload_sha256 == hashlib.sha256(payload).hexdigest()
+        assert x.tail_crc32 == zlib.crc32(payload[-32:]) and x.media_bytes > 0 and len(x.media_sha256) == 64
+    same = {(x.payload_sha256, x.media_sha256, x.media_bytes, x.feature) for x in got}
+    assert len(same) == len({x.payload_sha256 for x in got})  # equal texts, equal values
+
+
 def test_members_are_retried_by_offset(tmp_path):
     import pyarrow as pa
     import pyarrow.fs as pafs
