@@ -27,6 +27,11 @@ def fold(x: Column | str) -> Column:
     return F.translate(F.lower(c(x)), MARKED, PLAIN)
 
 
+def fold_marks(x: Column | str) -> Column:
+    """:func:`fold` that also drops marks which stand as characters of their own, so lengths may change."""
+    return F.regexp_replace(fold(x), r"\p{M}+", "")
+
+
 def company_key(x: Column | str) -> Column:
     """Eight digits, padded with zeros; longer keys stay, all zeros and blanks are null."""
     text = F.trim(c(x).cast("string"))

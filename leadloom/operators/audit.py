@@ -67,7 +67,7 @@ def class_recomputes(t):
 
 @check("groups")
 def one_per_group(t):
-    return t["week"].where("owner is not null").groupBy("owner").agg(F.count("*").alias("n"), F.min("ico").alias("ico")).where("n > 1").select("ico")
+    return t["week"].where("owner is not null").groupBy("owner", "owner_date").agg(F.count("*").alias("n"), F.min("ico").alias("ico")).where("n > 1").select("ico")
 
 
 @check("distinct")

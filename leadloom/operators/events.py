@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadloom.functions import text as X
@@ -14,6 +14,7 @@ FAMILIES = {
     "subsidy_signed": "subsidy", "director_joined": "registry", "director_departed": "registry", "owner_joined": "registry",
     "owner_departed": "registry", "tender_open": "tender", "management_vacancy": "growth",
 }
+#: Family that makes each reason class, days of a founding and of a re-entry (fixed values).
 CLASS_FAMILIES = {"A": "subsidy", "B": "registry", "C": "tender", "D": "growth"}
 FOUNDING_DAYS, REENTRY_DAYS = 400, 3
 
@@ -34,12 +35,12 @@ def mass_guarded(moves: DataFrame, companies: DataFrame) -> DataFrame:
     A list is a company's moves of one kind, before any window.  Several people all on
     one date: dropped; a single date within 400 days after the founding: dropped.
     """
-    lists = moves.groupBy("ico", "kind").agg(F.count("*").alias("people"), F.count_distinct("date").alias("dates"), F.min("date").alias("only"))
-    founded = companies.select("ico", "founded")
-    kept = lists.join(founded, "ico", "left").where(
-        ~((F.col("people") > 1) & (F.col("dates") == 1)) & ~((F.col("dates") == 1) & F.coalesce(F.datediff("only", "founded") < FOUNDING_DAYS, F.lit(False)))
-    )
-    return moves.join(kept.select("ico", "kind"), ["ico", "kind"], "left_semi")
+    own = Window.partitionBy("ico", "kind")
+    lists = moves.select("*", F.count("*").over(own).alias("__people"), F.min("date").over(own).alias("__only"), F.max("date").over(own).alias("__last"))
+    joined = lists.join(companies.select("ico", F.col("founded").alias("__founded")), "ico", "left")
+    one_day = F.coalesce(F.col("__only") == F.col("__last"), F.lit(False))
+    early = F.coalesce(F.datediff("__only", "__founded") < FOUNDING_DAYS, F.lit(False))
+    return joined.where(~(one_day & ((F.col("__people") > 1) | early))).select(*moves.columns)
 
 
 def registry_events(moves: DataFrame, companies: DataFrame, as_of: str, window: int) -> DataFrame:
@@ -51,19 +52,19 @@ def drop_reentries(events: DataFrame, current: DataFrame | None = None, days: in
 
     All events of a paired (name, date) of the company go, whatever their role.  Then
     departures go of people who are still listed in that role (``current``: ico, role,
-    name).  Pairs are found by equal company and name, with the date as a band.
+    name).  One sort by company and name serves both frames; nothing is joined with itself.
     """
-    arrived = events.where(F.endswith("kind", F.lit("_joined"))).select("ico", F.col("name"), F.col("date").alias("d1"))
-    left = events.where(F.endswith("kind", F.lit("_departed"))).select("ico", "name", F.col("date").alias("d2"))
-    pairs = arrived.join(left, ["ico", "name"]).where(F.abs(F.datediff("d1", "d2")) <= days)
-    gone = pairs.select("ico", "name", F.explode(F.array("d1", "d2")).alias("date")).distinct()
-    out = events.join(gone, ["ico", "name", "date"], "left_anti")
+    person = Window.partitionBy("ico", "name").orderBy("__day")
+    arrived, left = F.endswith("kind", F.lit("_joined")), F.endswith("kind", F.lit("_departed"))
+    near = lambda what: F.count_if(what).over(person.rangeBetween(-days, days)) > 0
+    rows = events.withColumn("__day", F.datediff("date", F.lit("1970-01-01").cast("date")))
+    rows = rows.withColumn("__paired", ((arrived & near(left)) | (left & near(arrived))) & F.col("name").isNotNull() & F.col("date").isNotNull())
+    rows = rows.withColumn("__gone", F.bool_or("__paired").over(person.rangeBetween(0, 0))).where("not __gone")
     if current is None:
-        return out
-    listed = current.select("ico", "role", F.lower("name").alias("low")).distinct()
-    out = out.withColumn("role", F.split("kind", "_")[0]).withColumn("low", F.lower("name"))
-    stays = out.where(F.endswith("kind", F.lit("_departed"))).join(listed, ["ico", "role", "low"], "left_semi").select("event_id")
-    return out.join(stays, "event_id", "left_anti").drop("role", "low")
+        return rows.select(*events.columns)
+    listed = current.select("ico", F.col("role").alias("__role"), F.lower("name").alias("__low")).distinct().withColumn("__listed", F.lit(True))
+    rows = rows.withColumn("__role", F.split("kind", "_")[0]).withColumn("__low", F.lower("name")).join(listed, ["ico", "__role", "__low"], "left")
+    return rows.where(~(left & F.col("__listed").isNotNull())).select(*events.columns)
 
 
 def vacancy_record(history: DataFrame, current: DataFrame, floor: str) -> DataFrame:
@@ -74,17 +75,21 @@ def vacancy_record(history: DataFrame, current: DataFrame, floor: str) -> DataFr
     return best.select("ico", "date", "occupation", "b.title", "b.origin")
 
 
+def confidence(months: str) -> Column:
+    return F.when(F.col(months) >= 12, "high").when(F.col(months) >= 6, "low")
+
+
 def observation_depth(record: DataFrame) -> DataFrame:
     """months observed per company and the confidence that gives (null: too few)."""
     months = record.groupBy("ico").agg(F.count_distinct(F.trunc("date", "month")).alias("months"))
-    return months.withColumn("confidence", F.when(F.col("months") >= 12, "high").when(F.col("months") >= 6, "low"))
+    return months.withColumn("confidence", confidence("months"))
 
 
 def vacancy_events(record: DataFrame, groups: Sequence[str], as_of: str, window: int) -> DataFrame:
     """Postings of the wanted groups in the window, of companies observed long enough."""
-    depth = observation_depth(record).where("confidence is not null")
-    fresh = record.where(F.col("occupation").isin(*groups) & in_window(F.col("date"), as_of, window))
-    return fresh.join(depth, "ico")
+    months = F.size(F.collect_set(F.trunc("date", "month")).over(Window.partitionBy("ico"))).cast("long")
+    seen = record.withColumn("months", months).where(F.col("occupation").isin(*groups) & in_window(F.col("date"), as_of, window))
+    return seen.withColumn("confidence", confidence("months")).where("confidence is not null")
 
 
 def tender_events(tenders: DataFrame, as_of: str) -> DataFrame:

@@ -143,15 +143,31 @@ def richness(claims: DataFrame) -> DataFrame:
     return joined.select("ico", "facts", "inferences", "signal_facts", (F.col("total") - F.col("kept")).alias("not_kept"), "inadmissible")
 
 
-def mode_verdict(findings: DataFrame) -> DataFrame:
-    """ico, mode, basis from claims' sides: both named sides are a verdict of their own."""
-    sides = findings.groupBy("ico").agg(F.collect_set("side").alias("s"))
-    has = lambda x: F.array_contains("s", x)
-    mode = (
-        F.when(has("made_to_order") & has("serial"), "mixed").when(has("made_to_order") & has("small_batch"), "made_to_order_small_batch")
-        .when(has("made_to_order"), "made_to_order").when(has("small_batch"), "small_batch").otherwise("serial")
+def mode_verdict(findings: DataFrame, companies: DataFrame | None = None, allow_mixed: bool = True, source_rank: dict[str, int] | None = None) -> DataFrame:
+    """ico, mode, basis: how a company says it produces, or what its texts only suggest.
+
+    ``findings``: ico, side, kind (direct or structural), hits, and source where sides of
+    unequal sources are weighed.  One directly named side is the mode; two, or one that
+    is itself "mixed", are mixed (or, without ``allow_mixed``, the side of the best ranked
+    source, small batches last).  Without a direct statement the side of more hits is
+    only leaned to, a tie tells nothing.  ``companies`` adds those without findings.
+    """
+    direct, structural = F.col("kind") == "direct", F.col("kind") == "structural"
+    hits = lambda side: F.coalesce(F.sum(F.when(F.col("side") == side, F.col("hits"))), F.lit(0))
+    rank = F.coalesce(F.create_map(*[F.lit(x) for p in (source_rank or {"": 0}).items() for x in p])[F.col("source")], F.lit(0)) if "source" in findings.columns else F.lit(0)
+    view = findings.groupBy("ico").agg(
+        F.collect_set(F.when(direct & F.col("side").isin("made_to_order", "serial", "small_batch"), F.col("side"))).alias("stated"), F.coalesce(F.bool_or(direct & (F.col("side") == "mixed")), F.lit(False)).alias("said_mixed"),
+        F.max(F.when(direct, F.struct(rank.alias("rank"), (F.col("side") != "small_batch").alias("whole"), "side")))["side"].alias("best"), hits("made_to_order").alias("order"), hits("serial").alias("serial"),
     )
-    return sides.select("ico", mode.alias("mode"))
+    many = F.size("stated") > 1
+    mixed = (F.col("said_mixed") | many) if allow_mixed else F.lit(False)
+    leaning = F.when(F.col("order") == F.col("serial"), "unknown").when(F.col("order") > F.col("serial"), "leaning_made_to_order").otherwise("leaning_serial")
+    mode = F.when(mixed, "mixed").when(many, F.col("best")).when(F.size("stated") == 1, F.get("stated", 0)).otherwise(leaning)
+    basis = F.when(mixed | (F.size("stated") > 0), "direct").when(F.col("order") == F.col("serial"), "structural_tie").otherwise("structural")
+    told = view.select("ico", mode.alias("mode"), basis.alias("basis"))
+    if companies is None:
+        return told
+    return companies.select("ico").join(told, "ico", "left").withColumn("mode", F.coalesce("mode", F.lit("unknown")))
 
 
 def document_budget(documents: DataFrame, priority: dict[str, int], per_kind: int = 3, total: int = 12, reserved: str = "vacancy", chars: int = 16_000) -> DataFrame:

@@ -10,21 +10,26 @@ from pyspark.sql import functions as F
 from leadloom.functions import text as X
 
 #: Legal-form words that say nothing about which company it is (fixed values).
-LEGAL_WORDS = ("a", "s", "as", "sro", "spol", "s r o", "ks", "vos", "statni", "podnik", "druzstvo", "v", "likvidaci")
+LEGAL_WORDS = ("a", "s", "as", "sro", "spol", "r", "o", "ks", "vos", "statni", "podnik", "druzstvo", "v", "likvidaci")
 TITLES = r"(?iU)\b(?:ing|mgr|bc|mudr|judr|phdr|rndr|doc|prof|dr|csc|mba|ph\s?d|llm|dis)\b\.?"
 
 
+def name_words(name: Column) -> Column:
+    """The words of a company name without marks, signs and legal words."""
+    words = F.split(F.trim(F.regexp_replace(X.fold_marks(name), r"[^a-z0-9]+", " ")), " ")
+    return F.filter(words, lambda w: (w != "") & ~w.isin(*LEGAL_WORDS))
+
+
 def registry_key(name: Column) -> Column:
-    """A company name without marks, signs and legal words, one blank between words."""
-    words = F.split(F.trim(F.regexp_replace(X.fold(name), r"[^a-z0-9]+", " ")), " ")
-    return F.array_join(F.filter(words, lambda w: ~w.isin(*LEGAL_WORDS)), " ")
+    """What two registries' spellings of a company name have in common: its words, joined."""
+    return F.array_join(name_words(name), "")
 
 
 def domain_stems(name: Column) -> Column:
     """Host names a company may have: its words joined, joined by dashes, the first, the initials."""
-    words = F.split(registry_key(name), " ")
+    words = name_words(name)
     initials = F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "")
-    stems = F.array(F.array_join(words, ""), F.array_join(words, "-"), words[0], F.when(F.size(words) >= 3, initials))
+    stems = F.array(F.array_join(words, ""), F.array_join(words, "-"), F.get(words, 0), F.when(F.size(words) >= 3, initials))
     return F.array_distinct(F.filter(stems, lambda x: x.isNotNull() & (F.length(x) >= 3)))
 
 
@@ -118,6 +123,7 @@ def registrant_block(rows: DataFrame, text_col: str = "text") -> DataFrame:
 def registrant_tier(answers: DataFrame, companies: DataFrame, people: DataFrame) -> DataFrame:
     """Why a registrant is the company: a person of the board, the same key, a part of it, the postcode.
 
+    A part counts with the same postcode, or where the company's own key is too long to meet by chance.
     ``answers``: ico, domain, pos, registrant, postcode.  The first tier wins, then the
     earlier candidate domain.
     """
@@ -126,10 +132,11 @@ def registrant_tier(answers: DataFrame, companies: DataFrame, people: DataFrame)
     rows = answers.withColumn("person", X.fold("registrant")).join(board, ["ico", "person"], "left").join(companies.select("ico", "name", F.col("postcode").alias("own_postcode")), "ico")
     rows = rows.withColumn("key", key).withColumn("own", own).withColumn("same_post", F.coalesce(F.col("postcode") == F.col("own_postcode"), F.lit(False)))
     part = (F.contains("key", F.col("own")) | F.contains("own", F.col("key"))) & (F.length("key") > 0)
+    exact = (F.col("key") == F.col("own")) & (F.length("key") > 0)
     tier = (
         F.when(F.col("on_board"), F.struct(F.lit(0).alias("rank"), F.lit("person").alias("tier")))
-        .when(F.col("key") == F.col("own"), F.struct(F.lit(1).alias("rank"), F.lit("name").alias("tier")))
-        .when(part & (F.col("same_post") | (F.length("key") >= 7)), F.struct(F.lit(2).alias("rank"), F.lit("partial").alias("tier")))
+        .when(exact, F.struct(F.lit(1).alias("rank"), F.lit("name").alias("tier")))
+        .when(part & (F.col("same_post") | (F.length("own") >= 7)), F.struct(F.lit(2).alias("rank"), F.lit("partial").alias("tier")))
         .when(F.col("same_post"), F.struct(F.lit(3).alias("rank"), F.lit("postcode").alias("tier")))
     )
     best = rows.withColumn("t", tier).where("t is not null").groupBy("ico").agg(F.min(F.struct("t.rank", "pos", "domain", "t.tier")).alias("b"))

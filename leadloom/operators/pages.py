@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ KINDS = (
     ("production", r"(?i)vyrob|product"), ("quality", r"(?i)kvalit|certifik|quality|iso"), ("news", r"(?i)aktualit|news|blog"),
 )
 BUDGET = {"contact": 5, "about": 2, "career": 2, "production": 3, "quality": 2, "news": 1, "other": 3}
+#: Addresses in texts (a fixed value), and numbers.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 PHONE = r"\+?\d[\d \-/]{7,14}\d"
 FREEMAIL = ("seznam.cz", "gmail.com", "email.cz", "centrum.cz", "volny.cz", "post.cz", "outlook.com", "hotmail.com")
@@ -79,6 +82,16 @@ def desk_rank(address: Column) -> Column:
     return F.when(local.rlike(r"^(obchod|sales|prodej)"), 0).when(local.rlike(r"^(info|office|kontakt|mail)"), 1).when(local.rlike(r"^(faktur|efaktur|ucto|billing|gdpr|hr)"), 3).otherwise(2)
 
 
+#: Runs of digits that may be a company's number, plain and as a VAT number.
+NUMBER_RUN, VAT_RUN = r"(?U)(\d[\d\s.]{6,12}\d)", r"(?Ui)CZ\s?(\d[\d\s]{6,11})"
+
+
+def shows_number(text: Column, ico: Column) -> Column:
+    """Whether one run of digits of a text is the company's number, with or without its leading zeros, or its VAT number."""
+    runs = F.concat(F.regexp_extract_all(text, F.lit(NUMBER_RUN), F.lit(1)), F.regexp_extract_all(text, F.lit(VAT_RUN), F.lit(1)))
+    return F.exists(F.transform(runs, lambda r: F.regexp_replace(r, r"(?U)\D", "")), lambda r: (r == ico) | (r == F.ltrim(ico, F.lit("0"))))
+
+
 def page_proof(pages: DataFrame, companies: DataFrame) -> DataFrame:
     """Per company and site the best proof that the site is the company's.
 
@@ -86,14 +99,14 @@ def page_proof(pages: DataFrame, companies: DataFrame) -> DataFrame:
     the earliest such page; else a person (if the town is on the site), else the address,
     else name and town or the name alone on the first page that has it.
     """
-    body, digits = X.fold("text"), F.regexp_replace("text", r"[^\d]", "")
+    body = X.fold("text")
     rows = pages.join(companies.select("ico", "name", "city", "person", "street"), "ico")
     has = lambda col, least=3: (F.length(col) >= least) & F.contains(body, X.fold(col))
     rows = rows.select(
-        "ico", "page_ord", F.contains(digits, F.col("ico")).alias("number"), has("person").alias("person"), has("street").alias("street"), has("name", 4).alias("name"), has("city").alias("city")
+        "ico", "page_ord", shows_number(F.col("text"), F.col("ico")).alias("number"), has("person").alias("person"), has("street").alias("street"), has("name", 4).alias("name"), has("city").alias("city")
     )
-    town = rows.groupBy("ico").agg(F.bool_or("city").alias("town"))
-    graded = rows.join(town, "ico").select("ico", "page_ord", F.inline(F.filter(F.array(
+    town = F.bool_or("city").over(Window.partitionBy("ico")).alias("town")
+    graded = rows.select("*", town).select("ico", "page_ord", F.inline(F.filter(F.array(
         F.when(F.col("number"), F.struct(F.lit(0).alias("grade"), F.lit("ico").alias("evidence"))),
         F.when(F.col("person") & F.col("town"), F.struct(F.lit(1).alias("grade"), F.lit("person").alias("evidence"))),
         F.when(F.col("street"), F.struct(F.lit(2).alias("grade"), F.lit("address").alias("evidence"))),
@@ -112,9 +125,9 @@ def standards(documents: DataFrame) -> DataFrame:
     return first.select("id", "standard", F.col("b.pos").alias("pos"))
 
 
-def mode_findings(documents: DataFrame, patterns: dict[str, str]) -> DataFrame:
-    """id, side, hits: matches of each side's pattern in each text."""
-    counts = [F.struct(F.lit(side).alias("side"), F.regexp_count("text", F.lit(p)).alias("hits")) for side, p in patterns.items()]
+def mode_findings(documents: DataFrame, patterns: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """id, side, kind, hits: matches of each (side, kind, pattern) in each text; kinds are direct and structural."""
+    counts = [F.struct(F.lit(side).alias("side"), F.lit(kind).alias("kind"), F.regexp_count("text", F.lit(p)).alias("hits")) for side, kind, p in patterns]
     return documents.select("id", F.inline(F.array(*counts))).where("hits > 0")
 
 
@@ -145,25 +158,39 @@ def places(name: Column, text: Column) -> Column:
     return F.when(name == "", F.array(F.lit(1))).otherwise(found)
 
 
+#: Words that name a role on the board or in management.
+ROLE = r"(?iU)jednatel|ředitel|majitel|vedoucí|manager|director|ceo"
+
+
 def person_occurrences(pages: DataFrame, people: DataFrame, width: int = 120) -> DataFrame:
     """Each person's best place on the company's pages, with the address and phone beside the name.
 
-    ``pages``: ico, page_ord, text; ``people``: ico, name.  A place scores 4 for an
-    address that names the person, 2 for a role word, 1 for a phone number; every place
-    of the name on a page counts, and the first best one wins.
+    ``pages``: ico, page_ord, text; ``people``: ico, name.  A place is one of the surname;
+    what belongs to it is read forward from there.  It scores 4 if the given name stands
+    before it, 3 for an address that names the person, 2 for a role word, 1 for a phone
+    number; a place with neither address, role nor phone doesn't count, of equal ones the
+    first wins.  An address of the bare surname is ``ambiguous`` where colleagues share
+    the surname, and scores nothing; of two people with one name (``born`` tells them
+    apart) only places with the given name count.
     """
-    found = pages.join(people.select("ico", "name").distinct(), "ico").where(F.contains(X.fold("text"), X.fold("name")))
-    found = found.withColumn("at", F.explode(places(X.fold("name"), X.fold("text"))))
-    near = F.substring("text", F.greatest(F.lit(1), F.col("at") - 20), F.length("name") + width + 20)
-    rows = found.select("ico", "name", "page_ord", "at", near.alias("near"))
-    surname = F.element_at(F.split(X.fold("name"), r"\s+"), -1)
-    mail = F.filter(F.regexp_extract_all("near", F.lit(f"({EMAIL})"), F.lit(1)), lambda m: F.contains(F.lower(m), surname))
-    phone = F.regexp_extract_all("near", F.lit(f"({PHONE})"), F.lit(1))
-    role = F.col("near").rlike(r"(?iU)jednatel|ředitel|majitel|vedoucí|manager|director|ceo")
-    rows = rows.withColumn("email", F.get(mail, 0)).withColumn("phone", F.get(phone, 0)).withColumn("role", role)
-    score = F.when(F.col("email").isNotNull(), 4).otherwise(0) + F.when(F.col("role"), 2).otherwise(0) + F.when(F.col("phone").isNotNull(), 1).otherwise(0)
-    best = rows.groupBy("ico", "name").agg(F.max(F.struct(score.alias("score"), (-F.col("page_ord")).alias("o"), (-F.col("at")).alias("a"), "email", "phone")).alias("b"))
-    return best.select("ico", "name", F.col("b.score").alias("score"), (-F.col("b.o")).alias("page_ord"), "b.email", "b.phone")
+    words = F.filter(F.split(F.trim(X.fold("name")), r"\s+"), lambda w: w != "")
+    several = F.count_distinct("born") if "born" in people.columns else F.lit(1)
+    named = people.groupBy("ico", "name").agg(several.alias("persons")).select("ico", "name", "persons", F.get(words, 0).alias("given"), F.element_at(words, -1).alias("surname")).where("surname <> ''")
+    shared = F.count("*").over(Window.partitionBy("ico", "surname")) > 1
+    board = named.select("*", shared.alias("shared"))
+    found = pages.join(board, "ico").where(F.contains(X.fold("text"), F.col("surname")))
+    found = found.withColumn("at", F.explode(places(F.col("surname"), X.fold("text"))))
+    before = F.substring(X.fold("text"), F.greatest(F.lit(1), F.col("at") - 40), F.least(F.col("at") - 1, F.lit(40)))
+    segment = F.substring("text", F.col("at"), F.length("surname") + width)
+    rows = found.select("ico", "name", "given", "surname", "persons", "shared", "page_ord", "at", F.endswith(F.rtrim(before), F.col("given")).alias("named"), segment.alias("near"))
+    mail = F.filter(F.regexp_extract_all("near", F.lit(f"({EMAIL})"), F.lit(1)), lambda m: F.contains(X.fold(m), F.col("surname")))
+    rows = rows.where("named or persons <= 1").withColumn("email", F.get(mail, 0)).withColumn("phone", F.get(F.regexp_extract_all("near", F.lit(f"({PHONE})"), F.lit(1)), 0)).withColumn("role", F.col("near").rlike(ROLE))
+    ambiguous = F.col("shared") & F.coalesce(~F.contains(F.split("email", "@")[0], F.lit(".")), F.lit(False))
+    one = lambda test, n: F.when(test, n).otherwise(0)
+    score = one(F.col("named"), 4) + one(F.col("email").isNotNull() & ~ambiguous, 3) + one(F.col("role"), 2) + one(F.col("phone").isNotNull(), 1)
+    told = rows.where("email is not null or phone is not null or role")
+    best = told.groupBy("ico", "name").agg(F.max(F.struct(score.alias("score"), (-F.col("page_ord")).alias("o"), (-F.col("at")).alias("a"), "email", "phone", ambiguous.alias("ambiguous"))).alias("b"))
+    return best.select("ico", "name", F.col("b.score").alias("score"), (-F.col("b.o")).alias("page_ord"), "b.email", "b.phone", "b.ambiguous")
 
 
 def company_contacts(pages: DataFrame, people: DataFrame, withheld: DataFrame) -> DataFrame:

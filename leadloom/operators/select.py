@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadloom.operators.qualify import undeliverable
+from leadloom.sources.store import materialize
 
 #: The sort keys, best first; the company's key settles what is equal in all of them.
 ORDERING = ("fit_rank", "demoted", "size_unknown", "class_rank", "not_corroborated", "not_preferred", "age_days", "minus_facts")
@@ -49,6 +50,7 @@ def ranked(rows: DataFrame) -> DataFrame:
     The place is counted in two steps, so that no task sorts all rows: rows are counted
     per combination of the coarse keys, and placed inside their combination.
     """
+    rows = materialize(rows, "evaluated")
     coarse, fine = ORDERING[:6], ORDERING[6:]
     groups = rows.groupBy(*coarse).agg(F.count("*").alias("__n"))
     before = Window.orderBy(*coarse).rowsBetween(Window.unboundedPreceding, -1)
@@ -78,41 +80,45 @@ def collapse(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """One row per (owner, date): the best placed stays, with the others as ``siblings``.
 
     ``groups``: ico, owner, date of legal owners' events; a company's first group counts.
+    A group's best is one aggregate, so tasks combine rows before the shuffle.
     """
     own = groups.groupBy("ico").agg(F.min(F.struct("owner", "date")).alias("g"))
     joined = rows.join(own, "ico", "left").withColumn("__alone", F.when(F.col("g").isNull(), F.col("ico")))
-    window = Window.partitionBy("g", "__alone").orderBy("place")
-    placed = joined.withColumn("__n", F.row_number().over(window))
-    siblings = placed.where("__n > 1").groupBy("g").agg(F.array_sort(F.collect_list("ico")).alias("siblings"))
-    kept = placed.where("__n = 1").join(siblings, "g", "left")
-    return kept.select(*rows.columns, F.col("g.owner").alias("owner"), F.coalesce("siblings", F.array().cast("array<string>")).alias("siblings"))
+    kept = joined.groupBy("g", "__alone").agg(F.min(F.struct("place", *[x for x in rows.columns if x != "place"])).alias("b"), F.sort_array(F.collect_list("ico")).alias("all"))
+    return kept.select(*[F.col(f"b.{x}").alias(x) for x in rows.columns], F.col("g.owner").alias("owner"), F.col("g.date").alias("owner_date"), F.array_remove("all", F.col("b.ico")).alias("siblings"))
 
 
 def quota(rows: DataFrame, n: int) -> DataFrame:
     """The best of each class first, then by place; ``class_slot`` marks rows a plain top n lacks.
 
     Two bounded top lists are merged: the first of each class, and the first n of all.
+    Pass ``rows`` that are written already, since both lists read them.
     """
-    firsts = rows.groupBy("reason").agg(F.min("place").alias("place"))
-    top = rows.orderBy("place").limit(n).select("place").withColumn("__top", F.lit(True))
-    slots = firsts.select("place", F.lit(True).alias("__first")).join(top, "place", "full")
-    best = slots.orderBy(F.coalesce("__first", F.lit(False)).desc(), "place").limit(n)
-    return rows.join(F.broadcast(best), "place").withColumn("class_slot", F.col("__top").isNull()).drop("__top", "__first")
+    names = rows.columns
+    firsts = rows.groupBy("reason").agg(F.min(F.struct("place", *[x for x in names if x not in ("place", "reason")])).alias("b"))
+    firsts = firsts.select(*[F.col("reason") if x == "reason" else F.col(f"b.{x}").alias(x) for x in names])
+    top = rows.orderBy("place").limit(n).withColumn("__top", F.lit(True))
+    both = firsts.withColumn("__top", F.lit(False)).unionByName(top).groupBy("place").agg(
+        F.bool_or("__top").alias("__top"), F.bool_or(~F.col("__top")).alias("__first"), F.first(F.struct(*names)).alias("b")
+    )
+    best = both.orderBy(F.col("__first").desc(), "place").limit(n)
+    return best.select(*[F.col(f"b.{x}").alias(x) for x in names], (~F.col("__top")).alias("class_slot"))
 
 
 def week(rows: DataFrame, events: DataFrame, delivered: DataFrame, groups: DataFrame, n: int = 5) -> DataFrame:
-    """The whole selection: place, gate, history, collapse, quota -- in this order."""
-    deliverable = gate(ranked(rows)).where(F.size("problems") == 0)
-    fresh = not_shown(deliverable, events, delivered)
-    return quota(collapse(fresh, groups), n)
+    """The whole selection: place, gate, history, collapse, quota -- in this order.
+
+    ``rows`` are evaluated or already placed; what is read twice is written in between.
+    """
+    placed = rows if "place" in rows.columns else ranked(rows)
+    fresh = not_shown(gate(placed).where(F.size("problems") == 0), events, delivered)
+    return quota(materialize(collapse(fresh, groups), "collapsed"), n)
 
 
 def newcomers(changes: DataFrame, companies: DataFrame, n: int = 25) -> DataFrame:
     """Companies to admit this time: those of known size first, then by key; the rest is counted."""
-    fresh = changes.where("plan = 'new'").join(companies.select("ico", "band"), "ico")
-    sized = F.when(F.col("band") == "", 1).otherwise(0)
-    total = fresh.count()
-    return fresh.withColumn("unsized", sized).orderBy("unsized", "ico").limit(n).withColumn("deferred", F.lit(max(0, total - n)))
+    fresh = materialize(changes.where("plan = 'new'").join(companies.select("ico", "band"), "ico").withColumn("unsized", F.when(F.col("band") == "", 1).otherwise(0)), "newcomers")
+    return fresh.orderBy("unsized", "ico").limit(n).withColumn("deferred", F.lit(max(0, fresh.count() - n)))
 
 
 def best_contact() -> Column:

@@ -68,10 +68,13 @@ def weekly_summary(weeks: DataFrame, floor: int = 5) -> DataFrame:
     )
 
 
-def seasonality(events: DataFrame) -> DataFrame:
-    """Events per week that has any, by calendar month."""
-    rows = events.select(F.month("date").alias("month"), F.trunc("date", "week").alias("week"))
-    return rows.groupBy("month").agg((F.count("*") / F.count_distinct("week")).alias("per_week"))
+def seasonality(weeks: DataFrame, as_of: str) -> DataFrame:
+    """month, per_week: companies with an event per week, over all weeks of a calendar month, those without any too.
+
+    ``weeks`` is what :func:`weekly` gives; a week belongs to the month of its last day.
+    """
+    day = F.date_sub(F.lit(as_of).cast("date"), F.col("week") * 7)
+    return weeks.groupBy(F.month(day).alias("month")).agg(F.avg("companies").alias("per_week"))
 
 
 def age_profile(events: DataFrame, as_of: str) -> DataFrame:

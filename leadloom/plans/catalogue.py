@@ -12,9 +12,10 @@ from leadloom.operators import audit, evidence, events, facets, pages, qualify,
 from leadloom.plans import fixtures as T
 from leadloom.plans.fixtures import AS_OF, with_sql
 from leadloom.sources import tables
+from leadloom.sources.store import materialize
 from leadloom.streaming import changes as stream
 
-BRIEF = qualify.Brief(nace=("2", "45", "77123"), bands=("120", "210", "220", "230", "310"), forms=("112", "121"), regions=("AFRICA", "ASIA", "EUROPE"), origin=(50.0, 15.0), km=150.0)
+BRIEF = qualify.Brief(nace=("1", "2", "3", "45", "77123"), bands=("120", "210", "220", "230", "310"), forms=("112", "121"), regions=("AFRICA", "AMERICA", "ASIA", "EUROPE"), origin=(50.0, 15.0), km=150.0)
 WIDTHS = (7, 14, 30, 60, 90)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -253,6 +254,11 @@ def every(spark, d):
     return out
 
 
+def happened(spark, d):
+    """All events, written once for the several branches that read them."""
+    return materialize(every(spark, d), "events")
+
+
 @query("q21_all_events", with_sql("SELECT ico, kind, date, CAST(age_days AS INTEGER) AS age_days FROM every", *EVENT_TABLES, **EVENTS))
 def all_events(spark, d):
     return every(spark, d)
@@ -265,8 +271,8 @@ REASONS = f"""SELECT ico, reason, n_kinds >= 2 AS corroborated, has_tender, n_fa
         min(age_days) AS youngest, count(DISTINCT kind) AS n_kinds, count(DISTINCT family) AS n_families, e.ico IN (SELECT ico FROM tender WHERE relevant) AS has_tender FROM (SELECT *, {FAMILY} AS family FROM every) e GROUP BY e.ico))"""
 
 
-def reasons(spark, d):
-    return events.reasons(every(spark, d), T.tender(spark, d))
+def reasons(spark, d, seen=None):
+    return events.reasons(every(spark, d) if seen is None else seen, T.tender(spark, d))
 
 
 @query("q22_reason_class", with_sql("SELECT ico, reason, corroborated, has_tender, CAST(n_families AS INTEGER) AS n_families, age_days FROM reasons", *EVENT_TABLES, **EVENTS, reasons=REASONS))
@@ -375,16 +381,27 @@ def link_budget(spark, d):
     return pages.link_budget(pages.links(T.table(spark, d, "pages"))).select("page_id", "href", "kind")
 
 
-PROOF_PAGES = "SELECT source AS ico, doc_id AS page_ord, text FROM documents"
-PROOF_COMPANY = "SELECT DISTINCT source AS ico, 'the and' AS name, 'thea' AS city, 'tion are' AS person, 'nd the' AS street FROM documents"
+_CLAIMED = "lpad(CAST(CAST(substr(source, 4) AS INTEGER) * 1234567 + 1000 AS VARCHAR), 8, '0')"
+PROOF_PAGES = f"""SELECT ico, page_ord, CASE page_ord % 40 WHEN 0 THEN text || ' IČ ' || substr(ico, 1, 2) || ' ' || substr(ico, 3, 3) || ' ' || substr(ico, 6) WHEN 1 THEN text || ' DIČ: cz' || ltrim(ico, '0')
+    WHEN 2 THEN text || ' call ' || substr(ico, 1, 4) || ', room ' || substr(ico, 5) ELSE text END AS text FROM (SELECT {_CLAIMED} AS ico, doc_id AS page_ord, text FROM documents WHERE source NOT IN ('src3', 'src8'))
+    UNION ALL SELECT {_CLAIMED}, doc_id, text FROM documents WHERE source IN ('src3', 'src8')"""
+RUNS = "list_concat(regexp_extract_all(text, '(\\d[\\d\\s\\x{00A0}.]{6,12}\\d)', 1), regexp_extract_all(text, '(?i)CZ[\\s\\x{00A0}]?(\\d[\\d\\s\\x{00A0}]{6,11})', 1))"
 
 
-@query("q36_proof_grade", with_sql("""SELECT ico, arg_min(evidence, g * 1000000000000 + page_ord) AS evidence, arg_min(page_ord, g * 1000000000000 + page_ord) AS page_ord FROM (
+@query("q36_proof_grade", with_sql(f"""SELECT ico, arg_min(evidence, g * 1000000000000 + page_ord) AS evidence, arg_min(page_ord, g * 1000000000000 + page_ord) AS page_ord FROM (
     SELECT ico, page_ord, 0 AS g, 'ico' AS evidence FROM f WHERE num UNION ALL SELECT ico, page_ord, 1, 'person' FROM f WHERE person AND town UNION ALL SELECT ico, page_ord, 2, 'address' FROM f WHERE street
     UNION ALL SELECT ico, page_ord, 3, CASE WHEN city THEN 'name_city' ELSE 'name' END FROM f WHERE name) GROUP BY ico""", proof_pages=PROOF_PAGES,
-    f="""SELECT *, bool_or(city) OVER (PARTITION BY ico) AS town FROM (SELECT ico, page_ord, contains(regexp_replace(text, '[^0-9]', '', 'g'), ico) AS num, contains(lower(text), 'tion are') AS person, contains(lower(text), 'nd the') AS street, contains(lower(text), 'the and') AS name, contains(lower(text), 'thea') AS city FROM proof_pages)"""))
+    f=f"""SELECT *, bool_or(city) OVER (PARTITION BY ico) AS town FROM (SELECT ico, page_ord, len(list_filter(list_transform({RUNS}, lambda x: regexp_replace(x, '[^0-9]', '', 'g')), lambda x: x = ico OR x = ltrim(ico, '0'))) > 0 AS num, contains(lower(text), 'tion are') AS person, contains(lower(text), 'nd the') AS street, contains(lower(text), 'the and') AS name, contains(lower(text), 'thea') AS city FROM proof_pages)"""))
 def proof_grade(spark, d):
-    docs = T.table(spark, d, "documents").select(F.col("source").alias("ico"), F.col("doc_id").alias("page_ord"), "text")
+    ico = F.lpad((F.substring("source", 4, 9).cast("int") * 1234567 + 1000).cast("string"), 8, "0")
+    docs = T.table(spark, d, "documents").select(ico.alias("ico"), F.col("doc_id").alias("page_ord"), "text", "source")
+    n = F.col("page_ord") % 40
+    part = lambda a, b: F.substring("ico", a, b)
+    shown = (
+        F.when(n == 0, F.concat("text", F.lit(" IČ "), part(1, 2), F.lit(" "), part(3, 3), F.lit(" "), part(6, 3))).when(n == 1, F.concat("text", F.lit(" DIČ: cz"), F.ltrim("ico", F.lit("0"))))
+        .when(n == 2, F.concat("text", F.lit(" call "), part(1, 4), F.lit(", room "), part(5, 4))).otherwise(F.col("text"))
+    )
+    docs = docs.withColumn("text", F.when(F.col("source").isin("src3", "src8"), F.col("text")).otherwise(shown))
     firms = docs.select("ico", F.lit("the and").alias("name"), F.lit("thea").alias("city"), F.lit("tion are").alias("person"), F.lit("nd the").alias("street")).distinct()
     return pages.page_proof(docs, firms)
 
@@ -416,15 +433,20 @@ def desk_rank(spark, d):
     return mails(spark, d).groupBy(pages.desk_rank(F.col("address")).alias("desk")).agg(F.count("*").alias("n"))
 
 
-SIDES = {"made_to_order": "(?i)worthless| the and ", "serial": "(?i)stupid| und der ", "small_batch": "(?i) que de "}
-MODES = "SELECT doc_id AS id, source AS ico, side, len(regexp_extract_all(text, p)) AS hits FROM documents, (VALUES " + ", ".join(f"('{s}', '{p}')" for s, p in SIDES.items()) + ") v(side, p) WHERE len(regexp_extract_all(text, p)) > 0"
+SIDES = (
+    ("made_to_order", "direct", "(?i)worthless"), ("serial", "direct", "(?i)stupid"), ("small_batch", "direct", "(?i) que de "), ("mixed", "direct", "(?i) les ou "),
+    ("made_to_order", "structural", "(?i) the and "), ("serial", "structural", "(?i) und der | of the "),
+)
+MODES = "SELECT doc_id AS id, side, kind, len(regexp_extract_all(text, p)) AS hits FROM documents, (VALUES " + ", ".join(f"('{s}', '{k}', '{p}')" for s, k, p in SIDES) + ") v(side, kind, p) WHERE len(regexp_extract_all(text, p)) > 0"
 
 
-@query("q40_mode_verdict", with_sql("""SELECT id AS ico, CASE WHEN m AND s THEN 'mixed' WHEN m AND b THEN 'made_to_order_small_batch' WHEN m THEN 'made_to_order' WHEN b THEN 'small_batch' ELSE 'serial' END AS mode FROM (
-    SELECT id, bool_or(side = 'made_to_order') AS m, bool_or(side = 'serial') AS s, bool_or(side = 'small_batch') AS b FROM modes GROUP BY id)""", modes=MODES))
+@query("q40_mode_verdict", with_sql("""SELECT doc_id AS ico, CASE WHEN x OR m + s + b > 1 THEN 'mixed' WHEN m = 1 THEN 'made_to_order' WHEN s = 1 THEN 'serial' WHEN b = 1 THEN 'small_batch' WHEN n IS NULL OR o = r THEN 'unknown' WHEN o > r THEN 'leaning_made_to_order' ELSE 'leaning_serial' END AS mode,
+    CASE WHEN x OR m + s + b > 0 THEN 'direct' WHEN o = r THEN 'structural_tie' WHEN n > 0 THEN 'structural' END AS basis FROM documents LEFT JOIN (
+    SELECT id, count(*) AS n, bool_or(side = 'mixed') AS x, CAST(bool_or(side = 'made_to_order' AND kind = 'direct') AS INTEGER) AS m, CAST(bool_or(side = 'serial' AND kind = 'direct') AS INTEGER) AS s, CAST(bool_or(side = 'small_batch') AS INTEGER) AS b,
+      coalesce(sum(hits) FILTER (side = 'made_to_order'), 0) AS o, coalesce(sum(hits) FILTER (side = 'serial'), 0) AS r FROM modes GROUP BY id) ON id = doc_id""", modes=MODES))
 def mode_verdict(spark, d):
-    found = pages.mode_findings(T.snapshot(spark, d), SIDES)
-    return evidence.mode_verdict(found.withColumnRenamed("id", "ico"))
+    docs = T.snapshot(spark, d)
+    return evidence.mode_verdict(pages.mode_findings(docs, SIDES).withColumnRenamed("id", "ico"), docs.select(F.col("id").alias("ico")))
 
 
 PRIORITY = {"de": 0, "en": 1, "fr": 2}
@@ -439,20 +461,25 @@ def document_budget(spark, d):
 
 ROWS = f"""SELECT c.ico, r.reason, CASE WHEN substr(nace, 1, 2) IN {_in(select.CORE)} THEN 0 WHEN substr(nace, 1, 2) IN {_in(select.SERVICE)} THEN 1 ELSE 2 END AS fit_rank, CAST(v.demoted AS INTEGER) AS demoted,
     CAST(band = '' AS INTEGER) AS size_unknown, ascii(r.reason) - 65 AS class_rank, CAST(NOT corroborated AS INTEGER) AS not_corroborated, CASE WHEN coalesce(km <= 150, false) THEN 0 ELSE 1 END AS not_preferred, r.age_days,
-    -coalesce(f.facts, 0) AS minus_facts, site_status, has_channel FROM placed c JOIN reasons r ON c.ico = r.ico JOIN verdicts v ON c.ico = v.ico AND v.verdict <> 'exclude' LEFT JOIN rich f ON f.ico = c.ico WHERE c.ended IS NULL"""
+    -coalesce(f.facts, 0) AS minus_facts, site_status, has_channel FROM judged c JOIN reasons r ON c.ico = r.ico JOIN verdicts v ON c.ico = v.ico AND v.verdict <> 'exclude' LEFT JOIN rich f ON f.ico = c.ico WHERE c.ended IS NULL AND reject_reason IS NULL"""
 RANKED = "SELECT *, row_number() OVER (ORDER BY fit_rank, demoted, size_unknown, class_rank, not_corroborated, not_preferred, age_days, minus_facts, ico) AS place FROM eval"
-SELECTED = {**EVENTS, "reasons": REASONS, "placed": PLACED, "site_counts": COUNTS, "verdicts": VERDICT, "rich": "SELECT NULL AS ico, 0 AS facts WHERE false", "eval": ROWS, "ranked": RANKED}
-SELECT_TABLES = (*EVENT_TABLES, "site", "delivered")
+SELECTED = {**EVENTS, "reasons": REASONS, "placed": PLACED, "site_counts": COUNTS, "verdicts": VERDICT, "judged": JUDGED, "scored": NOTNOW, "pass": PASS.replace("FROM claim", "FROM scored"), "usable": USABLE, "rich": RICH, "eval": ROWS, "ranked": RANKED}
+SELECT_TABLES = (*EVENT_TABLES, "site", "delivered", "claim")
+
+
+def firms(spark, d):
+    """All companies with verdict and reject_reason; one that has ended is rejected as such."""
+    company = materialize(T.company(spark, d), "companies")
+    found = qualify.apply_brief(qualify.with_verdict(company, T.site(spark, d)), T.site(spark, d), BRIEF)
+    return found.withColumn("reject_reason", F.coalesce(F.when(F.col("ended").isNotNull(), "ended"), "reject_reason"))
 
 
-def evaluated(spark, d):
-    firms = qualify.with_verdict(T.company(spark, d), T.site(spark, d)).where("verdict <> 'exclude' and ended is null")
-    firms = qualify.nearest_workplace(firms, T.site(spark, d), BRIEF.origin)
-    return select.evaluate(firms, reasons(spark, d))
+def evaluated(spark, d, seen=None):
+    return select.evaluate(qualify.eligible(firms(spark, d)), reasons(spark, d, seen), richness(spark, d))
 
 
-def ranked(spark, d):
-    return select.ranked(evaluated(spark, d))
+def ranked(spark, d, seen=None):
+    return materialize(select.ranked(evaluated(spark, d, seen)), "ranked")
 
 
 @query("q42_ordering", with_sql("SELECT ico, reason, CAST(place AS INTEGER) AS place FROM ranked", *SELECT_TABLES, **SELECTED))
@@ -488,7 +515,8 @@ LEADERS = "SELECT * FROM (SELECT r.*, g.owner, row_number() OVER (PARTITION BY g
 
 
 def week(spark, d):
-    return select.week(evaluated(spark, d), every(spark, d), T.delivered(spark, d), groups(spark, d), 5)
+    seen = happened(spark, d)
+    return select.week(ranked(spark, d, seen), seen, T.delivered(spark, d), groups(spark, d), 5)
 
 
 @query("q45_week", with_sql(_quota("leaders", 5), *SELECT_TABLES, **SELECTED, grouped=GROUPED, fresh=FRESH.format("site_status = 'proven' AND has_channel AND"), leaders=LEADERS))
@@ -498,7 +526,8 @@ def the_week(spark, d):
 
 @query("q46_already_shown", with_sql("SELECT ico FROM fresh", *SELECT_TABLES, **SELECTED, fresh=FRESH.format("")))
 def already_shown(spark, d):
-    return select.not_shown(ranked(spark, d), every(spark, d), T.delivered(spark, d)).select("ico")
+    seen = happened(spark, d)
+    return select.not_shown(ranked(spark, d, seen), seen, T.delivered(spark, d)).select("ico")
 
 
 @query("q47_history", with_sql("SELECT d.ico, run_id, count(*) OVER (PARTITION BY d.ico) AS times, c.name, c.ico IS NOT NULL AS in_candidates FROM delivered d LEFT JOIN company c ON d.ico = c.ico", "company", "delivered"))
@@ -547,9 +576,9 @@ def backtest_summary(spark, d):
     return study.weekly_summary(weeks(spark, d))
 
 
-@query("q52_seasonality", with_sql("SELECT CAST(month(date) AS INTEGER) AS month, count(*) / count(DISTINCT date_trunc('week', date)) AS per_week FROM fam GROUP BY 1", "movement", "vacancy", fam=FAMILIES))
+@query("q52_seasonality", with_sql(f"SELECT CAST(month(DATE '{AS_OF}' - CAST(7 * week AS INTEGER)) AS INTEGER) AS month, avg(companies) AS per_week FROM weeks GROUP BY 1", "company", "movement", "vacancy", fam=FAMILIES, weeks=WEEKS))
 def seasonality(spark, d):
-    return study.seasonality(family_events(spark, d))
+    return study.seasonality(weeks(spark, d), AS_OF)
 
 
 @query("q53_age_profile", with_sql("SELECT family, CAST(min(age) AS INTEGER) AS youngest, CAST(max(age) FILTER (r = n // 2 + 1) AS INTEGER) AS upper_median, CAST(max(age) AS INTEGER) AS oldest FROM (SELECT family, age, row_number() OVER (PARTITION BY family ORDER BY age) AS r, count(*) OVER (PARTITION BY family) AS n FROM fam) GROUP BY family", "movement", "vacancy", fam=FAMILIES))
@@ -572,13 +601,13 @@ def coverage(spark, d):
     return study.coverage(T.company(spark, d), ("nace", "band", "lat", "ended"))
 
 
-OTHER = "SELECT lpad(CAST(c_custkey + 900 AS VARCHAR), 8, '0') AS ico, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '120' END AS band FROM customer"
+OTHER = "SELECT lpad(CAST(c_custkey * 2 AS VARCHAR), 8, '0') AS ico, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '120' END AS band FROM customer"
 
 
 @query("q55_newcomer_queue", with_sql("SELECT p.ico, CAST(CASE WHEN band = '' THEN 1 ELSE 0 END AS INTEGER) AS unsized, CAST(greatest(0, (SELECT count(*) FROM plan JOIN other USING (ico) WHERE plan = 'new') - 25) AS INTEGER) AS deferred FROM plan p JOIN other o ON p.ico = o.ico WHERE plan = 'new' ORDER BY 2, 1 LIMIT 25", "company", "change", latest=LATEST, plan=PLAN, other=OTHER))
 def newcomer_queue(spark, d):
     k = F.col("c_custkey")
-    register = T.table(spark, d, "customer").select(F.lpad((k + 900).cast("string"), 8, "0").alias("ico"), F.when(k % 3 == 0, "").otherwise("120").alias("band"))
+    register = T.table(spark, d, "customer").select(F.lpad((k * 2).cast("string"), 8, "0").alias("ico"), F.when(k % 3 == 0, "").otherwise("120").alias("band"))
     return select.newcomers(facets.change_plan(T.change(spark, d), T.company(spark, d)), register).select("ico", "unsized", "deferred")
 
 
@@ -601,8 +630,9 @@ def suggest_places(spark, d):
 
 @query("q59_dossier", with_sql("SELECT r.ico, r.reason, e.n_events, e.first_kind FROM reasons r JOIN (SELECT ico, count(*) AS n_events, min(kind) AS first_kind FROM every GROUP BY ico) e ON r.ico = e.ico", *EVENT_TABLES, **EVENTS, reasons=REASONS))
 def dossier(spark, d):
-    listed = every(spark, d).groupBy("ico").agg(F.array_sort(F.collect_list(F.struct("kind", "date", "age_days"))).alias("events"))
-    full = reasons(spark, d).join(listed, "ico")
+    seen = happened(spark, d)
+    listed = seen.groupBy("ico").agg(F.array_sort(F.collect_list(F.struct("kind", "date", "age_days"))).alias("events"))
+    full = reasons(spark, d, seen).join(listed, "ico")
     return full.select("ico", "reason", F.size("events").cast("long").alias("n_events"), F.col("events")[0]["kind"].alias("first_kind"))
 
 
@@ -619,16 +649,12 @@ def ledger(spark, d):
 
 @query("q61_audit", "SELECT * FROM (VALUES " + ", ".join(f"('{c}', CAST(0 AS BIGINT))" for c in audit.CHECKS) + ") t(\"check\", violations)")
 def audited(spark, d):
-    firms = qualify.apply_brief(qualify.with_verdict(T.company(spark, d), T.site(spark, d)), T.site(spark, d), BRIEF)
-    keep = firms.withColumn("reject_reason", F.coalesce(F.when(F.col("ended").isNotNull(), "ended"), "reject_reason"))
-    # Several checks read these; each is computed once.
-    happened = every(spark, d).persist()
-    why = events.reasons(happened, T.tender(spark, d)).persist()
-    rows = select.evaluate(qualify.eligible(keep), why, evidence.richness(T.claim(spark, d))).persist()
-    placed = select.ranked(rows).persist()
-    picked = select.week(rows, happened, T.delivered(spark, d), groups(spark, d), 5).persist()
-    found = {"ranked": placed, "judged": keep, "events": happened, "week": picked, "reasons": why}
-    return audit.report(found)
+    seen = happened(spark, d)
+    judged_firms = materialize(firms(spark, d), "judged")
+    why = materialize(reasons(spark, d, seen), "reasons")
+    placed = materialize(select.ranked(select.evaluate(qualify.eligible(judged_firms), why, richness(spark, d))), "ranked")
+    picked = materialize(select.week(placed, seen, T.delivered(spark, d), groups(spark, d), 5), "week")
+    return audit.report({"ranked": placed, "judged": judged_firms, "events": seen, "week": picked, "reasons": why})
 
 
 @query("q62_stream_changes", with_sql("SELECT ico, batch, pos, kind FROM (SELECT *, row_number() OVER (PARTITION BY ico ORDER BY batch DESC, pos DESC) AS n FROM change) WHERE n = 1", "change"))
@@ -637,9 +663,9 @@ def stream_changes(spark, d):
     return stream.last_in_batch(T.change(spark, d))
 
 
-@query("q63_certificates", "SELECT doc_id AS id, s AS standard FROM (SELECT DISTINCT doc_id, regexp_replace(upper(unnest(regexp_extract_all(text, '((?:ISO|EN|IATF)\\s?[0-9]{4,5}(?::[0-9]{4})?)', 1))), '\\s', '', 'g') AS s FROM (SELECT doc_id, replace(text, 'the ', 'ISO 9001:2015 ') AS text FROM documents WHERE lang = 'en'))")
+@query("q63_certificates", "SELECT doc_id AS id, s AS standard FROM (SELECT DISTINCT doc_id, regexp_replace(upper(unnest(regexp_extract_all(text, '((?:ISO|EN|IATF)\\s?[0-9]{4,5}(?::[0-9]{4})?)', 1))), '\\s', '', 'g') AS s FROM (SELECT doc_id, replace(text, 'the ', 'ISO 9001:2015 ') AS text FROM documents))")
 def certificates(spark, d):
-    docs = T.snapshot(spark, d).where("source = 'en'").select("id", F.replace("text", F.lit("the "), F.lit("ISO 9001:2015 ")).alias("text"))
+    docs = T.snapshot(spark, d).select("id", F.replace("text", F.lit("the "), F.lit("ISO 9001:2015 ")).alias("text"))
     return pages.standards(docs).select("id", "standard")
 
 

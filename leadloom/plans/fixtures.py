@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from leadloom.functions import text as X
 
@@ -16,7 +17,7 @@ BANDS = ("110", "120", "130", "210", "220", "230", "240", "310", "320", "330")
 FORMS = ("112", "121", "331", "112", "121")
 #: Days by which dates of the tables are moved, so that each feed has its usual lag.
 VACANCY_SHIFT, SUBSIDY_SHIFT, TENDER_SHIFT = 8208, 8088, 8238
-KINDS = {"signup": "director_joined", "error": "director_departed", "purchase": "owner_joined", "view": "owner_departed"}
+KINDS = {"signup": "director_joined", "error": "director_departed", "purchase": "owner_joined", "view": "owner_departed", "click": "director_departed"}
 GROUPS = ("1311", "1321")
 RULES = (
     ("already_buying", r"\bred\b"), ("research", r"\bold\b"), ("marketing", r"\bblue\b"),
@@ -26,8 +27,15 @@ SIGNAL = ("production_digitalisation", "capacity")
 LIVE = ("A", "N")
 
 
+_schemas: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    """A driver's table; its schema is read from the files once a process."""
+    path = f"{d}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def company(spark: SparkSession, d: str) -> DataFrame:
@@ -55,27 +63,26 @@ def company(spark: SparkSession, d: str) -> DataFrame:
 
 
 def site(spark: SparkSession, d: str) -> DataFrame:
-    """Establishments, one to a supplier."""
+    """Establishments, one to a supplier, two to a company."""
     s = F.col("s_suppkey")
-    n = table(spark, d, "customer").count()
     return table(spark, d, "supplier").select(
-        F.lpad((s * 7 % n).cast("string"), 8, "0").alias("ico"), s.alias("pos"), (48.6 + (s * 37 % 250) / 100).alias("lat"), (12.1 + (s * 53 % 670) / 100).alias("lon"), (s % 3 != 0).alias("active")
+        F.lpad((F.floor(s / 2) * 7).cast("string"), 8, "0").alias("ico"), s.alias("pos"), (48.6 + (s * 37 % 250) / 100).alias("lat"), (12.1 + (s * 53 % 670) / 100).alias("lon"), (s % 3 != 0).alias("active")
     )
 
 
 def movement(spark: SparkSession, d: str) -> DataFrame:
     kinds = F.create_map(*[F.lit(x) for p in KINDS.items() for x in p])
-    rows = table(spark, d, "events").where("event_id % 12 = 0 and event_type <> 'click'")
+    rows = table(spark, d, "events")
     return rows.select(
-        "event_id", F.lpad(F.col("user_id").cast("string"), 8, "0").alias("ico"), kinds[F.col("event_type")].alias("kind"),
+        "event_id", F.lpad((F.col("user_id") * 10 + F.col("event_id") % 10).cast("string"), 8, "0").alias("ico"), kinds[F.col("event_type")].alias("kind"),
         F.concat(F.lit("P"), (F.regexp_extract("props", r'"k": (\d+)', 1).cast("int") % 4).cast("string")).alias("name"),
-        F.col("ts").cast("date").alias("date"), (F.col("event_id") % 24 == 0).alias("legal_entity"),
+        F.col("ts").cast("date").alias("date"), (F.col("event_id") % 3 == 0).alias("legal_entity"),
     )
 
 
 def listed(spark: SparkSession, d: str) -> DataFrame:
     """People still in the register, by role."""
-    return table(spark, d, "customer").where("c_custkey % 9 = 0").select(F.lpad(F.col("c_custkey").cast("string"), 8, "0").alias("ico"), F.lit("director").alias("role"), F.lit("p1").alias("name"))
+    return table(spark, d, "customer").select(F.lpad(F.col("c_custkey").cast("string"), 8, "0").alias("ico"), F.lit("director").alias("role"), F.concat(F.lit("p"), (F.col("c_custkey") % 9).cast("string")).alias("name"))
 
 
 def _vacancies(rows: DataFrame) -> DataFrame:
@@ -106,7 +113,7 @@ def tender(spark: SparkSession, d: str) -> DataFrame:
 
 
 def delivered(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "orders").where("o_orderkey % 10 = 0")
+    rows = table(spark, d, "orders")
     return rows.select(
         F.lpad(F.col("o_custkey").cast("string"), 8, "0").alias("ico"), F.col("o_orderkey").alias("run_id"), F.date_add(F.col("o_orderdate").cast("date"), VACANCY_SHIFT).alias("delivered_on")
     )
@@ -114,8 +121,8 @@ def delivered(spark: SparkSession, d: str) -> DataFrame:
 
 def change(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "signup", "INS").when(F.col("event_type") == "error", "DEL").otherwise("UPD")
-    rows = table(spark, d, "events").where("event_id % 5 = 0")
-    return rows.select(F.lpad((F.col("user_id") * 11 % 2000).cast("string"), 8, "0").alias("ico"), kind.alias("kind"), F.dayofmonth("ts").alias("batch"), F.col("event_id").alias("pos"), "ts")
+    rows = table(spark, d, "events")
+    return rows.select(F.lpad((F.col("user_id") * 20 + F.col("event_id") % 10 * 2).cast("string"), 8, "0").alias("ico"), kind.alias("kind"), F.dayofmonth("ts").alias("batch"), F.col("event_id").alias("pos"), "ts")
 
 
 def snapshot(spark: SparkSession, d: str) -> DataFrame:
@@ -138,7 +145,7 @@ def claim(spark: SparkSession, d: str) -> DataFrame:
     """Claims from labelled documents: relevance by label, three runs, quotes that recur."""
     i = F.col("doc_id")
     rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
-    quote = F.when(i % 4 != 0, F.concat(F.substring(F.regexp_replace("text", "[\n]", " "), 1, 40), F.when(i % 3 == 0, ".").otherwise("")))
+    quote = F.when(i % 4 != 0, F.concat(F.regexp_replace("text", "[\n]", " "), F.when(i % 3 == 0, ".").otherwise("")))
     return rows.select(
         i.alias("claim_id"), F.col("source").alias("ico"),
         F.when(i % 6 == 0, "pain").when(i % 6 == 1, "pain:scale").when(i % 6 == 2, "production_mode:serial").when(i % 6 == 3, "production_mode:made_to_order").when(i % 6 == 4, "now:x").otherwise("pain:other").alias("kind"),
@@ -174,23 +181,23 @@ SQL = {
         CASE WHEN c_custkey % 23 = 0 THEN DATE '2023-01-01' END AS ended, c_custkey % 37 = 0 AS insolvent, DATE '2024-01-10' - CAST(c_custkey * 13 % 900 AS INTEGER) AS founded,
         CASE c_custkey % 3 WHEN 0 THEN 'proven' WHEN 1 THEN 'probable' ELSE 'not_found' END AS site_status, c_custkey % 4 <> 0 AS has_channel
         FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
-    "site": f"""SELECT {_PAD.format('s_suppkey * 7 % (SELECT count(*) FROM customer)')} AS ico, s_suppkey AS pos, CAST(48.6 AS DOUBLE) + CAST(s_suppkey * 37 % 250 AS DOUBLE) / 100 AS lat,
+    "site": f"""SELECT {_PAD.format('s_suppkey // 2 * 7')} AS ico, s_suppkey AS pos, CAST(48.6 AS DOUBLE) + CAST(s_suppkey * 37 % 250 AS DOUBLE) / 100 AS lat,
         CAST(12.1 AS DOUBLE) + CAST(s_suppkey * 53 % 670 AS DOUBLE) / 100 AS lon, s_suppkey % 3 <> 0 AS active FROM supplier""",
-    "movement": f"""SELECT event_id, {_PAD.format('user_id')} AS ico, {_kinds()} AS kind, 'P' || CAST(CAST(regexp_extract(props, '"k": (\\d+)', 1) AS INTEGER) % 4 AS VARCHAR) AS name,
-        CAST(ts AS DATE) AS date, event_id % 24 = 0 AS legal_entity FROM events WHERE event_id % 12 = 0 AND event_type <> 'click'""",
-    "listed": f"SELECT {_PAD.format('c_custkey')} AS ico, 'director' AS role, 'p1' AS name FROM customer WHERE c_custkey % 9 = 0",
+    "movement": f"""SELECT event_id, {_PAD.format('user_id * 10 + event_id % 10')} AS ico, {_kinds()} AS kind, 'P' || CAST(CAST(regexp_extract(props, '"k": (\\d+)', 1) AS INTEGER) % 4 AS VARCHAR) AS name,
+        CAST(ts AS DATE) AS date, event_id % 3 = 0 AS legal_entity FROM events""",
+    "listed": f"SELECT {_PAD.format('c_custkey')} AS ico, 'director' AS role, 'p' || CAST(c_custkey % 9 AS VARCHAR) AS name FROM customer",
     "vacancy": f"""SELECT {_PAD.format('o_custkey')} AS ico, CAST(o_orderdate AS DATE) + {VACANCY_SHIFT} AS date, '13' || substr(o_orderpriority, 1, 1) || '1' AS occupation, 'job ' || CAST(o_orderkey AS VARCHAR) AS title, o_orderkey FROM orders""",
     "subsidy": f"""SELECT {_PAD.format('o_custkey')} AS ico, CAST(l_shipdate AS DATE) + {SUBSIDY_SHIFT} AS signed, l_returnflag AS state, p_name AS project, p_type AS description, l_extendedprice AS total
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey""",
     "tender": f"""SELECT {_PAD.format('o_custkey')} AS ico, o_orderkey AS number, CASE WHEN o_orderstatus = 'O' THEN 'open' ELSE 'closed' END AS status,
         CAST(o_orderdate AS DATE) + {TENDER_SHIFT} AS deadline, substr(o_orderpriority, 1, 1) IN ('1', '2') AS relevant FROM orders""",
-    "delivered": f"SELECT {_PAD.format('o_custkey')} AS ico, o_orderkey AS run_id, CAST(o_orderdate AS DATE) + {VACANCY_SHIFT} AS delivered_on FROM orders WHERE o_orderkey % 10 = 0",
-    "change": f"""SELECT {_PAD.format('user_id * 11 % 2000')} AS ico, CASE event_type WHEN 'signup' THEN 'INS' WHEN 'error' THEN 'DEL' ELSE 'UPD' END AS kind, CAST(day(ts) AS INTEGER) AS batch, event_id AS pos, ts FROM events WHERE event_id % 5 = 0""",
+    "delivered": f"SELECT {_PAD.format('o_custkey')} AS ico, o_orderkey AS run_id, CAST(o_orderdate AS DATE) + {VACANCY_SHIFT} AS delivered_on FROM orders",
+    "change": f"""SELECT {_PAD.format('user_id * 20 + event_id % 10 * 2')} AS ico, CASE event_type WHEN 'signup' THEN 'INS' WHEN 'error' THEN 'DEL' ELSE 'UPD' END AS kind, CAST(day(ts) AS INTEGER) AS batch, event_id AS pos, ts FROM events""",
     "snapshot": """SELECT doc_id AS id, source AS ico, lang AS source, CASE WHEN doc_id % 19 <> 0 THEN source || '/' || CAST(doc_id % 7 AS VARCHAR) END AS url, DATE '2023-01-01' + CAST(doc_id % 300 AS INTEGER) AS fetched_at, text FROM documents""",
     "finding": """SELECT item_id AS finding_id, CASE item_id % 5 WHEN 0 THEN text WHEN 1 THEN '„' || text || '“' WHEN 2 THEN text || '...' WHEN 3 THEN lower(text) END AS quote, text AS plain FROM benchmark""",
     "claim": """SELECT doc_id AS claim_id, source AS ico, CASE doc_id % 6 WHEN 0 THEN 'pain' WHEN 1 THEN 'pain:scale' WHEN 2 THEN 'production_mode:serial' WHEN 3 THEN 'production_mode:made_to_order' WHEN 4 THEN 'now:x' ELSE 'pain:other' END AS kind,
         CASE WHEN doc_id % 8 = 0 THEN 'údaj není uveden' ELSE 'value ' || CAST(doc_id % 50 AS VARCHAR) END AS value,
-        CASE WHEN doc_id % 4 <> 0 THEN substr(replace(text, chr(10), ' '), 1, 40) || CASE WHEN doc_id % 3 = 0 THEN '.' ELSE '' END END AS quote, CASE WHEN doc_id % 4 = 0 THEN 'inference' ELSE 'fact' END AS state,
+        CASE WHEN doc_id % 4 <> 0 THEN replace(text, chr(10), ' ') || CASE WHEN doc_id % 3 = 0 THEN '.' ELSE '' END END AS quote, CASE WHEN doc_id % 4 = 0 THEN 'inference' ELSE 'fact' END AS state,
         doc_id % 3 AS run_id, CASE WHEN toxic = 1 THEN 'unrelated' WHEN quality = 1 THEN 'supports' END AS relevance FROM documents JOIN labels USING (doc_id)""",
     "website": f"""SELECT {_PAD.format('page_id')} AS ico, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)), '^www\\.', '') AS domain,
         (['ico', 'person', 'address', 'name_city', 'name'])[CAST(page_id % 5 + 1 AS INTEGER)] AS evidence, CASE WHEN page_id % 6 = 5 THEN 'no_lead' ELSE 'proven' END AS status FROM pages""",

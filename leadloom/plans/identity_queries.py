@@ -11,14 +11,14 @@ from leadloom.plans.catalogue import query
 from leadloom.plans.fixtures import with_sql
 from leadloom.sources import tables
 
-PEOPLE = "SELECT ico, 'Ing. Jan ' || CASE event_id // 12 % 3 WHEN 0 THEN 'Dvořák' WHEN 1 THEN 'Novák' ELSE 'Malý' END AS name, event_id // 36 % 2 AS born FROM movement"
+PEOPLE = "SELECT ico, 'Ing. Jan ' || CASE event_id % 3 WHEN 0 THEN 'Dvořák' WHEN 1 THEN 'Novák' ELSE 'Malý' END AS name, event_id // 30 % 2 AS born FROM movement"
 
 
 def people(spark, d):
     """Board members: names by event, birth marks that collide."""
-    i = F.expr("event_id div 12")
+    i = F.col("event_id")
     last = F.when(i % 3 == 0, "Dvořák").when(i % 3 == 1, "Novák").otherwise("Malý")
-    return T.movement(spark, d).select("ico", F.concat(F.lit("Ing. Jan "), last).alias("name"), F.expr("event_id div 36 % 2").alias("born"))
+    return T.movement(spark, d).select("ico", F.concat(F.lit("Ing. Jan "), last).alias("name"), F.expr("event_id div 30 % 2").alias("born"))
 
 
 @query("q67_namesakes", with_sql("SELECT ico, name FROM people GROUP BY ico, name HAVING count(DISTINCT born) > 1", "movement", people=PEOPLE))
@@ -45,7 +45,7 @@ def seed_domains(spark, d):
     return identity.seed_domains(rows, hosts.where("page_id % 17 = 0").select("domain"))
 
 
-CONTACT = "SELECT lpad(CAST(o_custkey AS VARCHAR), 8, '0') AS ico, 'Jan ' || CASE o_orderkey % 4 WHEN 0 THEN 'Dvořák' WHEN 1 THEN 'Novák' WHEN 2 THEN 'Malý' ELSE 'Nikdo' END AS name, CASE WHEN o_orderkey % 5 = 0 THEN 'a@firma.cz' ELSE 'b@jinde.cz' END AS email FROM orders WHERE o_orderkey % 7 = 0"
+CONTACT = "SELECT lpad(CAST(o_custkey AS VARCHAR), 8, '0') AS ico, 'Jan ' || CASE o_orderkey % 4 WHEN 0 THEN 'Dvořák' WHEN 1 THEN 'Novák' WHEN 2 THEN 'Malý' ELSE 'Nikdo' END AS name, CASE WHEN o_orderkey % 5 = 0 THEN 'a@firma.cz' ELSE 'b@jinde.cz' END AS email FROM orders"
 GRADED = "SELECT c.*, CASE WHEN EXISTS (SELECT 1 FROM people p WHERE p.ico = c.ico AND split_part(p.name, ' ', 3) = split_part(c.name, ' ', 2)) THEN 'register' WHEN email LIKE '%@firma.cz' THEN 'own_domain' ELSE 'external' END AS tier FROM contact c"
 
 
@@ -53,7 +53,7 @@ GRADED = "SELECT c.*, CASE WHEN EXISTS (SELECT 1 FROM people p WHERE p.ico = c.i
 def tender_contacts(spark, d):
     k = F.col("o_orderkey")
     last = F.when(k % 4 == 0, "Dvořák").when(k % 4 == 1, "Novák").when(k % 4 == 2, "Malý").otherwise("Nikdo")
-    rows = T.table(spark, d, "orders").where(k % 7 == 0)
+    rows = T.table(spark, d, "orders")
     rows = rows.select(F.lpad(F.col("o_custkey").cast("string"), 8, "0").alias("ico"), F.concat(F.lit("Jan "), last).alias("name"), F.when(k % 5 == 0, "a@firma.cz").otherwise("b@jinde.cz").alias("email"))
     domains = T.company(spark, d).select("ico", F.lit("firma.cz").alias("domain"))
     return identity.tender_contacts(identity.contact_tier(rows, people(spark, d), domains))
@@ -87,13 +87,13 @@ def regrade(spark, d):
     return identity.regrade(T.website(spark, d), proofs).select("ico", "status", "regraded")
 
 
-@query("q75_snapshot_for", with_sql("SELECT f.id, CASE WHEN f.url IS NOT NULL THEN l.id ELSE s.id END AS snapshot_id FROM (SELECT * FROM snapshot WHERE id % 3 = 0) f LEFT JOIN latest l ON f.ico = l.ico AND f.source = l.source AND f.url = l.url LEFT JOIN (SELECT ico, source, max(id) AS id FROM latest GROUP BY ico, source) s ON s.ico = f.ico AND s.source = f.source", "snapshot",
+@query("q75_snapshot_for", with_sql("SELECT f.id, CASE WHEN f.url IS NOT NULL THEN l.id ELSE s.id END AS snapshot_id FROM snapshot f LEFT JOIN latest l ON f.ico = l.ico AND f.source = l.source AND f.url = l.url LEFT JOIN (SELECT ico, source, max(id) AS id FROM latest GROUP BY ico, source) s ON s.ico = f.ico AND s.source = f.source", "snapshot",
     latest="SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ico, url ORDER BY fetched_at DESC, id DESC) AS n FROM snapshot) WHERE n = 1"))
 def snapshot_for(spark, d):
     from leadloom.operators import evidence
 
     rows = T.snapshot(spark, d)
-    happened = rows.where("id % 3 = 0").select("ico", "source", "url", F.col("id").alias("event"))
+    happened = rows.select("ico", "source", "url", F.col("id").alias("event"))
     found = identity.snapshot_for(happened, evidence.latest_documents(rows))
     return found.select(F.col("event").alias("id"), "snapshot_id")
 
@@ -141,10 +141,10 @@ def feed_archive(spark, d):
     return parsed.select("ico", F.size("rows").cast("long").alias("n"), F.size(F.array_distinct(F.transform("rows", lambda r: r["date"]))).cast("long").alias("days"))
 
 
-@query("q82_places", "SELECT code, CASE WHEN code % 2 = 0 THEN 'part ' || code ELSE n_name END AS name FROM (SELECT n_nationkey AS code, n_name FROM nation)")
+@query("q82_places", "SELECT p_partkey AS code, coalesce(s_name, p_name) AS name FROM part LEFT JOIN supplier ON p_partkey = s_suppkey * 2 UNION ALL SELECT s_suppkey * 2, s_name FROM supplier WHERE s_suppkey * 2 NOT IN (SELECT p_partkey FROM part)")
 def places(spark, d):
-    towns = T.table(spark, d, "nation").select(F.col("n_nationkey").alias("code"), F.col("n_name").alias("name"))
-    parts = towns.where("code % 2 = 0").select("code", F.concat(F.lit("part "), F.col("code").cast("string")).alias("name"))
+    towns = T.table(spark, d, "part").select(F.col("p_partkey").alias("code"), F.col("p_name").alias("name"))
+    parts = T.table(spark, d, "supplier").select((F.col("s_suppkey") * 2).alias("code"), F.col("s_name").alias("name"))
     return identity.places_with_parts(towns, parts)
 
 
@@ -163,12 +163,14 @@ def revenue_windows(spark, d):
     return pages.revenue_windows(docs).select("id", "label", F.col("numbers")[0].alias("number"))
 
 
-@query("q85_person_contacts", with_sql("SELECT ico, count(*) AS people, count(*) FILTER (ev % 2 = 0) AS reached FROM (SELECT ico, name, max(event_id // 12) AS ev FROM (SELECT ico, event_id, 'Jan Novák' || chr(CAST(97 + event_id // 12 % 20 AS INTEGER)) AS name FROM movement) GROUP BY ico, name) GROUP BY ico", "movement"))
+@query("q85_person_contacts", with_sql("SELECT ico, count(*) AS people, count(*) FILTER (ev % 2 = 0) AS reached, CAST(sum(CASE WHEN ev % 3 = 0 THEN 0 ELSE 4 END + CASE WHEN ev % 2 = 0 THEN 3 ELSE 0 END + 2) AS BIGINT) AS score FROM (SELECT ico, name, max(event_id) AS ev FROM (SELECT ico, event_id, 'Jan Novák' || chr(CAST(97 + event_id % 20 AS INTEGER)) AS name FROM movement) GROUP BY ico, name) GROUP BY ico", "movement"))
 def person_contacts(spark, d):
-    i = F.expr("event_id div 12")
+    i = F.col("event_id")
     rows = T.movement(spark, d).select("ico", i.alias("page_ord"), F.concat(F.lit("Jan Novák"), F.char(97 + i % 20)).alias("name"))
     last = rows.groupBy("ico", "name").agg(F.max("page_ord").alias("page_ord"))
-    mail = F.when(F.col("page_ord") % 2 == 0, F.concat(F.lit(" novak"), F.substring("name", -1, 1), F.lit("@firma.cz"))).otherwise("")
-    text = last.select("ico", "page_ord", F.concat(F.lit("Ing. "), "name", F.lit(", jednatel"), mail, F.lit(".")).alias("text"))
+    mail = F.when(F.col("page_ord") % 2 == 0, F.concat(F.lit(" j.novak"), F.substring("name", -1, 1), F.lit("@firma.cz"))).otherwise("")
+    # Every third page gives the surname alone, after prose that names the person without any detail.
+    shown = F.when(F.col("page_ord") % 3 == 0, F.concat(F.lit("Petr "), F.split("name", " ")[1])).otherwise(F.col("name"))
+    text = last.select("ico", "page_ord", F.concat(F.lit("Dnes "), "name", F.lit(" mlčí. " + "a " * 80 + "Ing. "), shown, F.lit(", jednatel"), mail, F.lit(".")).alias("text"))
     found = pages.person_occurrences(text, rows)
-    return found.groupBy("ico").agg(F.count("*").alias("people"), F.count("email").alias("reached"))
+    return found.groupBy("ico").agg(F.count("*").alias("people"), F.count("email").alias("reached"), F.sum("score").cast("long").alias("score"))

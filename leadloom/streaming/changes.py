@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -53,26 +54,26 @@ def merge_into(stream: DataFrame, read_base: Callable[[], DataFrame | None], wri
     return stream.writeStream.foreachBatch(apply).outputMode("append")
 
 
-def changed_flags(rows: DataFrame) -> DataFrame:
-    """Batch twin of the page state: whether a snapshot differs from the one before it."""
-    order = Window.partitionBy("ico", "source", "url").orderBy("fetched_at", "id")
-    return rows.withColumn("changed", ~F.coalesce(F.lag("sha256").over(order) == F.col("sha256"), F.lit(False)))
-
-
 def page_changes(snapshots: DataFrame) -> DataFrame:
-    """Stream of snapshots (ico, source, url, id, sha256) with ``changed`` against the one before.
+    """Stream of snapshots (ico, source, url, fetched_at, id, sha256) with ``changed`` against the one before.
 
-    State is the last digest of each (ico, source, url); snapshots of a key within one
-    micro-batch are taken by id.
+    The one before is that of the same url; a snapshot without one compares with the last
+    of any url, as the batch index does.  State holds a company's last digest of each url
+    and of all; snapshots within one micro-batch are taken by fetched_at, then id.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("id")
-        last = state.get[0] if state.exists else None
-        before = [last, *rows["sha256"].tolist()[:-1]]
-        state.update((rows["sha256"].iloc[-1],))
-        yield rows.assign(changed=[a != b for a, b in zip(before, rows["sha256"])])[["ico", "source", "url", "id", "changed"]]
+        rows = pd.concat(list(batches)).sort_values(["fetched_at", "id"])
+        last, known = (state.get[0], json.loads(state.get[1])) if state.exists else (None, {})
+        changed = []
+        for url, digest in zip(rows["url"], rows["sha256"]):
+            no_url = url is None or url != url
+            changed.append((last if no_url else known.get(url)) != digest)
+            last = digest
+            known["" if no_url else url] = digest
+        state.update((last, json.dumps(known)))
+        yield rows.assign(changed=changed)[["ico", "source", "url", "id", "changed"]]
 
     schema = "ico string, source string, url string, id long, changed boolean"
-    rows = snapshots.select("ico", "source", F.coalesce("url", F.lit("")).alias("url"), "id", "sha256")
-    return rows.groupBy("ico", "source", "url").applyInPandasWithState(step, schema, "sha256 string", "append", GroupStateTimeout.NoTimeout)
+    rows = snapshots.select("ico", "source", "url", F.col("fetched_at").cast("timestamp").alias("fetched_at"), "id", "sha256")
+    return rows.groupBy("ico", "source").applyInPandasWithState(step, schema, "last string, urls string", "append", GroupStateTimeout.NoTimeout)

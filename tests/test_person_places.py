@@ -15,4 +15,4 @@ def test_contact_row_after_prose(spark):
     text = "Firmu založil Jan Novák v roce 1990. " + "Vyrábíme díly. " * 20 + "Kontakt: JAN NOVÁK, jednatel, novak@firma.cz, +420 123 456 789."
     page = spark.createDataFrame([("1", 0, text), ("1", 1, "Jan Novák, jednatel")], "ico string, page_ord int, text string")
     got = pages.person_occurrences(page, spark.createDataFrame([("1", "Jan Novák")], "ico string, name string")).collect()
-    assert [(r.score, r.page_ord, r.email, r.phone) for r in got] == [(7, 0, "novak@firma.cz", "+420 123 456 789")]
+    assert [(r.score, r.page_ord, r.email, r.phone) for r in got] == [(10, 0, "novak@firma.cz", "+420 123 456 789")]
