@@ -75,6 +75,36 @@ def distinct_companies(t):
     return t["week"].groupBy("ico").agg(F.count("*").alias("n")).where("n > 1").select("ico")
 
 
+@check("radius")
+def inside_radius(t):
+    """Needs the brief's ``km`` and the companies' distances in ``week``; without a radius nothing is outside."""
+    if t.get("km") is None:
+        return t["week"].where("false").select("ico")
+    return t["week"].where(F.col("km").isNull() | (F.col("km") > t["km"] + 5.0)).select("ico")
+
+
+@check("buying")
+def not_already_buying(t):
+    """Nobody is on the list for a subsidy who holds one whose project names a system already."""
+    funded = t["week"].join(t["events"].where("kind = 'subsidy_signed'"), "ico", "left_semi")
+    return funded.join(t["buying"], "ico", "left_semi").select("ico")
+
+
+@check("reasons_known")
+def held_back_explained(t):
+    """A ranked row is held back for known reasons only."""
+    known = F.array(F.lit("site_unproven"), F.lit("no_channel"))
+    return t["gated"].where(F.size(F.array_except("problems", known)) > 0).select("ico")
+
+
+@check("values")
+def known_values(t):
+    """Claims of unknown state or relevance, and companies delivered twice in one run."""
+    odd = t["claims"].where(~F.col("state").isin("fact", "inference", "discard") | ~F.coalesce(F.col("relevance").isin("supports", "unrelated"), F.lit(True))).select("ico")
+    twice = t["delivered"].groupBy("ico", "run_id").agg(F.count("*").alias("n")).where("n > 1").select("ico")
+    return odd.unionByName(twice)
+
+
 def report(tables: dict[str, DataFrame]) -> DataFrame:
     """check, violations: one row per check, all zero when the run is sound."""
     out: DataFrame | None = None

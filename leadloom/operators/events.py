@@ -103,15 +103,19 @@ def feed_lag(rows: DataFrame, day: str, as_of: str) -> DataFrame:
     return rows.agg(F.datediff(F.lit(as_of).cast("date"), F.max(day)).alias("lag"))
 
 
+def project_kind(rules: Sequence[tuple[str, str]]) -> Column:
+    """Class of a project: the first rule reads title and description, all others the title."""
+    first, *rest = rules
+    both = X.fold(F.concat_ws(" ", "project", "description"))
+    return F.when(both.rlike(first[1]), first[0]).otherwise(X.classify(X.fold("project"), rest))
+
+
 def funding_events(subsidies: DataFrame, rules: Sequence[tuple[str, str]], signal: Sequence[str], live: Sequence[str], as_of: str, window: int = 120, slack: int = 30) -> DataFrame:
     """Live subsidies in the window, with the project's class; fresh ones within lag + slack days.
 
     Only the first rule reads the description too; all others see the title alone.
     """
-    title = X.fold("project")
-    both = X.fold(F.concat_ws(" ", "project", "description"))
-    first, *rest = rules
-    kind = F.when(both.rlike(first[1]), first[0]).otherwise(X.classify(title, rest))
+    kind = project_kind(rules)
     lag = feed_lag(subsidies, "signed", as_of).scalar()
     age = F.datediff(F.lit(as_of).cast("date"), "signed")
     rows = subsidies.where(F.col("state").isin(*live) & in_window(F.col("signed"), as_of, window))
@@ -137,3 +141,52 @@ def reasons(events: DataFrame, tenders: DataFrame) -> DataFrame:
     view = view.withColumn("reason", letter).withColumn("corroborated", F.size("kinds") >= 2)
     own = F.coalesce(*[F.when(F.col("reason") == k, F.col(f"age_{f}")) for k, f in CLASS_FAMILIES.items()], "youngest", F.lit(1_000_000))
     return view.select("ico", "reason", "families", "kinds", "corroborated", "has_tender", own.alias("age_days"))
+
+
+# Codes and words of what is tendered.
+RELEVANT_CODES = ("48", "72", "42961")
+SUBJECT = (
+    r"(?i)\bERP\b|\bMES\b|\bWMS\b|\bAPS\b|informa[cč]n[ií]\s*syst[ée]m|[rř][ií]zen[ií]\s*v[ýy]roby|pl[aá]nov[aá]n[ií]\s*v[ýy]roby|"
+    r"v[ýy]robn[ií]\s*syst[ée]m|termin[aá]l|[cč]árov[ée]\s*k[oó]dy|sb[eě]r\s*dat|dispe[cč]|sklado[vw]"
+)
+
+
+def with_relevance(tenders: DataFrame, codes: Sequence[str] = RELEVANT_CODES, subject: str = SUBJECT) -> DataFrame:
+    """Tenders with ``relevant``: by the beginning of their code, or by what their name says."""
+    by_code = F.coalesce(F.col("cpv").rlike("^(" + "|".join(codes) + ")"), F.lit(False))
+    return tenders.withColumn("relevant", by_code | F.coalesce(F.col("name").rlike(subject), F.lit(False)))
+
+
+def already_buying(subsidies: DataFrame, rules: Sequence[tuple[str, str]], kind: str = "already_buying") -> DataFrame:
+    """ico, project: distinct projects whose title alone says that a system is being bought."""
+    return subsidies.where(X.classify(X.fold("project"), rules) == kind).select("ico", "project").distinct()
+
+
+def vacancy_texts(vacancies: DataFrame) -> DataFrame:
+    """ico, label, text: title and body of each posting as one text; postings without any are left out."""
+    blank = lambda x: F.nullif(F.trim(F.coalesce(x, F.lit(""))), F.lit(""))
+    rows = vacancies.select("ico", F.coalesce(blank("title"), F.col("id").cast("string")).alias("label"), F.concat_ws(" ", blank("title"), blank("text")).alias("text"))
+    return rows.where("text <> ''")
+
+
+def kinds_per_window(events: DataFrame, widths: Sequence[int], as_of: str) -> DataFrame:
+    """width, kind, n: events of each kind not older than each width; an event is counted in all windows that hold it."""
+    aged = events.select("kind", F.datediff(F.lit(as_of).cast("date"), "date").alias("age")).where("age >= 0").groupBy("kind", "age").agg(F.count("*").alias("m"))
+    wide = aged.select("kind", "m", F.explode(F.filter(F.array(*map(F.lit, widths)), lambda w: w >= F.col("age"))).alias("width"))
+    return wide.groupBy("width", "kind").agg(F.sum("m").alias("n"))
+
+
+def depth_cost(record: DataFrame, groups: Sequence[str], widths: Sequence[int], as_of: str) -> DataFrame:
+    """width, companies, observed: companies with a wanted posting in a window, and those watched long enough to tell."""
+    months = F.size(F.collect_set(F.trunc("date", "month")).over(Window.partitionBy("ico")))
+    young = record.withColumn("months", months).where(F.col("occupation").isin(*groups)).withColumn("age", F.datediff(F.lit(as_of).cast("date"), "date")).where("age >= 0")
+    each = young.groupBy("ico").agg(F.min("age").alias("age"), F.max("months").alias("months"))
+    wide = each.select("months", F.explode(F.filter(F.array(*map(F.lit, widths)), lambda w: w >= F.col("age"))).alias("width"))
+    return wide.groupBy("width").agg(F.count("*").alias("companies"), F.count_if(confidence("months").isNotNull()).alias("observed"))
+
+
+def already_known(moves: DataFrame) -> DataFrame:
+    """Arrivals of directors whose name is elsewhere in the company's own record: as an owner, or as one who left."""
+    own = Window.partitionBy("ico", F.lower("name"))
+    director = F.col("kind") == "director_joined"
+    return moves.withColumn("__else", F.count_if(~director).over(own)).where(director & (F.col("__else") > 0) & F.col("name").isNotNull()).drop("__else")

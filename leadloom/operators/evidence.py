@@ -181,3 +181,47 @@ def document_budget(documents: DataFrame, priority: dict[str, int], per_kind: in
     plain = rows.where(F.col("kind") != reserved).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= F.when(F.col("__has"), total - 1).otherwise(total))
     special = rows.where(F.col("kind") == reserved).withColumn("__n", F.row_number().over(order)).where("__n = 1")
     return plain.unionByName(special).select(*documents.columns, "rank").withColumn("text", F.substring("text", 1, chars))
+
+
+def unjudged(claims: DataFrame, family: str = "pain") -> DataFrame:
+    """Facts of a family with a quote that no judge has seen."""
+    return claims.where((X.family("kind") == family) & (F.col("state") == "fact") & (F.coalesce("quote", F.lit("")) != "") & F.col("relevance").isNull())
+
+
+def judge_report(claims: DataFrame, family: str = "pain") -> DataFrame:
+    """ico, supports, unrelated, unjudged: what the judge said of a family's facts."""
+    rows = claims.where((X.family("kind") == family) & (F.col("state") == "fact"))
+    return rows.groupBy("ico").agg(F.count_if(F.col("relevance") == "supports").alias("supports"), F.count_if(F.col("relevance") == "unrelated").alias("unrelated"), F.count_if(F.col("relevance").isNull()).alias("unjudged"))
+
+
+def store_statistics(index: DataFrame) -> DataFrame:
+    """One row: snapshots, distinct texts, companies with any."""
+    return index.agg(F.count("*").alias("snapshots"), F.count_distinct("sha256").alias("texts"), F.count_distinct("ico").alias("companies"))
+
+
+def kind_spread(claims: DataFrame) -> DataFrame:
+    """kind, companies, n: over how many companies each kind of claim is spread."""
+    return claims.groupBy("kind").agg(F.count_distinct("ico").alias("companies"), F.count("*").alias("n"))
+
+
+def contradicted(claims: DataFrame, current: DataFrame) -> DataFrame:
+    """Claims without departures that the register contradicts: somebody still listed in that role is named in the sentence.
+
+    ``current``: ico, role, name.  Names are compared in small letters, as parts of the value.
+    """
+    departed = F.regexp_extract("kind", r"^now:(director|owner)_departed$", 1)
+    names = current.where("name <> ''").groupBy("ico", "role").agg(F.collect_set(F.lower("name")).alias("__names"))
+    joined = claims.withColumn("__role", departed).join(names.select("ico", F.col("role").alias("__role"), "__names"), ["ico", "__role"], "left")
+    said = F.lower(F.coalesce("value", F.lit("")))
+    return joined.where(~F.coalesce(F.exists("__names", lambda n: F.contains(said, n)), F.lit(False))).select(*claims.columns)
+
+
+#: Fixed value: a turnover word, and an amount with its unit in the same sentence.
+TURNOVER = r"(?i)(?:obrat|tr[žz]by|v[ýy]nosy|turnover|revenue)[^.]{0,60}?\d[\d\s.,]{0,12}\s*(?:mil|mld|tis|milion|miliard|m\.?\s*K[čc]|K[čc]|EUR|USD)"
+
+
+def turnover_pages(documents: DataFrame, context: int = 400) -> DataFrame:
+    """id, ico, excerpt: documents that name a turnover, with the text around the first place."""
+    at = F.instr(F.col("text"), F.regexp_substr("text", F.lit(TURNOVER)))
+    rows = documents.where(F.col("text").rlike(TURNOVER)).withColumn("__at", at)
+    return rows.select("id", "ico", F.substring("text", F.greatest(F.lit(1), F.col("__at") - context), F.lit(2 * context)).alias("excerpt"))

@@ -204,3 +204,69 @@ def company_contacts(pages: DataFrame, people: DataFrame, withheld: DataFrame) -
     desks = mails.join(own, ["ico", "address"], "left_anti").groupBy("ico").agg(F.transform(F.array_sort(F.collect_list(F.struct(desk_rank(F.col("address")).alias("r"), "address"))), lambda x: x["address"]).alias("desks"))
     named = persons.where("email is not null or phone is not null").groupBy("ico").agg(F.array_sort(F.collect_list(F.struct("name", "email", "phone", "score"))).alias("people"))
     return desks.join(named, "ico", "full")
+
+
+#: Signs of a page that nobody has filled, names of desks, and the order of pages that hold contacts.
+PARKED = (
+    r"(?iU)doména\s+je\s+na\s+prodej|tato\s+doména|domain\s+(?:is\s+)?for\s+sale|připravujeme|stránky\s+se\s+připravují|under\s+construction|"
+    r"default\s+web\s+page|it\s+works!|welcome\s+to\s+nginx|apache2?\s+default"
+)
+DESKS = tuple(
+    (
+        "info obchod office sekretariat podatelna firma kancelar prodej servis mail post sales export import fakturace faktury ucetni uctarna expedice logistika doprava vyroba sklad "
+        "reklamace poptavka objednavky nakup personalni kariera hr praca prace job jobs marketing it helpdesk support dispecink dispecer recepce spravce admin webmaster gdpr kontakt "
+        "contact zakaznik eshop shop no-reply noreply newsletter studio atelier provoz technik"
+    ).split()
+)
+PAGE_ORDER = {"contact": 0, "about": 1, "home": 2, "career": 3}
+
+
+def parked(text: Column, head: int = 2000, least: int = 200) -> Column:
+    """Whether a page's text says in its beginning that nothing is there, or is too short to say anything."""
+    return (F.length(text) < least) | F.substring(text, 1, head).rlike(PARKED)
+
+
+def personal_address(address: Column, domain: Column) -> Column:
+    """Whether an address is a person's: not a desk's, not one with an ``e`` before a desk, not the company's own name."""
+    local = F.lower(F.split(address, "@")[0])
+    stem = F.split(local, "[._-]")[0]
+    trimmed = F.when(F.startswith(local, F.lit("e")), F.substring(local, 2, 200)).otherwise("")
+    squeezed = lambda x: F.regexp_replace(x, "[^a-z0-9]", "")
+    own = squeezed(F.split(F.lower(F.coalesce(domain, F.lit(""))), r"\.")[0])
+    return ~(local.isin(*DESKS) | stem.isin(*DESKS) | trimmed.isin(*DESKS) | ((own != "") & (squeezed(local) == own)))
+
+
+def contact_links(found: DataFrame, word: str, strong: str, most: int = 5) -> DataFrame:
+    """page_id, url, rank, place: same-site links that may lead to contacts, best first.
+
+    ``found``: page_id, base (the page's own address), href, label.  Links whose address
+    or label has ``word`` rank 2 by their last part or label, 3 where the last part is
+    ``strong`` as a whole, else 1; then shorter paths, then the later address.  A path
+    counts once, whatever language it begins with.
+    """
+    rows = found.withColumn("url", F.when(F.col("href").rlike("^[a-zA-Z]+:"), F.col("href")).otherwise(F.concat(F.regexp_extract("base", r"^([a-zA-Z]+://[^/?#]+)", 1), F.when(F.startswith("href", F.lit("/")), "").otherwise("/"), "href")))
+    rows = rows.where(F.col("url").rlike("^https?://") & (host(F.col("url")) == host(F.col("base"))) & (F.col("href").rlike(word) | F.col("label").rlike(word)))
+    path = F.regexp_extract("url", r"^[a-zA-Z]+://[^/?#]+([^?#]*)", 1)
+    parts = F.filter(F.split(path, "/"), lambda s: s != "")
+    last = F.regexp_replace(F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit("")), r"\.[^.]*$", "")
+    bare = F.when(F.get(parts, 0).rlike(r"^(?:[a-z]{2}|cz)$"), F.slice(parts, 2, 1000)).otherwise(parts)
+    rank = F.when(last.rlike(f"{strong}"), 3).when(last.rlike(word) | F.col("label").rlike(word), 2).otherwise(1)
+    rows = rows.select("page_id", "url", rank.alias("rank"), F.length(path).alias("n"), X.fold(F.array_join(bare, "/")).alias("key"), "pos")
+    once = rows.groupBy("page_id", "key").agg(F.min(F.struct("pos", "url", "rank", "n")).alias("b")).select("page_id", "b.url", "b.rank", "b.n")
+    order = Window.partitionBy("page_id").orderBy(F.desc("rank"), "n", F.desc("url"))
+    return once.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("n")
+
+
+def contact_order(kind: Column) -> Column:
+    """Place of a page's kind among those that may hold contacts."""
+    return F.coalesce(F.create_map(*[F.lit(x) for p in PAGE_ORDER.items() for x in p])[kind], F.lit(9))
+
+
+def best_contact_page(pages: DataFrame) -> DataFrame:
+    """ico, page_ord, score: the page with most people reached (ten each) and addresses and numbers; the first of equal ones.
+
+    ``pages``: ico, page_ord, reachable, channels.
+    """
+    score = (F.col("reachable") * 10 + F.col("channels")).alias("score")
+    best = pages.groupBy("ico").agg(F.max(F.struct(score, (-F.col("page_ord")).alias("o"))).alias("b"))
+    return best.select("ico", (-F.col("b.o")).alias("page_ord"), F.col("b.score").alias("score"))

@@ -139,3 +139,48 @@ def history(delivered: DataFrame, companies: DataFrame) -> DataFrame:
 def mark_delivered(delivered: DataFrame, fresh: DataFrame) -> DataFrame:
     """Rows to append: (ico, run_id) pairs not there yet."""
     return fresh.dropDuplicates(["ico", "run_id"]).join(delivered.select("ico", "run_id"), ["ico", "run_id"], "left_anti")
+
+
+def pool_counts(judged: DataFrame) -> DataFrame:
+    """One row: all companies, those the brief rejects, of the others those excluded, and the pool that is left."""
+    passed = F.col("reject_reason").isNull()
+    out = F.col("verdict") == "exclude"
+    return judged.agg(F.count("*").alias("total"), F.count_if(~passed).alias("rejected"), F.count_if(passed & out).alias("excluded"), F.count_if(passed & ~out).alias("pool"))
+
+
+def contact_richness(people: DataFrame, channels: DataFrame) -> DataFrame:
+    """ico, named_people, register_confirmed, any_channel from people with a channel and the companies' own channels.
+
+    ``people``: ico, source, email, phone; ``channels``: ico of companies that print one.
+    """
+    reach = F.col("email").isNotNull() | F.col("phone").isNotNull()
+    counted = people.groupBy("ico").agg(F.count_if(reach).alias("named_people"), F.count_if(reach & (F.col("source") == "register")).alias("register_confirmed"))
+    own = channels.select("ico").distinct().withColumn("__own", F.lit(True))
+    both = counted.join(own, "ico", "full").na.fill(0, ["named_people", "register_confirmed"])
+    return both.select("ico", "named_people", "register_confirmed", ((F.col("named_people") > 0) | F.col("__own").isNotNull()).alias("any_channel"))
+
+
+def vacancy_richness(vacancies: DataFrame) -> DataFrame:
+    """ico, vacancies, vacancy_texts: postings, and those that say anything."""
+    return vacancies.groupBy("ico").agg(F.count("*").alias("vacancies"), F.count_if(F.trim(F.coalesce("text", F.lit(""))) != "").alias("vacancy_texts"))
+
+
+def website_richness(sites: DataFrame, documents: DataFrame) -> DataFrame:
+    """ico, pages, mode_findings of proven sites; a site that isn't proven counts for nothing.
+
+    ``documents``: ico, url, hits (what a page says of the mode).
+    """
+    found = documents.groupBy("ico").agg(F.count_distinct("url").alias("pages"), F.sum("hits").alias("mode_findings"))
+    proven = F.col("status") == "proven"
+    rows = sites.join(found, "ico", "left")
+    return rows.select("ico", *[F.coalesce(F.when(proven, F.col(c)), F.lit(0)).cast("long").alias(c) for c in ("pages", "mode_findings")])
+
+
+#: What each part of a company's material weighs.
+WEIGHTS = {"facts": 6, "inferences": 2, "register_confirmed": 5, "mode_findings": 3, "named_people": 1, "pages": 1, "vacancy_texts": 1, "events": 1}
+
+
+def richness_score(parts: DataFrame) -> DataFrame:
+    """``parts`` (ico and any of the columns of WEIGHTS) with ``richness``; it is shown, not ranked by."""
+    terms = [F.coalesce(F.col(c), F.lit(0)) * w for c, w in WEIGHTS.items() if c in parts.columns]
+    return parts.withColumn("richness", sum(terms[1:], terms[0]).cast("long"))

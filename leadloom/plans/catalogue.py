@@ -215,9 +215,7 @@ def funding(spark, d):
 
 @query("q18_subsidy_classified", with_sql(f"SELECT {_project()} AS project_kind, count(*) AS n, sum(CAST(total AS DECIMAL(18, 2))) AS total FROM subsidy GROUP BY 1", "subsidy"))
 def subsidy_classified(spark, d):
-    title, both = X.fold("project"), X.fold(F.concat_ws(" ", "project", "description"))
-    kind = F.when(both.rlike(T.RULES[0][1]), T.RULES[0][0]).otherwise(X.classify(title, T.RULES[1:]))
-    return T.subsidy(spark, d).groupBy(kind.alias("project_kind")).agg(F.count("*").alias("n"), F.sum(F.col("total").cast("decimal(18,2)")).alias("total"))
+    return T.subsidy(spark, d).groupBy(events.project_kind(T.RULES).alias("project_kind")).agg(F.count("*").alias("n"), F.sum(F.col("total").cast("decimal(18,2)")).alias("total"))
 
 
 @query("q19_funding_events", with_sql("SELECT ico, signed, project, project_kind, CAST(age_days AS INTEGER) AS age_days, fresh FROM funding", "subsidy", funding=FUNDING))
@@ -654,7 +652,11 @@ def audited(spark, d):
     why = materialize(reasons(spark, d, seen), "reasons")
     placed = materialize(select.ranked(select.evaluate(qualify.eligible(judged_firms), why, richness(spark, d))), "ranked")
     picked = materialize(select.week(placed, seen, T.delivered(spark, d), groups(spark, d), 5), "week")
-    return audit.report({"ranked": placed, "judged": judged_firms, "events": seen, "week": picked, "reasons": why})
+    picked = picked.join(judged_firms.select("ico", "km"), "ico", "left")
+    funded = T.subsidy(spark, d)
+    buying = funded.where(events.project_kind(T.RULES) == "already_buying").select("ico").distinct()
+    found = {"ranked": placed, "judged": judged_firms, "events": seen, "week": picked, "reasons": why, "km": BRIEF.km, "buying": buying, "gated": select.gate(placed), "claims": T.claim(spark, d), "delivered": T.delivered(spark, d)}
+    return audit.report(found)
 
 
 @query("q62_stream_changes", with_sql("SELECT ico, batch, pos, kind FROM (SELECT *, row_number() OVER (PARTITION BY ico ORDER BY batch DESC, pos DESC) AS n FROM change) WHERE n = 1", "change"))
