@@ -205,3 +205,8 @@ def places_with_parts(towns: DataFrame, parts: DataFrame) -> DataFrame:
     rows = towns.withColumn("o", F.lit(1)).unionByName(parts.withColumn("o", F.lit(0)))
     rest = [c for c in towns.columns if c != "code"]
     return rows.groupBy("code").agg(F.min(F.struct("o", *rest)).alias("b")).select("code", *[F.col(f"b.{c}").alias(c) for c in rest])
+
+
+def proven_domains(websites: DataFrame) -> DataFrame:
+    """ico, domain of sites that are proven to be the company's."""
+    return websites.where((F.col("status") == "proven") & (F.coalesce("domain", F.lit("")) != "")).select("ico", "domain").distinct()

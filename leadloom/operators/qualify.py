@@ -138,3 +138,19 @@ def code_names(rows: DataFrame, codes: DataFrame, code_col: str, levels: Sequenc
     asked = rows.select(code_col).distinct().select(code_col, F.inline(F.array(*own)))
     best = asked.join(codes.select("code", "text"), "code").groupBy(code_col).agg(F.min_by("text", "rank").alias("code_name"))
     return rows.join(best, code_col, "left")
+
+
+def baseline(companies: DataFrame, forms: Sequence[str], codes: Sequence[str]) -> DataFrame:
+    """Companies alive and of a wanted form, with ``code``: the first of ``codes`` that isn't blank."""
+    code = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in codes], F.lit(""))
+    return companies.where(F.col("ended").isNull() & F.col("form").isin(*forms)).withColumn("code", code)
+
+
+def with_label(rows: DataFrame, column: str, names: dict[str, str], label: str) -> DataFrame:
+    """Rows with the name of a code; a code without one stands for itself."""
+    return rows.withColumn(label, F.coalesce(F.create_map(*[F.lit(x) for p in names.items() for x in p])[F.col(column)], F.col(column)))
+
+
+def admit(base: DataFrame, register: DataFrame, newcomers: DataFrame) -> DataFrame:
+    """The base and the register's rows of companies that are new to it; both have the base's columns."""
+    return base.unionByName(register.join(newcomers.select("ico").distinct(), "ico", "left_semi").select(*base.columns))

@@ -103,6 +103,30 @@ def _run(spark):
     }
 
 
+def test_later_checks_of_the_audit_fire(spark):
+    t = lambda rows, schema: spark.createDataFrame(rows, schema)
+    run = {
+        "km": 150.0, "week": t([("in", 155.0), ("far", 156.0), ("lost", None), ("buys", 1.0)], "ico string, km double"), "events": t([("buys", "subsidy_signed"), ("in", "tender_open")], "ico string, kind string"),
+        "buying": t([("buys",), ("in",)], "ico string"), "gated": t([("in", ["no_channel"]), ("odd", ["weather"])], "ico string, problems array<string>"),
+        "claims": t([("in", "fact", None), ("guess", "guess", None), ("judged", "fact", "maybe")], "ico string, state string, relevance string"), "delivered": t([("in", 1), ("twice", 2), ("twice", 2)], "ico string, run_id int"),
+    }
+    found = {name: sorted(r.ico for r in audit.CHECKS[name](run).collect()) for name in ("radius", "buying", "reasons_known", "values")}
+    assert found == {"radius": ["far", "lost"], "buying": ["buys"], "reasons_known": ["odd"], "values": ["guess", "judged", "twice"]}
+    assert audit.inside_radius({**run, "km": None}).count() == 0
+
+
+def test_contact_links_rank(spark):
+    base = "https://www.firma.cz/"
+    rows = [
+        (1, base, 0, "/kontakt", "x"), (1, base, 1, "https://firma.cz/cs/kontakt", "again"), (1, base, 2, "https://other.cz/kontakt", "x"), (1, base, 3, "mailto:kontakt@firma.cz", "x"), (1, base, 4, "/o-nas/kontakt-info.html", "x"),
+        (1, base, 5, "/kontakt/mapa", "x"), (1, base, 6, "/a", "Kontakt"), (1, base, 7, "/news", "x"),
+    ]
+    found = spark.createDataFrame(rows, "page_id int, base string, pos int, href string, label string")
+    got = [(r.url, r.rank) for r in pages.contact_links(found, "(?i)kontakt", "(?i)^kontakty?$").orderBy("place").collect()]
+    assert got == [("https://www.firma.cz/kontakt", 3), ("https://www.firma.cz/a", 2), ("https://www.firma.cz/o-nas/kontakt-info.html", 2), ("https://www.firma.cz/kontakt/mapa", 1)]
+    assert [one(spark, pages.contact_order(F.col("k")), k=k) for k in ("contact", "career", "news")] == [0, 3, 9]
+
+
 def test_each_check_of_the_audit_fires(spark):
     run = _run(spark)
     found = {name: sorted(r.ico for r in check(run).collect()) for name, check in audit.CHECKS.items() if name in audit_names}
