@@ -243,19 +243,26 @@ def labelled_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         signed.where("key is not null").groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
         "classes",
     )
+    # Of each row only its class is needed from here on; tables go as soon as nothing reads them.
+    own_class = materialize(signed.select("id", "n", "key"), "own")
+    discard(signed)
     banded = classes.select("key", F.explode("bands").alias("bucket"))
     heads = materialize(banded.groupBy("bucket").agg(F.min("key").alias("head"), F.count("*").alias("size")).where("size > 1"), "heads")
     hot = materialize(salts(heads, "bucket", "size"), "hot")
     shared_buckets = materialize(many_to_one(banded, heads, "bucket", hot, F.col("key")), "buckets")
+    discard(heads)
     first = materialize(shared_buckets.select("key").distinct().join(classes.select("key", "first_id"), "key"), "wanted")
     texts = _texts(rows, first, width)
     links = _star_links(shared_buckets, classes, texts, width, percent)
     labels = components(links)
     members = shared_buckets.where("size > 2").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     spread = materialize(dealt_blocks(members, hot), "blocks")
+    discard(links, shared_buckets, hot)
     marked = materialize(likely_members(spread, classes, percent), "marked")
+    discard(spread)
     described = marked.join(classes.select("key", "bands", "sketch"), "key").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key")).join(texts, "key")
     more = materialize(described.groupBy("bucket", "low", "high").applyInArrow(_block_function(width, percent), "a binary, b binary").distinct(), "more")
+    discard(first, texts, marked)
     merged = components(
         more.join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
     )
@@ -267,8 +274,8 @@ def labelled_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     smallest = materialize(named.groupBy("top").agg(F.min("first_id").alias("component_id"), F.count("*").alias("size")), "smallest")
     of_class = many_to_one(named, smallest.drop("size"), "top", salts(smallest, "top", "size"), F.col("key")).select("key", "component_id", "top", "copies")
     of_class = materialize(of_class, "components")
-    placed = many_to_one(signed.select("id", "n", "key"), of_class.drop("copies"), "key", salts(of_class, "key", "copies"), F.col("id"), "left")
-    discard(classes, heads, hot, shared_buckets, first, texts, links, labels, spread, marked, more, merged, large, named, smallest)
+    placed = many_to_one(own_class, of_class.drop("copies"), "key", salts(of_class, "key", "copies"), F.col("id"), "left")
+    discard(classes, labels, more, merged, large, named, smallest)
     component = F.coalesce("component_id", "id")
     return placed.select(
         F.col("id").alias("doc_id"),
