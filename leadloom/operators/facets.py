@@ -90,3 +90,26 @@ def ledger(calls: DataFrame, prices: DataFrame) -> DataFrame:
     priced = calls.join(F.broadcast(prices), "model")
     cost: Column = F.round((F.col("tokens_in") * F.col("price_in") + F.col("tokens_out") * F.col("price_out")) / 1_000_000, 6)
     return priced.groupBy("model").agg(F.count("*").alias("calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.sum(cost).alias("cost"))
+
+
+def company_index(companies: DataFrame, places: DataFrame) -> DataFrame:
+    """One row a company for the map: the last row of a key stands, with its division and its town's point.
+
+    ``companies``: ico, pos, code, place and others; ``places``: place, lat, lon, one row a place.
+    A company of an unknown place keeps null coordinates.  Write it partitioned by ``division``.
+    """
+    rest = [x for x in companies.columns if x not in ("ico", "pos")]
+    last = companies.groupBy("ico").agg(F.max_by(F.struct(*rest), "pos").alias("r")).select("ico", "r.*")
+    return last.withColumn("division", F.substring("code", 1, 2)).join(places.select("place", "lat", "lon"), "place", "left")
+
+
+def division_documents(companies: DataFrame) -> DataFrame:
+    """One nested row a division: its total and its codes, the largest first, of equal ones by code.
+
+    A code that is only its division is in the total and ``bare``, not among the codes.
+    """
+    counts = companies.where("nace <> ''").groupBy(F.substring("nace", 1, 2).alias("division"), "nace").agg(F.count("*").alias("n"))
+    bare = F.col("nace") == F.col("division")
+    codes = F.array_sort(F.collect_list(F.when(~bare, F.struct((-F.col("n")).alias("o"), F.col("nace").alias("code")))))
+    rows = counts.groupBy("division").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(bare, F.col("n"))), F.lit(0)).alias("bare"), codes.alias("c"))
+    return rows.select("division", "n", "bare", F.transform("c", lambda x: F.struct(x["code"].alias("code"), (-x["o"]).alias("n"))).alias("codes"))

@@ -102,3 +102,55 @@ def coverage(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Share of rows with a value, per column."""
     known = rows.agg(*[F.avg(F.nullif(F.col(x).cast("string"), F.lit("")).isNotNull().cast("int")).alias(x) for x in columns])
     return known.select(F.inline(F.array(*[F.struct(F.lit(x).alias("field"), F.col(x).alias("share")) for x in columns])))
+
+
+def base_rate(companies: DataFrame, hits: DataFrame, known: Column) -> DataFrame:
+    """Companies, hits and rate where an attribute is known and where it isn't; ``hits`` may repeat a company."""
+    found = hits.select("ico").distinct().withColumn("hit", F.lit(True))
+    rows = companies.withColumn("known", known).join(found, "ico", "left")
+    return rows.groupBy("known").agg(F.count("*").alias("companies"), F.count_if("hit").alias("hits"), F.avg(F.col("hit").isNotNull().cast("int")).alias("rate"))
+
+
+#: People taken for the middle of a headcount band (fixed values).
+MIDPOINT = {"220": 22, "230": 37, "240": 75, "310": 150, "330": 375, "340": 750, "410": 1250, "210": 15, "130": 8, "120": 3}
+
+
+def vacancy_ceiling(vacancies: DataFrame, companies: DataFrame, groups: Sequence[str], widths: Sequence[int], as_of: str) -> DataFrame:
+    """Per window: companies with any vacancy, three or more, a tenth of their headcount or more, and a management post.
+
+    ``vacancies``: ico, date, occupation; ``companies``: ico, band.  Vacancies of each company are
+    counted per age band first; a company without a midpoint reaches no tenth.
+    """
+    steps = sorted(widths)
+    first = F.get(F.filter(F.array(*map(F.lit, steps)), lambda w: w >= F.col("age")), 0)
+    rows = vacancies.withColumn("age", _age("date", as_of)).where("age >= 0").withColumn("step", first).where("step is not null")
+    counted = rows.groupBy("ico", "step").agg(F.count("*").alias("n"), F.count_if(F.col("occupation").isin(*groups)).alias("m"))
+    wide = counted.select("ico", "n", "m", F.explode(F.filter(F.array(*map(F.lit, steps)), lambda w: w >= F.col("step"))).alias("width"))
+    each = wide.groupBy("width", "ico").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    middle = F.create_map(*[F.lit(x) for p in MIDPOINT.items() for x in p])
+    rows = each.join(companies.select("ico", F.try_element_at(middle, F.coalesce("band", F.lit(""))).alias("heads")), "ico")
+    return rows.groupBy("width").agg(
+        F.count("*").alias("any_vacancy"), F.count_if(F.col("n") >= 3).alias("three_plus"),
+        F.count_if(F.col("n") * 10 >= F.col("heads")).alias("tenth"), F.count_if(F.col("m") > 0).alias("management"),
+    )
+
+
+def feed_overlap(feeds: dict[str, DataFrame], base: DataFrame) -> DataFrame:
+    """Per feed: its rows and how many companies of the base it names."""
+    rows: DataFrame | None = None
+    for name, feed in feeds.items():
+        one = feed.groupBy("ico").agg(F.count("*").alias("n")).withColumn("feed", F.lit(name))
+        rows = one if rows is None else rows.unionByName(one)
+    ours = rows.join(base.select("ico").distinct().withColumn("ours", F.lit(True)), "ico", "left")
+    return ours.groupBy("feed").agg(F.sum("n").alias("n"), F.count_if("ours").alias("companies"))
+
+
+def register_dates(people: DataFrame) -> DataFrame:
+    """ico, date, kind, name: each entry's arrival, and its departure where it has one.
+
+    ``people``: ico, role (director, owner), name, since, until; both present and departed
+    entries, since a departed one arrived too.  An entry without a date gives nothing.
+    """
+    days = F.array(F.struct(F.col("since").alias("date"), F.lit("joined").alias("what")), F.struct(F.col("until").alias("date"), F.lit("departed").alias("what")))
+    rows = people.select("ico", "role", F.lower("name").alias("name"), F.inline(days)).where("date is not null")
+    return rows.select("ico", "date", F.concat_ws("_", "role", "what").alias("kind"), "name")
