@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, chunked_bpe, fingerprints, html_text, line_dedup, media, near_dup, packing, quality, toxicity
+from . import chat, chunked_bpe, embedding_dup, fingerprints, html_text, line_dedup, media, merkle, near_dup, packing, periodic_runs, quality, toxicity
 
 #: The site-relative frequency above which a line is boilerplate, in ``op9`` and the pipeline.
 LINE_RATIO = 0.05
@@ -80,6 +80,44 @@ def prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Texts of ``docs``; of each tenth of the ids, by crc32, the words from one on repeat with a period."""
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split(F.col("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+    def edited(w: Column) -> Column:
+        n, g = F.size(w), F.expr("crc32(cast(cast(doc_id as string) as binary)) div 10")
+        first = (g % n).cast("int")
+        period = 1 + F.floor((n - first) / (3 + g % 8)).cast("int")
+        return F.concat_ws(" ", F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(w, F.when(i < first, i).otherwise(first + (i - first) % period))))
+
+    # One variable for the words: an expression named in a lambda is computed once.
+    planted = F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, edited(w)).otherwise(F.lit("")))[0]
+    return docs.select("doc_id", F.when(crc % 10 == 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    best = periodic_runs.longest(F.col("runs"))
+    return (
+        found.withColumn("best", best)
+        .select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.*", periodic_runs.as_text(F.col("runs")).alias("listed"), "collapsed")
+        .select(
+            "doc_id", "n_runs", "start", "length", "period", F.expr("1000 * length div period").alias("exponent_milli"),
+            F.sha2(F.col("listed").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+        )
+    )
+
+
+def proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, with one more character claimed for each seventh id, by crc32."""
+    return merkle.manifest(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], tampered={"n_chars": F.col("n_chars") + 1}, where=remainder(7) == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": html,
     "op2_quality": quality_scores,
@@ -91,6 +129,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dup": near,
     "op9_line_dedup": lines,
     "op10_fingerprints": prints,
+    "op11_embedding_dup": links,
+    "op12_periodic_runs": periodic,
+    "op13_merkle": proofs,
 }
 
 
