@@ -6,18 +6,21 @@ row); content between a table's parts goes before the table.  Rendering walks th
 elements that are hidden by their kind, attribute, inline style or a simple rule of a
 style sheet give nothing, blocks stand on lines of their own with blank lines where they
 have margins, list items get bullets or numbers by depth, and table cells are padded to
-the width of the columns that they span.
+the width of the columns that they span, as far as the padding stays in proportion to the text.
 
 Both walks keep stacks of their own and touch an element a bounded number of times, so
-the time is linear in the page however deep it nests.
+time and text are linear in the page however deep it nests, but for tables with many cells
+of different row spans, where a row passes the spans that reach down into it.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,6 +51,9 @@ BARRIERS = CELLS | frozenset({"table"})
 COLUMNS, ROWS = 1000, 65534
 #: Deeper list items are marked but not indented further, or blanks would outgrow the text.
 INDENTED = 64
+#: Tables whose padding would make them so many times as long as their text have their cells' lines broken at blanks to so
+#: many letters; if that isn't enough, cells stand side by side without padding.
+PADDED, WIDTH = 12, 80
 
 # Possessive, without limits of length: a tag matches at its first try, closed or cut by the page's end (the last group is
 # then empty), so no part of a page is read again and again.  A quote counts only where it opens an attribute's value.
@@ -417,46 +423,107 @@ class _Table:
         if sum(map(len, groups)) == 1 and sum(len(r) for g in groups for r in g) == 1:
             only = next(r for g in groups for r in g)[0][2]
             return self.captions + only if self.captions else only
-        # Places: (row, first column, last column + 1, lines), with the cells that reach down from rows above in the way.
-        placed: list[list[tuple[int, int, list[str]]]] = []
-        for group in groups:
-            down: dict[int, int] = {}  # column -> first row of the group that is free there
-            for r, row in enumerate(group):
-                at, own = 0, []
-                for wide, tall, lines in row:
-                    while down.get(at, 0) > r:
-                        at += 1
-                    own.append((at, at + wide, lines))
-                    until = len(group) if tall == 0 else min(len(group), r + tall)
-                    if until > r + 1:
-                        for c in range(at, at + wide):
-                            down[c] = until
-                    at += wide
-                placed.append(own)
+        placed = [own for group in groups for own in _columns(group)]
         # Columns that no cell begins or ends in are one.
         edges = sorted({e for row in placed for a, b, _ in row for e in (a, b)})
         index = {e: i for i, e in enumerate(edges)}
-        widths = [0] * max(0, len(edges) - 1)
         cells = [[(index[a], index[b], x) for a, b, x in row] for row in placed]
-        for row in cells:
-            for a, b, x in row:
-                if b == a + 1:
-                    widths[a] = max([widths[a], *map(len, x)])
-        for row in cells:
-            for a, b, x in row:
-                if b > a + 1:
-                    lack = max(map(len, x), default=0) - sum(widths[a:b]) - 3 * (b - a - 1)
-                    widths[b - 1] += max(0, lack)
-        out = self.captions
-        for row in cells:
-            for k in range(max((len(x) for _, _, x in row), default=0)):
-                parts, at = [], 0
-                for a, b, x in row:
-                    parts += ["".ljust(widths[c]) for c in range(at, a)]
-                    parts.append((x[k] if k < len(x) else "").ljust(sum(widths[a:b]) + 3 * (b - a - 1)))
-                    at = b
-                out.append(" | ".join(parts).rstrip(" "))
-        return out
+        room = PADDED * (sum(len(line) + 1 for row in cells for _, _, x in row for line in x) + sum(map(len, cells)) + len(cells))
+        for most in (None, WIDTH):
+            if most:
+                cells = [[(a, b, [part for line in x for part in _broken(line, most)]) for a, b, x in row] for row in cells]
+            starts = _starts(cells, len(edges) - 1, most)
+            if sum((starts[row[-1][1]] + 1) * max(len(x) for _, _, x in row) for row in cells if row) <= room:
+                return self.captions + [line for row in cells for line in _aligned(row, starts)]
+        return self.captions + [line for row in cells for line in _in_turn(row)]
+
+
+def _columns(group: list[list[tuple[int, int, list[str]]]]) -> Iterator[list[tuple[int, int, list[str]]]]:
+    """Of each row of a head, body or foot its cells as (first column, last column + 1, lines).
+
+    Cells that reach down from rows above are kept as intervals of columns, by column,
+    each with the first row that is free there; neighbours that end alike are one.
+    """
+    down: list[tuple[int, int, int]] = []
+    for r, row in enumerate(group):
+        at, own, kept, k = 0, [], [], 0
+
+        def reaches(a: int, b: int, until: int) -> None:
+            if kept and kept[-1][1] == a and kept[-1][2] == until:
+                kept[-1] = (kept[-1][0], b, until)
+            else:
+                kept.append((a, b, until))
+
+        for wide, tall, lines in row:
+            # A cell takes the first free column, and all its columns even where one reaches down into them.
+            while k < len(down) and (down[k][1] <= at or down[k][0] <= at or down[k][2] <= r):
+                a, b, until = down[k]
+                if until > r:
+                    at = max(at, b)
+                    reaches(a, b, until)
+                k += 1
+            own.append((at, at + wide, lines))
+            until = len(group) if tall == 0 else min(len(group), r + tall)
+            if until > r + 1:
+                reaches(at, at + wide, until)
+            at += wide
+        for a, b, until in down[k:]:
+            if until > r + 1:
+                reaches(a, b, until)
+        down = [x for x in kept if x[2] > r + 1]
+        yield own
+
+
+def _broken(line: str, most: int) -> list[str]:
+    """A line cut at blanks into lines of at most ``most`` letters; a longer word has one of its own."""
+    parts: list[str] = []
+    at, n = 0, len(line)
+    while n - at > most:
+        cut = line.rfind(" ", at + 1, at + most + 1)
+        if cut < 0:
+            cut = line.find(" ", at + most)
+        if cut < 0:
+            break
+        parts.append(line[at:cut].rstrip(" "))
+        at = cut + 1
+    return [*parts, line[at:]]
+
+
+def _starts(cells: list[list[tuple[int, int, list[str]]]], columns: int, most: int | None) -> list[int]:
+    """Where each column begins, the separators before it included; words longer than ``most`` may stick out."""
+    widths = [0] * max(0, columns)
+    longest = lambda x: min(most or sys.maxsize, max(map(len, x), default=0))
+    for row in cells:
+        for a, b, x in row:
+            if b == a + 1:
+                widths[a] = max(widths[a], longest(x))
+    for row in cells:
+        for a, b, x in row:
+            if b > a + 1:
+                widths[b - 1] += max(0, longest(x) - sum(widths[a:b]) - 3 * (b - a - 1))
+    return [0, *accumulate(w + 3 for w in widths)]
+
+
+def _aligned(row: list[tuple[int, int, list[str]]], starts: list[int]) -> Iterator[str]:
+    """The lines of a row, each cell from its column's beginning on."""
+    gaps = {b: "".join(" " * (starts[c + 1] - starts[c] - 3) + " | " for c in range(b, a)) for b, a in zip([0, *[b for _, b, _ in row]], [a for a, _, _ in row]) if a > b}
+    for k in range(max((len(x) for _, _, x in row), default=0)):
+        parts, at = [], 0
+        for a, b, x in row:
+            parts.append(gaps.get(at, "") if a > at else "")
+            parts.append((x[k] if k < len(x) else "").ljust(starts[b] - starts[a] - 3) + " | ")
+            at = b
+        yield "".join(parts)[:-3].rstrip(" ")
+
+
+def _in_turn(row: list[tuple[int, int, list[str]]]) -> Iterator[str]:
+    """The lines of a row whose table is too wide for its text: cells stand side by side, without padding."""
+    left = [x for _, _, x in row if x]
+    k = 0
+    while left:
+        yield " | ".join(x[k] for x in left).rstrip(" ")
+        k += 1
+        left = [x for x in left if len(x) > k]
 
 
 def _shown(node: Node, rules: dict[str, str]) -> str | None:
