@@ -19,10 +19,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
+from .store import discard, materialize
+
 CHAIN = 256
 #: Tokens of a lower probability don't count in a document's score, or length alone would raise it.
 FLOOR = 0.02
@@ -292,18 +294,29 @@ def train(
     """Fit on a bounded sample of labelled documents, whole texts.
 
     The bounds: at most ``max_labelled`` ids of each label, those of the smallest hash of
-    the id, and of their rows in that order as many as have ``max_chars`` characters
-    together.  Repeated rows of a document are one.  Ties of the hash go by the id.
+    the id (ties by the id), of their distinct rows the first 2 * ``max_labelled``, and of
+    these the shortest that have ``max_chars`` characters together, so that a long text
+    leaves out itself and no other.  Raises if there are rows and none fits.
     """
     known = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).withColumn(id_col, F.col("k")).where(usable)
     parts = [known.where(F.col("y") == y).select("k", "y").distinct().orderBy(F.xxhash64("k"), "k").limit(max_labelled) for y in (0, 1)]
     chosen = parts[0].unionByName(parts[1])
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
-    found = docs.select(F.col(id_col).alias("k"), text).join(F.broadcast(chosen), "k").select("k", "y", "text").distinct()
-    # One task sees the rows of the chosen ids, sorted on disk if need be; the driver gets those within the bounds.
-    order = Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("k"), "k", "y", "text").rowsBetween(Window.unboundedPreceding, 0)
-    within = found.select("*", F.sum(F.length("text")).over(order).alias("chars"), F.count(F.lit(1)).over(order).alias("rows"))
-    table = within.where((F.col("chars") <= max_chars) & (F.col("rows") <= 2 * max_labelled)).select("k", "y", "text").toPandas().sort_values(["k", "y", "text"])
+    rows = docs.select(F.col(id_col).alias("k"), text).join(F.broadcast(chosen), "k").select("k", "y", "text", F.xxhash64("text").alias("hash"), F.length("text").alias("chars"))
+    found = materialize(rows, "labelled")
+    # Only keys and lengths are sorted and counted; whole texts leave their tasks once they are known to fit.
+    slim = found.select("k", "y", "hash", "chars").distinct().orderBy(F.xxhash64("k"), "k", "y", "hash").limit(2 * max_labelled).collect()
+    kept, total = [], 0
+    for row in sorted(slim, key=lambda r: r["chars"]):
+        total += row["chars"]
+        if total > max_chars:
+            break
+        kept.append((row["k"], row["y"], row["hash"]))
+    if slim and not kept:
+        raise ValueError(f"no labelled text has at most {max_chars} characters")
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(kept, found.select("k", "y", "hash").schema))
+    table = found.join(wanted, ["k", "y", "hash"], "left_semi").select("k", "y", "text").distinct().toPandas().sort_values(["k", "y", "text"])
+    discard(found)
     return fit(table["text"].tolist(), table["y"].to_numpy())
 
 
