@@ -343,25 +343,25 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     blank texts stay.  Only rows whose id is null or repeated are told apart by their text.
     """
     key = F.col(id_col).cast("long")
-    rows = materialize(labelled_rows(docs, id_col, text_col, width, percent).select("doc_id", "set_key", "component_key"), "labelled")
-    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "set_key")
-    best = rows.where("set_key is not null").groupBy("component_key").agg(F.min(own).alias("best"))
-    pairs = rows.where("set_key is not null").groupBy("doc_id", "set_key", "component_key").count()
-    judged = materialize(pairs.join(best, "component_key").select("doc_id", "set_key", "count", (own == F.col("best")).alias("wins")), "judged")
-    many = rows.groupBy("doc_id").count().where("doc_id is null or count > 1").select("doc_id")
-    lost = judged.where("not wins").select("doc_id").where("doc_id is not null").distinct()
+    rows = materialize(labelled_rows(docs, id_col, text_col, width, percent).select(F.col("doc_id").alias("__id"), F.col("set_key").alias("__key"), F.col("component_key").alias("__component")), "labelled")
+    own = F.struct(F.col("__id").isNull().alias("none"), "__id", "__key")
+    best = rows.where("__key is not null").groupBy("__component").agg(F.min(own).alias("__best"))
+    pairs = rows.where("__key is not null").groupBy("__id", "__key", "__component").agg(F.count("*").alias("__count"))
+    judged = materialize(pairs.join(best, "__component").select("__id", "__key", "__count", (own == F.col("__best")).alias("__wins")), "judged")
+    many = materialize(rows.groupBy("__id").agg(F.count("*").alias("__n")).where("__id is null or __n > 1").select("__id"), "many")
+    discard(rows)
+    lost = judged.where("not __wins").select("__id").where("__id is not null").distinct()
     if many.isEmpty():
-        return docs.join(lost.withColumnRenamed("doc_id", "__id"), key == F.col("__id"), "left_anti")
+        return docs.join(lost, key == F.col("__id"), "left_anti")
     # Rows of ids that occur once are judged by the id, all others by id and set key.
-    many = materialize(many, "many").withColumnRenamed("doc_id", "__id")
-    once = docs.join(lost.withColumnRenamed("doc_id", "__id").unionByName(many).distinct(), key.eqNullSafe(F.col("__id")), "left_anti")
+    once = docs.join(lost.unionByName(many).distinct(), key.eqNullSafe(F.col("__id")), "left_anti")
     told = docs.join(many, key.eqNullSafe(F.col("__id")), "left_semi")
-    marks = judged.join(many, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(F.col("doc_id").alias("__id"), F.col("set_key").alias("__key"), "count", "wins")
+    marks = judged.where("__wins").join(many.withColumnRenamed("__id", "__many"), F.col("__id").eqNullSafe(F.col("__many")), "left_semi").select("__id", F.col("__key").alias("__want"), "__count")
     keyed = _with_key(told, text_col, width)
     blank = keyed.where("__key is null").select(*docs.columns)
-    wins = keyed.join(marks.where("wins").withColumnRenamed("__key", "__want"), (F.col("__key") == F.col("__want")) & key.eqNullSafe(F.col("__id")))
-    alone = wins.where("count = 1").select(*docs.columns)
-    again = wins.where("count > 1").groupBy("__want", "__id").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+    wins = keyed.join(marks, (F.col("__key") == F.col("__want")) & key.eqNullSafe(F.col("__id")))
+    alone = wins.where("__count = 1").select(*docs.columns)
+    again = wins.where("__count > 1").groupBy("__want", "__id").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
     return once.unionByName(blank).unionByName(alone).unionByName(again)
 
 
