@@ -35,10 +35,11 @@ def line_ratios(docs: DataFrame, host_col: str = "source", text_col: str = "text
     keys = F.array_distinct(F.transform(F.filter(_lines(F.coalesce("text", F.lit(""))), lambda x: F.trim(x) != ""), _key))
     # A page's mark -- a null line -- counts the page itself, so one pass gives both counts.
     exploded = rows.select("host", F.explode(F.concat(keys, F.array(F.lit(None).cast("long")))).alias("line"))
-    counts = exploded.groupBy("host", "line").agg(F.count("*").alias("pages"))
+    # Written, since the totals are counted before both are joined; lines of one page are not needed.
+    counts = materialize(exploded.groupBy("host", "line").agg(F.count("*").alias("pages")).where("line is null or pages > 1"), "counts")
     totals = counts.where("line is null").select(F.col("host").alias("h"), F.col("pages").alias("total"))
     return (
-        counts.where("line is not null and pages > 1")
+        counts.where("line is not null")
         .join(F.broadcast(totals) if totals.count() <= BROADCAST_LINES else totals, F.col("host").eqNullSafe(F.col("h")))
         .select("host", "line", "pages", "total", (F.col("pages") / F.col("total")).alias("ratio"))
     )
