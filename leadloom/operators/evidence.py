@@ -225,3 +225,22 @@ def turnover_pages(documents: DataFrame, context: int = 400) -> DataFrame:
     at = F.instr(F.col("text"), F.regexp_substr("text", F.lit(TURNOVER)))
     rows = documents.where(F.col("text").rlike(TURNOVER)).withColumn("__at", at)
     return rows.select("id", "ico", F.substring("text", F.greatest(F.lit(1), F.col("__at") - context), F.lit(2 * context)).alias("excerpt"))
+
+
+BETWEEN = "\n\n---\n\n"
+
+
+def vacancy_documents(vacancies: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """ico, text, sha256, snapshot_id of each company's vacancies as prose, and those of them to be stored.
+
+    ``vacancies``: ico, pos, title, text; ``stored``: ico, source, id, fetched_at, sha256.
+    Where a company's newest stored document of that source has the same digest, its id is
+    used again and nothing is stored; else snapshot_id is null, and the document is among
+    those to be stored.  Companies with nothing but blanks to say have no document.
+    """
+    told = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")))
+    listed = vacancies.groupBy("ico").agg(F.array_sort(F.collect_list(F.struct("pos", told.alias("told")))).alias("rows"))
+    made = listed.select("ico", F.array_join(F.transform("rows", lambda r: r["told"]), BETWEEN).alias("text")).where(X.normalise("text") != "").withColumn("sha256", X.digest("text"))
+    newest = stored.where("source = 'mpsv_text'").groupBy("ico").agg(F.max(F.struct("fetched_at", "id", "sha256")).alias("n"))
+    found = made.join(newest, "ico", "left").select("ico", "text", "sha256", F.when(F.col("n.sha256") == F.col("sha256"), F.col("n.id")).alias("snapshot_id"))
+    return found, found.where("snapshot_id is null").drop("snapshot_id")

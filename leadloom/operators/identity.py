@@ -157,9 +157,9 @@ def regrade(sites: DataFrame, proofs: DataFrame) -> DataFrame:
     return rows.withColumn("regraded", better).withColumn("status", F.when(better, "proven").otherwise(F.col("status"))).withColumn("evidence", F.when(better, F.col("fresh")).otherwise(F.col("evidence"))).drop("fresh")
 
 
-def primary_record(records: Column) -> Column:
-    """The envelope's primary record, else its first."""
-    return F.coalesce(F.get(F.filter(records, lambda r: r["primary"]), 0), F.get(records, 0))
+def primary_record(records: Column, mark: str = "primary") -> Column:
+    """The envelope's primary record, else its first; null without any."""
+    return F.coalesce(F.get(F.filter(records, lambda r: r[mark]), 0), F.get(records, 0))
 
 
 def split_by_end(entries: Column) -> Column:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import html as html_entities
+import re
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from leadloom.functions import text as X
 
@@ -30,6 +34,66 @@ def page_text(html: Column) -> Column:
     return X.normalise(bare)
 
 
+# Markup that isn't shown, the declaration of a charset and how far it is looked for, encodings tried where
+# none is declared, and the attribute that hides an address.
+_UNSHOWN = re.compile(r"(?is)<(script|style|noscript)\b[^>]*>.*?</\1\s*>|<!--.*?-->")
+_DECLARED = re.compile(rb"(?is)<meta[^>]+charset=[\"']?\s*([\w-]+)")
+DECLARED_WITHIN = 4096
+ENCODINGS = ("utf-8", "windows-1250", "iso-8859-2")
+_HIDDEN_ADDRESS = re.compile(r'<[^>]*\bdata-cfemail="([0-9a-fA-F]{6,})"[^>]*>')
+
+
+def decoded(body: bytes) -> str:
+    """A page's letters: by the charset that it declares, if it is known, else the first encoding that fits."""
+    told = _DECLARED.search(body[:DECLARED_WITHIN])
+    if told:
+        try:
+            return body.decode(told[1].decode("ascii"), "replace")
+        except LookupError:
+            pass
+    for encoding in ENCODINGS:
+        try:
+            return body.decode(encoding)
+        except UnicodeDecodeError:
+            continue
+    return body.decode("utf-8", "replace")
+
+
+def shown_address(blob: str) -> str:
+    """An address that is hidden as hexadecimal bytes, each combined with the first."""
+    key, *rest = bytes.fromhex(blob[: len(blob) // 2 * 2])
+    return "".join(chr(x ^ key) for x in rest)
+
+
+def readable(markup: str) -> str:
+    """Visible text with hidden addresses and all entities restored before the markup goes, blanks squeezed."""
+    restored = _HIDDEN_ADDRESS.sub(lambda m: f" {shown_address(m[1])} ", markup)
+    plain = re.sub(r"(?s)<[^>]+>", " ", _UNSHOWN.sub(" ", html_entities.unescape(restored)))
+    return " ".join(plain.split())
+
+
+def page_texts(pages: DataFrame, body_col: str = "html", out: str = "page_text") -> DataFrame:
+    """All columns of ``pages`` and ``out``, the readable text of stored page bodies (bytes, or text already decoded).
+
+    A null body gives a null text.  A column that is named ``out`` is replaced.
+    """
+    others = pages.drop(out) if out != body_col else pages
+    is_text = isinstance(others.schema[body_col].dataType, StringType)
+    at = others.columns.index(body_col)
+    schema = StructType([*others.schema.fields, StructField("__text", StringType())])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 200):
+                part = batch.slice(low, 200)
+                bodies = part.column(at).to_pylist()
+                texts = [None if b is None else readable(b if is_text else decoded(b)) for b in bodies]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "__text"])
+
+    made = others.mapInArrow(add, schema)
+    return made.select(*[c for c in others.columns if c != out], F.col("__text").alias(out))
+
+
 def host(url: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_extract(url, r"^[a-zA-Z]+://([^/:?#]+)", 1)), r"^www\.", "")
 

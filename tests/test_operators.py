@@ -196,6 +196,7 @@ def test_page_changes_stream_equals_batch(spark, tmp_path):
     texts = spark.createDataFrame([*rows, ("b", "web", None, 90, day("2024-01-01"), "q")], "ico string, source string, url string, id long, fetched_at date, text string")
     want = sorted((r.id, r.changed) for r in tables.store_snapshots(texts)[0].select("id", "changed").collect())
     hashed = texts.withColumn("sha256", X.digest("text")).drop("text")
+    spark.conf.set(*stream.STATE_STORE)
     first = hashed.where("fetched_at < date'2024-01-03'")
     first.coalesce(1).write.parquet(str(tmp_path / "in"))
     got = []
@@ -204,6 +205,7 @@ def test_page_changes_stream_equals_batch(spark, tmp_path):
     start()
     hashed.where("fetched_at >= date'2024-01-03'").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     start()
+    spark.conf.unset(stream.STATE_STORE[0])
     assert sorted((r.id, r.changed) for r in got) == want
 
 
