@@ -306,19 +306,22 @@ def _star_links(shared_buckets: DataFrame, classes: DataFrame, texts: DataFrame,
 def dealt_blocks(members: DataFrame, hot: DataFrame) -> DataFrame:
     """The members (bucket, key, label) of buckets with several components, dealt to pairs of blocks.
 
-    A bucket's largest component needs no comparison with itself: its classes meet only
-    the others' blocks.  ``small`` is a member's block of BLOCK classes.
+    A bucket's largest component needs no comparison with itself: if it has more than BLOCK
+    classes, they have blocks of their own and meet only the others' blocks; a smaller one
+    shares blocks with the others, so that a small bucket is one block and its classes are
+    sent once.  ``small`` is a member's block of BLOCK classes.
     """
     top = F.max(F.struct("n", "label"))
     open_buckets = members.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(top.alias("top"), F.sum("n").alias("all")).where("all > top.n")
-    in_top = F.col("label") == F.col("top.label")
-    blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / size)).cast("int")
-    own, rest = blocks(F.col("top.n"), BLOCK), blocks(F.col("all") - F.col("top.n"), BLOCK)
+    apart = F.when(F.col("top.n") > BLOCK, F.col("top.n")).otherwise(0)
+    in_top = (apart > 0) & (F.col("label") == F.col("top.label"))
+    blocks = lambda n, size: F.ceil(n / size).cast("int")
+    own, rest = blocks(apart, BLOCK), blocks(F.col("all") - apart, BLOCK)
     wide, further = blocks(own, SKETCHED), blocks(rest, SKETCHED)
     hashed = F.xxhash64("key")
     return (
         many_to_one(members.select("bucket", "key", "label"), open_buckets, "bucket", hot, F.col("key"))
-        .withColumn("small", F.when(in_top, F.pmod(hashed, own)).otherwise(own + F.pmod(hashed, rest)).cast("int"))
+        .withColumn("small", F.when(in_top, F.pmod(hashed, F.greatest(own, F.lit(1)))).otherwise(own + F.pmod(hashed, rest)).cast("int"))
         .withColumn("block", F.when(in_top, F.floor(F.col("small") / SKETCHED)).otherwise(wide + F.floor((F.col("small") - own) / SKETCHED)).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.when(in_top, wide).otherwise(F.lit(0)), wide + further - 1)))
         .select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "small", "key", "label")
