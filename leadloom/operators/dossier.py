@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadloom.operators.contacts import best_contact
 from leadloom.operators.evidence import counts, newest_pass, usable
 
 # What is said of people who came and went, and of statements that give no turnover.
@@ -86,8 +87,47 @@ def catalogue(week: DataFrame, documents: DataFrame, brief: dict[str, str]) -> D
     return listed.select(F.to_json(F.struct(_map(brief).alias("brief"), "n", "companies")).alias("document"))
 
 
-def reading_order(week: DataFrame, richness: DataFrame) -> DataFrame:
-    """The week with ``reading``: by facts that aren't about the mode, most first, then by place."""
+def reading_order(week: DataFrame, richness: DataFrame, block: int = 100_000) -> DataFrame:
+    """The week with ``reading``: by facts that aren't about the mode, most first, then by place.
+
+    Places are unique.  Rows are counted for each number of facts and block of places and placed
+    inside them, so no task sorts more than a block.
+    """
     rows = week.join(richness.select("ico", "signal_facts"), "ico", "left")
-    order = Window.orderBy(F.coalesce("signal_facts", F.lit(0)).desc(), "place")
-    return rows.withColumn("reading", F.row_number().over(order))
+    rows = rows.withColumn("__minus", -F.coalesce("signal_facts", F.lit(0))).withColumn("__block", F.floor(F.col("place") / block))
+    groups = rows.groupBy("__minus", "__block").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__minus", "__block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = groups.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    inside = F.row_number().over(Window.partitionBy("__minus", "__block").orderBy("place"))
+    placed = rows.withColumn("__i", inside).join(starts, ["__minus", "__block"])
+    return placed.withColumn("reading", (F.col("__start") + F.col("__i")).cast("int")).drop("__minus", "__block", "__start", "__i")
+
+
+def complete(documents: DataFrame, sites: DataFrame, contacts: DataFrame, statements: DataFrame, certificates: DataFrame, vacancies: DataFrame) -> DataFrame:
+    """Dossiers (:func:`dossiers`) with website, contact, channels, turnover, certificates and vacancies, all nested.
+
+    Each side is brought to one row a company first: ``sites`` (ico, domain, status), ``contacts``
+    (:func:`contacts.company_contacts`), ``statements`` (:func:`turnover`), ``certificates``
+    (:func:`certificates.company_certificates`), ``vacancies`` (ico, date, title).  A side that
+    has nothing on a company leaves a null, or an empty list.
+    """
+    site = sites.groupBy("ico").agg(F.min(F.struct("domain", "status")).alias("website"))
+    reach = contacts.select("ico", best_contact().alias("contact"), F.struct("emails", "personal_emails", "phones").alias("channels"))
+    money = statements.groupBy("ico").agg(F.min(F.struct("status", "value_czk", "note", "state")).alias("turnover"))
+    stated = certificates.where("standard is not null").groupBy("ico").agg(F.array_sort(F.collect_list(F.struct("standard", "number", "tier"))).alias("certificates"))
+    posted = vacancies.groupBy("ico").agg(F.sort_array(F.collect_list(F.struct("date", "title")), asc=False).alias("vacancies"))
+    rows = documents
+    for side in (site, reach, money, stated, posted):
+        rows = rows.join(side, "ico", "left")
+    lists = {c: F.coalesce(c, F.array().cast(side.schema[c].dataType)) for c, side in (("certificates", stated), ("vacancies", posted))}
+    return rows.withColumns(lists)
+
+
+def delivery(week: DataFrame, documents: DataFrame) -> DataFrame:
+    """place, ico and the line of the catalogue for each company of the week that somebody can be reached at.
+
+    ``documents`` are complete dossiers; a company whose dossier names no contact has no line.
+    """
+    told = documents.where("contact is not null")
+    line = F.struct("name", F.col("website.domain").alias("domain"), F.col("turnover.value_czk").alias("turnover_czk"), F.transform("certificates", lambda c: c["standard"]).alias("standards"), "contact", F.size("events").alias("events"), F.size("facts").alias("facts"), F.size("inferences").alias("inferences"))
+    return week.select("ico", "place").join(told, "ico").select("place", "ico", line.alias("line"))

@@ -120,13 +120,13 @@ def usable(claims: DataFrame) -> DataFrame:
     """Claims that may be shown: of the newest pass, admissible, one per quote.
 
     Of several claims on one quote the judged one wins, then the specific kind, then the
-    newest.  Claims without a quote are one per family and statement.
+    newest.  Claims without a quote are one per family and statement.  Quotes may be whole
+    documents, so claims are grouped and sorted by digests.
     """
     rows = newest_pass(claims).where(counts())
     has = F.coalesce("quote", F.lit("")) != ""
-    key = F.when(has, F.struct(F.lit("quote").alias("t"), F.lit("").alias("f"), X.squeeze_stop(F.col("quote")).alias("k"))).otherwise(
-        F.struct(F.lit("value").alias("t"), X.family("kind").alias("f"), F.lower(X.normalise("value")).alias("k"))
-    )
+    said = F.when(has, X.squeeze_stop(F.col("quote"))).otherwise(F.lower(X.normalise("value")))
+    key = F.struct(has.alias("q"), F.when(has, "").otherwise(X.family("kind")).alias("f"), F.sha2(said.cast("binary"), 256).alias("k"))
     order = Window.partitionBy("ico", "__key").orderBy(F.col("relevance").eqNullSafe(F.lit("supports")).desc(), F.contains("kind", F.lit(":")).desc(), F.col("claim_id").desc())
     return rows.withColumn("__key", key).withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__key", "__n")
 

@@ -113,3 +113,27 @@ def division_documents(companies: DataFrame) -> DataFrame:
     codes = F.array_sort(F.collect_list(F.when(~bare, F.struct((-F.col("n")).alias("o"), F.col("nace").alias("code")))))
     rows = counts.groupBy("division").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(bare, F.col("n"))), F.lit(0)).alias("bare"), codes.alias("c"))
     return rows.select("division", "n", "bare", F.transform("c", lambda x: F.struct(x["code"].alias("code"), (-x["o"]).alias("n"))).alias("codes"))
+
+
+def size_document(companies: DataFrame, bands: DataFrame) -> DataFrame:
+    """One nested row: the bands of a codebook (``bands``: pos, code, label) in its order, with their companies, none as 0."""
+    counts = companies.groupBy(F.col("band").alias("code")).agg(F.count("*").alias("n"))
+    rows = bands.join(counts, "code", "left").select(F.struct("pos", "code", "label", F.coalesce("n", F.lit(0)).alias("n")).alias("r"))
+    return rows.agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: F.struct(r["code"].alias("code"), r["label"].alias("label"), r["n"].alias("n"))).alias("sizes"))
+
+
+def region_document(companies: DataFrame, names: DataFrame) -> DataFrame:
+    """One nested row: regions (the first five characters of districts) with name (null if unknown), largest first, then by code."""
+    region = F.substring("district", 1, 5).alias("code")
+    counts = companies.where("coalesce(district, '') <> ''").groupBy(region).agg(F.count("*").alias("n"))
+    rows = counts.join(names.select("code", "name"), "code", "left").select(F.struct((-F.col("n")).alias("o"), "code", "name").alias("r"))
+    return rows.agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: F.struct(r["code"].alias("code"), r["name"].alias("name"), (-r["o"]).alias("n"))).alias("regions"))
+
+
+def place_points(*layers: DataFrame) -> DataFrame:
+    """code, lon, lat of places from layers of outlines (code, rings); a code of several layers is the last one's."""
+    every = layers[0].select("code", "rings", F.lit(0).alias("__layer"))
+    for n, layer in enumerate(layers[1:], 1):
+        every = every.unionByName(layer.select("code", "rings", F.lit(n).alias("__layer")))
+    last = every.groupBy("code").agg(F.max_by("rings", "__layer").alias("rings"))
+    return centroid(last.where(F.size(F.flatten("rings")) > 0))

@@ -257,31 +257,18 @@ def person_occurrences(pages: DataFrame, people: DataFrame, width: int = 120) ->
     return best.select("ico", "name", F.col("b.score").alias("score"), (-F.col("b.o")).alias("page_ord"), "b.email", "b.phone", "b.ambiguous")
 
 
-def company_contacts(pages: DataFrame, people: DataFrame, withheld: DataFrame) -> DataFrame:
-    """Per company: general addresses by desk rank, and people with their own channel.
-
-    ``withheld``: names whose channel would be a guess (namesakes); they get none.
-    """
-    persons = person_occurrences(pages, people).join(withheld.select("ico", "name"), ["ico", "name"], "left_anti")
-    own = persons.where("email is not null").select("ico", F.lower("email").alias("address")).distinct()
-    mails = pages.select("ico", F.explode(F.transform(F.regexp_extract_all("text", F.lit(f"({EMAIL})"), F.lit(1)), F.lower)).alias("address")).distinct()
-    desks = mails.join(own, ["ico", "address"], "left_anti").groupBy("ico").agg(F.transform(F.array_sort(F.collect_list(F.struct(desk_rank(F.col("address")).alias("r"), "address"))), lambda x: x["address"]).alias("desks"))
-    named = persons.where("email is not null or phone is not null").groupBy("ico").agg(F.array_sort(F.collect_list(F.struct("name", "email", "phone", "score"))).alias("people"))
-    return desks.join(named, "ico", "full")
-
-
 #: Signs of a page that nobody has filled, names of desks, and the order of pages that hold contacts.
 PARKED = (
     r"(?iU)doména\s+je\s+na\s+prodej|tato\s+doména|domain\s+(?:is\s+)?for\s+sale|připravujeme|stránky\s+se\s+připravují|under\s+construction|"
     r"default\s+web\s+page|it\s+works!|welcome\s+to\s+nginx|apache2?\s+default"
 )
-DESKS = tuple(
-    (
-        "info obchod office sekretariat podatelna firma kancelar prodej servis mail post sales export import fakturace faktury ucetni uctarna expedice logistika doprava vyroba sklad "
-        "reklamace poptavka objednavky nakup personalni kariera hr praca prace job jobs marketing it helpdesk support dispecink dispecer recepce spravce admin webmaster gdpr kontakt "
-        "contact zakaznik eshop shop no-reply noreply newsletter studio atelier provoz technik"
-    ).split()
-)
+DESKS = (
+    "info", "obchod", "office", "sekretariat", "podatelna", "firma", "kancelar", "prodej", "servis", "mail", "post", "sales",
+    "export", "import", "fakturace", "faktury", "ucetni", "uctarna", "expedice", "logistika", "doprava", "vyroba", "sklad",
+    "reklamace", "poptavka", "objednavky", "nakup", "personalni", "kariera", "hr", "praca", "prace", "job", "jobs", "marketing",
+    "it", "helpdesk", "support", "dispecink", "dispecer", "recepce", "spravce", "admin", "webmaster", "gdpr", "kontakt",
+    "contact", "zakaznik", "eshop", "shop", "no-reply", "noreply", "newsletter", "studio", "atelier", "provoz", "technik",
+)
 PAGE_ORDER = {"contact": 0, "about": 1, "home": 2, "career": 3}
 
 
@@ -300,6 +287,24 @@ def personal_address(address: Column, domain: Column) -> Column:
     return ~(local.isin(*DESKS) | stem.isin(*DESKS) | trimmed.isin(*DESKS) | ((own != "") & (squeezed(local) == own)))
 
 
+# Hosts of free mail, and what is cut from a company's name.
+FREE_HOSTS = (
+    "gmail.com", "seznam.cz", "email.cz", "centrum.cz", "volny.cz", "post.cz", "atlas.cz", "tiscali.cz", "quick.cz", "outlook.com",
+    "hotmail.com", "yahoo.com", "icloud.com", "protonmail.com", "iol.cz",
+)
+NAME_END = r"(?i)[\s,]*(a\.?\s?s\.?|s\.?\s?r\.?\s?o\.?|spol\.?)[\s.,]*$"
+
+
+def _squeezed(x: Column) -> Column:
+    return F.regexp_replace(X.fold(x), "[^a-z0-9]", "")
+
+
+def business_box(address: Column, name: Column) -> Column:
+    """Whether an address at a free host is the company's own box: its local part and the name hold one another."""
+    local, stem = _squeezed(F.substring_index(address, "@", 1)), _squeezed(F.regexp_replace(F.coalesce(name, F.lit("")), NAME_END, ""))
+    return F.substring_index(address, "@", -1).isin(*FREE_HOSTS) & (local != "") & (stem != "") & (F.contains(stem, local) | F.contains(local, stem))
+
+
 def contact_links(found: DataFrame, word: str, strong: str, most: int = 5) -> DataFrame:
     """page_id, url, rank, place: same-site links that may lead to contacts, best first.
 

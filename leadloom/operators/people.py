@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leadloom.functions import text as X
 from leadloom.operators.identity import name_words
-from leadloom.operators.pages import EMAIL, FREEMAIL, PHONE, places
+from leadloom.operators.pages import EMAIL, FREEMAIL, PHONE, business_box, places
 
 # A printed name, a role word, a name before a legal form, and the stems of words that are no names.
 PAGE_NAME = (
@@ -74,6 +74,7 @@ def page_people(pages: DataFrame, known: DataFrame, free: Sequence[str] = FREEMA
     """People printed beside a role word who are not in the register, with a channel of their own row.
 
     ``pages``: ico, page_ord, text, domain, city (the last two may be null); ``known``: ico, name.
+    Where ``pages`` has the company's name (``company``), a free host's address must be the company's own box.
     The name is the last one in the 70 characters before the role word; the row runs forward from
     the role word to the next person.  An address counts on the company's domain or a free mail
     host if its local part holds the surname (``page``); with a phone number only, the person is
@@ -82,7 +83,8 @@ def page_people(pages: DataFrame, known: DataFrame, free: Sequence[str] = FREEMA
     """
     folded = F.concat_ws(" ", F.array_sort(F.filter(F.split(X.fold("name"), r"\s+"), lambda w: w != "")))
     register = known.select("ico", folded.alias("person")).distinct()
-    found = pages.select("ico", "page_ord", "text", "domain", "city", F.explode(spots(F.col("text"), PAGE_ROLE)).alias("m"))
+    company = ["company"] if "company" in pages.columns else []
+    found = pages.select("ico", "page_ord", "text", "domain", "city", *company, F.explode(spots(F.col("text"), PAGE_ROLE)).alias("m"))
     found = found.withColumn("at", F.col("m.at")).withColumn("role", F.col("m.said"))
     begin = F.greatest(F.lit(1), F.col("at") - LEAD)
     names = F.regexp_extract_all(F.substring("text", begin, F.col("at") - begin), F.lit(PAGE_NAME), F.lit(0))
@@ -90,7 +92,8 @@ def page_people(pages: DataFrame, known: DataFrame, free: Sequence[str] = FREEMA
     found = found.withColumn("given", _part(F.col("printed"), 1)).withColumn("surname", _part(F.col("printed"), 2))
     found = found.where(looks_like_person(F.col("given"), F.col("surname"), F.col("city"))).withColumn("row", person_row(F.col("text"), F.col("at")))
     host = lambda m: F.lower(F.element_at(F.split(m, "@"), -1))
-    ours = lambda m: F.coalesce(host(m) == F.lower("domain"), F.lit(False)) | host(m).isin(*free)
+    box = (lambda m: business_box(F.lower(m), F.col("company"))) if "company" in pages.columns else (lambda m: F.lit(True))
+    ours = lambda m: F.coalesce(host(m) == F.lower("domain"), F.lit(False)) | (host(m).isin(*free) & box(m))
     mails = F.filter(F.regexp_extract_all("row", F.lit(f"({EMAIL})"), F.lit(1)), lambda m: ours(m) & F.contains(X.fold(F.get(F.split(m, "@"), 0)), X.fold("surname")))
     found = found.withColumn("email", F.get(mails, 0)).withColumn("phone", F.get(F.regexp_extract_all("row", F.lit(f"({PHONE})"), F.lit(1)), 0)).where("email is not null or phone is not null")
     quote = F.trim(F.substring("text", begin, F.col("at") - begin + ROW))

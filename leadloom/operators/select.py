@@ -121,14 +121,6 @@ def newcomers(changes: DataFrame, companies: DataFrame, n: int = 25) -> DataFram
     return fresh.orderBy("unsized", "ico").limit(n).withColumn("deferred", F.lit(max(0, fresh.count() - n)))
 
 
-def best_contact() -> Column:
-    """A register person with a channel, else a page person, else the company's own channel."""
-    reach = lambda p: p["email"].isNotNull() | p["phone"].isNotNull()
-    person = F.get(F.filter("people", lambda p: reach(p) & (p["source"] == "register")), 0)
-    page = F.get(F.filter("people", lambda p: reach(p) & (p["source"] != "register")), 0)
-    return F.coalesce(person, page)
-
-
 def history(delivered: DataFrame, companies: DataFrame) -> DataFrame:
     """Deliveries with company names (null where unknown), and how often each was shown."""
     times = delivered.groupBy("ico").agg(F.count("*").alias("times"))

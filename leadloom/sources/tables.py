@@ -79,7 +79,7 @@ def flatten_vacancies(export: DataFrame, keys: DataFrame | None = None) -> DataF
     """Nested export (array ``items``) to one row per vacancy of the wanted companies."""
     rows = export.select(F.inline("items"))
     rows = rows.withColumn("ico", X.company_key("ico")).withColumn("posted", X.iso_day("posted"))
-    return rows.join(F.broadcast(keys.select("ico").distinct()), "ico", "left_semi") if keys is not None else rows
+    return rows.join(keys.select("ico"), "ico", "left_semi") if keys is not None else rows
 
 
 def store_snapshots(rows: DataFrame, blobs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
