@@ -190,3 +190,13 @@ def already_known(moves: DataFrame) -> DataFrame:
     own = Window.partitionBy("ico", F.lower("name"))
     director = F.col("kind") == "director_joined"
     return moves.withColumn("__else", F.count_if(~director).over(own)).where(director & (F.col("__else") > 0) & F.col("name").isNotNull()).drop("__else")
+
+
+def by_age(events: DataFrame, as_of: str) -> DataFrame:
+    """Events with ``age_days`` and their ``place`` in the company's list, the youngest first, then by kind and name.
+
+    ``events``: ico, date, kind, name and others; an event without a date comes last.
+    """
+    aged = events.withColumn("age_days", F.datediff(F.lit(as_of).cast("date"), "date"))
+    order = Window.partitionBy("ico").orderBy(F.asc_nulls_last("age_days"), "kind", "name")
+    return aged.withColumn("place", F.row_number().over(order))

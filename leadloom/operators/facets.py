@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,6 +94,26 @@ def ledger(calls: DataFrame, prices: DataFrame) -> DataFrame:
     return priced.groupBy("model").agg(F.count("*").alias("calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.sum(cost).alias("cost"))
 
 
+def call_costs(calls: DataFrame, prices: DataFrame) -> DataFrame:
+    """Each call with its ``cost``, to six decimals; null where the list has no price for its model and mode.
+
+    ``calls``: model, mode, cached, tokens_in, tokens_out and others; ``prices``: model, mode, price_in,
+    price_out, price_cached (null: cached input costs what other input costs), per million tokens.
+    """
+    priced = calls.join(prices.select("model", "mode", "price_in", "price_out", "price_cached"), ["model", "mode"], "left")
+    rate = F.coalesce(F.when(F.col("cached"), F.col("price_cached")), "price_in")
+    cost = F.round((F.coalesce("tokens_in", F.lit(0)) * rate + F.coalesce("tokens_out", F.lit(0)) * F.col("price_out")) / 1_000_000, 6)
+    return priced.select(*calls.columns, cost.alias("cost"))
+
+
+def spent(costs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Calls, those without a price, tokens and cost to four decimals, of all or by columns of :func:`call_costs`."""
+    return costs.groupBy(*by).agg(
+        F.count("*").alias("calls"), F.count_if(F.col("cost").isNull()).alias("unpriced"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"),
+        F.round(F.coalesce(F.sum("cost"), F.lit(0.0)), 4).alias("cost"),
+    )
+
+
 def company_index(companies: DataFrame, places: DataFrame) -> DataFrame:
     """One row a company for the map: the last row of a key stands, with its division and its town's point.
 

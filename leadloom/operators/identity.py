@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,18 +25,64 @@ def registry_key(name: Column) -> Column:
     return F.array_join(name_words(name), "")
 
 
+# A legal form at the end of a name, words of legal forms anywhere in it, and words that companies share.
+FORM_END = (
+    r"[\s,]*(akciov[aá]\s+spole[cč]nost|spole[cč]nost\s+s\s+ru[cč]en[ií]m\s+omezen[yý]m|a\.?\s?s\.?|s\.?\s?r\.?\s?o\.?|spol\.?|v\.?\s?o\.?\s?s\.?|"
+    r"k\.?\s?s\.?|z\.?\s?[su]\.?|o\.?\s?p\.?\s?s\.?|s\.?\s?e\.?|gmbh|ltd\.?|s\.?a\.?)[\s.,]*$"
+)
+FORM_WORDS = (
+    "s", "r", "o", "sro", "spol", "as", "a.s", "vos", "ks", "zs", "ops", "se", "spolecnost", "spolecnosti", "akciova", "gmbh", "ltd", "sa",
+    "kg", "ag", "bv", "nv", "plc", "inc", "llc",
+)
+FILLER = (
+    "cz", "czech", "czechia", "bohemia", "moravia", "morava", "group", "holding", "company", "int", "international", "trade", "trading",
+    "industry", "industries", "invest", "praha", "brno", "prague", "and", "the", "republic",
+)
+
+
+def _with(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def domain_stems(name: Column) -> Column:
-    """Host names a company may have: its words joined, joined by dashes, the first, the initials."""
-    words = name_words(name)
-    initials = F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "")
-    stems = F.array(F.array_join(words, ""), F.array_join(words, "-"), F.get(words, 0), F.when(F.size(words) >= 3, initials))
-    return F.array_distinct(F.filter(stems, lambda x: x.isNotNull() & (F.length(x) >= 3)))
+    """What may stand before the dot of a company's domain, the likeliest first.
+
+    The words of the name without its legal form (all words if nothing else is left), joined
+    and with dashes; the same without words that many companies share; of three telling words
+    the first two, of two the first, and the initials of three.  Stems have 2 to 63 letters.
+    """
+    bare = F.trim(F.regexp_replace(X.fold_marks(F.regexp_replace(F.coalesce(name, F.lit("")), f"(?iU){FORM_END}", "")), "[^a-z0-9]+", " "))
+
+    def made(words: Column, telling: Column) -> Column:
+        n, two = F.size(telling), F.slice(telling, 1, 2)
+        initials = F.array_join(F.transform(telling, lambda w: F.substring(w, 1, 1)), "")
+        stems = [F.array_join(ws, by) for ws in (words, telling) for by in ("", "-")]
+        stems += [F.when(n > 2, F.array_join(two, by)) for by in ("", "-")]
+        stems += [F.when(n > 1, F.get(telling, 0)), F.when(n > 2, initials)]
+        return F.array_distinct(F.filter(F.array(*stems), lambda x: F.length(x).between(2, 63)))
+
+    return _with(
+        F.filter(F.split(bare, " "), lambda w: w != ""),
+        lambda every: _with(
+            F.filter(every, lambda w: ~w.isin(*FORM_WORDS)),
+            lambda some: _with(
+                F.when(F.size(some) > 0, some).otherwise(every),
+                lambda words: _with(F.filter(words, lambda w: ~w.isin(*FILLER)), lambda own: made(words, F.when(F.size(own) > 0, own).otherwise(words))),
+            ),
+        ),
+    )
 
 
-def domain_candidates(seeds: Column, name: Column, endings: Sequence[str] = ("cz", "com", "eu"), most: int = 24) -> Column:
-    """Seed domains first, then generated ones, each once, at most ``most``."""
-    made = F.flatten(F.transform(domain_stems(name), lambda s: F.transform(F.array(*map(F.lit, endings)), lambda e: F.concat(s, F.lit("."), e))))
-    return F.slice(F.array_distinct(F.concat(F.coalesce(seeds, F.array().cast("array<string>")), made)), 1, most)
+def domain_candidates(seeds: Column, name: Column, endings: Sequence[str] = ("cz",), foreign: Sequence[str] = ("com", "eu"), strong: int = 3, most: int = 24) -> Column:
+    """Seed domains first, then every stem with ``endings``, then the ``strong`` likeliest with ``foreign`` ones too.
+
+    Each is named once, at most ``most``; seeds lose case, blanks, leading dots and www.
+    """
+    given = F.transform(F.coalesce(seeds, F.array().cast("array<string>")), lambda x: F.regexp_replace(F.ltrim(F.lower(F.trim(x)), F.lit(".")), r"^www\.", ""))
+    dotted = lambda stems, ends: F.flatten(F.transform(stems, lambda s: F.array(*[F.concat(s, F.lit(f".{e}")) for e in ends])))
+    made = _with(domain_stems(name), lambda stems: F.concat(dotted(stems, endings), dotted(F.slice(stems, 1, strong), foreign)))
+    return F.slice(F.array_distinct(F.concat(F.filter(given, lambda x: F.contains(x, F.lit("."))), made)), 1, most)
 
 
 def seed_domains(rows: DataFrame, blocked: DataFrame) -> DataFrame:
@@ -111,7 +157,7 @@ def listed_on_page(directors: DataFrame, found: DataFrame) -> DataFrame:
 def registrant_block(rows: DataFrame, text_col: str = "text") -> DataFrame:
     """name, address, created of the first contact block of a registrant answer, one row each."""
     lines = rows.select("domain", F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
-    cut = lines.select("domain", "pos", F.lower(F.trim(F.split("line", ":", 2)[0])).alias("label"), F.trim(F.split("line", ":", 2)[1]).alias("value")).where("value is not null")
+    cut = lines.select("domain", "pos", F.lower(F.trim(F.split("line", ":", 2)[0])).alias("label"), F.trim(F.get(F.split("line", ":", 2), 1)).alias("value")).where("value is not null")
     start = cut.where("label = 'contact'").groupBy("domain").agg(F.min("pos").alias("start"))
     headers = cut.join(start, "domain").where("pos > start and label in ('contact', 'nsset', 'keyset', 'domain')").groupBy("domain").agg(F.min("pos").alias("stop"))
     inside = cut.join(start, "domain").join(headers, "domain", "left").where("pos >= start and (stop is null or pos < stop)")

@@ -305,20 +305,27 @@ def business_box(address: Column, name: Column) -> Column:
     return F.substring_index(address, "@", -1).isin(*FREE_HOSTS) & (local != "") & (stem != "") & (F.contains(stem, local) | F.contains(local, stem))
 
 
-def contact_links(found: DataFrame, word: str, strong: str, most: int = 5) -> DataFrame:
+# Addresses and labels that may lead to contacts, words of contact pages, their names as a whole, and languages a path begins with.
+CONTACT_HINT = r"(?iU)kontakt|contact|o-?n[aá]s|o[-_]?firme|o[-_]?spole[cč]nosti|about|impressum|imprint|firemn[ií]|[uú]daje|z[aá]pat[ií]|footer"
+CONTACT_WORD = r"(?i)kontakt|contact|impressum|imprint"
+CONTACT_NAME = r"(?i)^(kontakt|kontakty|contact|contacts|impressum|imprint)$"
+LANGUAGE = r"(?i)^(cs|cz|en|de|sk|pl|ru|fr|it|es)$"
+
+
+def contact_links(found: DataFrame, word: str = CONTACT_WORD, strong: str = CONTACT_NAME, most: int = 5, hint: str | None = None) -> DataFrame:
     """page_id, url, rank, place: same-site links that may lead to contacts, best first.
 
-    ``found``: page_id, base (the page's own address), href, label.  Links whose address
-    or label has ``word`` rank 2 by their last part or label, 3 where the last part is
+    ``found``: page_id, base (the page's own address), pos, href, label.  Only links whose
+    address or label has ``hint`` (``word`` if there is none) count.  Those with ``word`` rank 2 by their last part or label, 3 where the last part is
     ``strong`` as a whole, else 1; then shorter paths, then the later address.  A path
     counts once, whatever language it begins with.
     """
     rows = found.withColumn("url", F.when(F.col("href").rlike("^[a-zA-Z]+:"), F.col("href")).otherwise(F.concat(F.regexp_extract("base", r"^([a-zA-Z]+://[^/?#]+)", 1), F.when(F.startswith("href", F.lit("/")), "").otherwise("/"), "href")))
-    rows = rows.where(F.col("url").rlike("^https?://") & (host(F.col("url")) == host(F.col("base"))) & (F.col("href").rlike(word) | F.col("label").rlike(word)))
+    rows = rows.where(F.col("url").rlike("^https?://") & (host(F.col("url")) == host(F.col("base"))) & (F.col("href").rlike(hint or word) | F.col("label").rlike(hint or word)))
     path = F.regexp_extract("url", r"^[a-zA-Z]+://[^/?#]+([^?#]*)", 1)
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
     last = F.regexp_replace(F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit("")), r"\.[^.]*$", "")
-    bare = F.when(F.get(parts, 0).rlike(r"^(?:[a-z]{2}|cz)$"), F.slice(parts, 2, 1000)).otherwise(parts)
+    bare = F.when(F.get(parts, 0).rlike(LANGUAGE), F.slice(parts, 2, 1000)).otherwise(parts)
     rank = F.when(last.rlike(f"{strong}"), 3).when(last.rlike(word) | F.col("label").rlike(word), 2).otherwise(1)
     rows = rows.select("page_id", "url", rank.alias("rank"), F.length(path).alias("n"), X.fold(F.array_join(bare, "/")).alias("key"), "pos")
     once = rows.groupBy("page_id", "key").agg(F.min(F.struct("pos", "url", "rank", "n")).alias("b")).select("page_id", "b.url", "b.rank", "b.n")

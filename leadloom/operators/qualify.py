@@ -154,3 +154,8 @@ def with_label(rows: DataFrame, column: str, names: dict[str, str], label: str)
 def admit(base: DataFrame, register: DataFrame, newcomers: DataFrame) -> DataFrame:
     """The base and the register's rows of companies that are new to it; both have the base's columns."""
     return base.unionByName(register.join(newcomers.select("ico").distinct(), "ico", "left_semi").select(*base.columns))
+
+
+def summary(rows: DataFrame) -> DataFrame:
+    """The columns of a register row that a reader is shown."""
+    return rows.select("ico", "name", F.col("band").alias("size"), "nace", "form", "district", "city")

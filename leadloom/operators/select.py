@@ -128,6 +128,27 @@ def history(delivered: DataFrame, companies: DataFrame) -> DataFrame:
     return rows.withColumn("in_candidates", F.col("name").isNotNull())
 
 
+def _padded(ico: str) -> Column:
+    """A key of eight digits at least, as it was delivered otherwise: zeros and longer keys stay."""
+    return F.when(F.length(ico) < 8, F.lpad(ico, 8, "0")).otherwise(F.col(ico))
+
+
+def delivered_runs(delivered: DataFrame, companies: DataFrame) -> DataFrame:
+    """One row a run: its companies by key, each with name (null where unknown) and how often it was shown in all runs.
+
+    ``delivered``: ico, run_id, delivered_on.  A run is a week's list; what is counted is counted over all runs.
+    """
+    rows = history(delivered.withColumn("ico", _padded("ico")), companies)
+    shown = F.array_sort(F.collect_list(F.struct("ico", "name", "in_candidates", "delivered_on", "times")))
+    return rows.groupBy("run_id").agg(F.max("delivered_on").alias("delivered_on"), F.count("*").alias("n"), shown.alias("companies"))
+
+
+def delivery_totals(delivered: DataFrame) -> DataFrame:
+    """One row: runs, deliveries and companies delivered at least once."""
+    rows = delivered.withColumn("ico", _padded("ico"))
+    return rows.agg(F.count_distinct("run_id").alias("runs"), F.count("*").alias("deliveries"), F.count_distinct("ico").alias("companies"))
+
+
 def mark_delivered(delivered: DataFrame, fresh: DataFrame) -> DataFrame:
     """Rows to append: (ico, run_id) pairs not there yet."""
     return fresh.dropDuplicates(["ico", "run_id"]).join(delivered.select("ico", "run_id"), ["ico", "run_id"], "left_anti")

@@ -98,6 +98,30 @@ def kind_shares(events: DataFrame) -> DataFrame:
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
+def owner_shares(events: DataFrame) -> DataFrame:
+    """One row: ownership events, those whose owner is a company, and their share (null without any).
+
+    ``events``: kind, legal_entity.
+    """
+    own = F.startswith("kind", F.lit("owner_"))
+    n, legal = F.count_if(own), F.count_if(own & F.coalesce("legal_entity", F.lit(False)))
+    return events.agg(n.alias("owner_events"), legal.alias("legal_entities"), F.when(n > 0, legal / n).alias("share"))
+
+
+def familiar_arrivals(events: DataFrame, entries: DataFrame) -> DataFrame:
+    """One row: directors who arrive, those whom the company's record knows in another place, and their share.
+
+    ``events``: ico, kind, name; ``entries``: ico, role (director, owner), name, departed.  Owners,
+    departed owners and departed directors count as known; a sitting director is the arrival itself.
+    Names are compared in lower case, a missing one as an empty one.
+    """
+    key = F.lower(F.coalesce("name", F.lit(""))).alias("key")
+    known = entries.where("role = 'owner' or departed").select("ico", key).distinct().withColumn("known", F.lit(True))
+    arrivals = events.where("kind = 'director_joined'").groupBy("ico", key).agg(F.count("*").alias("n"))
+    n, familiar = F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("known"), F.col("n"))), F.lit(0))
+    return arrivals.join(known, ["ico", "key"], "left").agg(n.alias("arrivals"), familiar.alias("familiar"), F.when(n > 0, familiar / n).alias("share"))
+
+
 def coverage(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Share of rows with a value, per column."""
     known = rows.agg(*[F.avg(F.nullif(F.col(x).cast("string"), F.lit("")).isNotNull().cast("int")).alias(x) for x in columns])

@@ -32,9 +32,9 @@ def person_parts(spark, d):
     return split.groupBy("p.given", "p.surname").agg(F.count("*").alias("n"))
 
 
-@query("q69_domain_candidates", "SELECT c_custkey AS id, ['seed.cz', 'customer' || k || '.cz', 'customer' || k || '.com', 'customer-' || k || '.cz', 'customer-' || k || '.com', 'customer.cz'] AS domains FROM (SELECT c_custkey, split_part(c_name, '#', 2) AS k FROM customer)")
+@query("q69_domain_candidates", "SELECT c_custkey AS id, ['seed.cz', 'customer' || k || '.cz', 'customer-' || k || '.cz', 'customer.cz', 'customer' || k || '.com', 'customer' || k || '.eu', 'customer-' || k || '.com', 'customer-' || k || '.eu', 'customer.com', 'customer.eu'] AS domains FROM (SELECT c_custkey, split_part(c_name, '#', 2) AS k FROM customer)")
 def domain_candidates(spark, d):
-    made = identity.domain_candidates(F.array(F.lit("seed.cz")), F.col("c_name"), ("cz", "com"), most=6)
+    made = identity.domain_candidates(F.array(F.lit("seed.cz")), F.col("c_name"))
     return T.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), made.alias("domains"))
 
 
