@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .joins import BROADCAST_KEYS, many_to_one, salts
+from .joins import BROADCAST_KEYS, among, many_to_one, maybe_among, salts, without
 from .shingles import MinHasher, band_keys, odd_sketch, shared, shingle_sets
 from .store import discard, materialize
 
@@ -214,11 +214,6 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _sized(keys: DataFrame) -> DataFrame:
-    """``keys``, to be broadcast if their count allows it."""
-    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs``.
 
@@ -344,6 +339,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     That is the row of the smallest id, null ids last; of rows that share it the one of
     the smallest set key, then of the smallest values of all columns.  Null, empty and
     blank texts stay.  Only rows whose id is null or repeated are told apart by their text.
+    Of the others only rows that go, and few that stay, are shuffled with their texts.
     """
     key = F.col(id_col).cast("long")
     rows = materialize(labelled_rows(docs, id_col, text_col, width, percent).select(F.col("doc_id").alias("__id"), F.col("set_key").alias("__key"), F.col("component_key").alias("__component")), "labelled")
@@ -353,12 +349,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     judged = materialize(pairs.join(best, "__component").select("__id", "__key", "__count", (own == F.col("__best")).alias("__wins")), "judged")
     many = materialize(rows.groupBy("__id").agg(F.count("*").alias("__n")).where("__id is null or __n > 1").select("__id"), "many")
     discard(rows)
-    lost = judged.where("not __wins").select("__id").where("__id is not null").distinct()
+    lost = judged.where("not __wins").select("__id").where("__id is not null")
     if many.isEmpty():
-        return docs.join(lost, key == F.col("__id"), "left_anti")
+        return without(docs, key, materialize(lost.distinct(), "lost"))
     # Rows of ids that occur once are judged by the id, all others by id and set key.
-    once = docs.join(lost.unionByName(many).distinct(), key.eqNullSafe(F.col("__id")), "left_anti")
-    told = docs.join(many, key.eqNullSafe(F.col("__id")), "left_semi")
+    once = without(docs, key, materialize(lost.unionByName(many).distinct(), "lost"))
+    told = among(docs, key, many)
     marks = judged.where("__wins").join(many.withColumnRenamed("__id", "__many"), F.col("__id").eqNullSafe(F.col("__many")), "left_semi").select("__id", F.col("__key").alias("__want"), "__count")
     keyed = _with_key(told, text_col, width)
     blank = keyed.where("__key is null").select(*docs.columns)
@@ -396,8 +392,11 @@ def _texts(rows: DataFrame, first: DataFrame, width: int) -> DataFrame:
 
     Rows that repeat an id with other texts are told apart by the key of their own set.
     """
-    wanted = _sized(first.where("first_id is not null").select(F.col("key").alias("want"), F.col("first_id").alias("id")))
-    found = rows.join(wanted, "id").select("want", "text")
+    wanted = first.where("first_id is not null").select(F.col("key").alias("want"), F.col("first_id").alias("id"))
+    if wanted.count() <= BROADCAST_KEYS:
+        found = rows.join(F.broadcast(wanted), "id").select("want", "text")
+    else:
+        found = maybe_among(rows, F.col("id"), wanted.select("id")).where("__maybe").join(wanted, "id").select("want", "text")
     nulls = first.where("first_id is null").select("key")
     found = found.mapInArrow(partial(_own, width=width), "key binary, text string")
     if not nulls.isEmpty():
