@@ -144,8 +144,9 @@ def score(docs: DataFrame, model: QualityModel, text_col: str = "text", score_co
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            values = model.score(np.array([features(t) for t in texts])) if texts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], names=names)
+            for low in range(0, batch.num_rows, 1000):
+                part = batch.slice(low, 1000)
+                values = model.score(np.array([features(t) for t in part.column(at).to_pylist()]))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values, pa.float64())], names=names)
 
     return docs.mapInArrow(add, schema)

@@ -14,7 +14,10 @@ from functools import lru_cache
 
 import numpy as np
 
-_UNITS = 400_000
+#: A worker starts a new table of units beyond so many characters, and keeps the one before it.
+_UNIT_CHARS = 400_000
+#: Texts are encoded in parts of so many characters (a longer text alone), which bounds the lists of their units.
+_PART_CHARS = 500_000
 
 
 @lru_cache(maxsize=4)
@@ -68,9 +71,11 @@ class ByteLevelEncoder:
 
     A piece boundary lies before every single space between two visible characters and
     on both sides of a single line feed between two, so such texts fall into units that
-    are encoded once each.  Texts with other white space or special tokens go whole to
-    the tokenizer.  New units of a batch are encoded in one call by a faster library
-    with the same vocabulary; each id's length in bytes tells which unit it is of.
+    are encoded once each while they are kept: units that stay out of use until other
+    units of _UNIT_CHARS characters were met go.  Texts with other white space or special
+    tokens go whole to the tokenizer.  New units of a part are encoded in one call by a
+    faster library with the same vocabulary; each id's length in bytes tells which unit
+    it is of.
     """
 
     def __init__(self, path: str):
@@ -84,17 +89,19 @@ class ByteLevelEncoder:
         self.sizes = np.zeros(1 + max(ranks.values()), dtype=np.int64)
         for token, i in ranks.items():
             self.sizes[i] = len(token)
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
+        self.first, self.older_first = {}, {}
+        self.rest, self.older_rest = {}, {}
+        self.first_chars = self.rest_chars = 0
         self.feed = ids_bytes(self.tokenizer.encode("\n", add_special_tokens=False).ids)
 
     def _learn(self, known: dict[str, bytes], units: list[str], lead: str) -> None:
         """Encode units that begin with a space, or stand on lines of their own, in one call."""
         for at in range(0, len(units), 20_000):
             part = units[at : at + 20_000]
-            data = [(lead + u).encode("utf-8", "replace") for u in part]
-            ids = np.array(self.fast.encode_ordinary("".join([lead + u for u in part])), dtype="<u4")
-            ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(list(map(len, data))), side="left") + 1
+            joined = lead + lead.join(part)
+            lengths = np.array([len(u) if u.isascii() else len(u.encode("utf-8", "replace")) for u in part]) + len(lead)
+            ids = np.array(self.fast.encode_ordinary(joined), dtype="<u4")
+            ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(lengths), side="left") + 1
             raw, before = ids.tobytes(), 0
             for unit, end in zip(part, ends.tolist()):
                 known[unit] = raw[before : 4 * end]
@@ -102,6 +109,18 @@ class ByteLevelEncoder:
 
     def many(self, texts: Sequence[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):
+            end, size = at + 1, len(texts[at])
+            while end < len(texts) and size + len(texts[end]) <= _PART_CHARS:
+                size += len(texts[end])
+                end += 1
+            out += self._part(texts[at:end])
+            at = end
+        return out
+
+    def _part(self, texts: Sequence[str]) -> list[bytes]:
         split: list[list[list[str]] | None] = []
         heads: set[str] = set()
         rest: set[str] = set()
@@ -115,12 +134,18 @@ class ByteLevelEncoder:
             heads.update([line[0] for line in lines])
             for line in lines:
                 rest.update(line[1:])
-        for known in (self.first, self.rest):
-            if len(known) > _UNITS:
-                known.clear()
-        self._learn(self.rest, list(rest - self.rest.keys()), " ")
+        if self.first_chars > _UNIT_CHARS:
+            self.first, self.older_first, self.first_chars = {}, self.first, 0
+        if self.rest_chars > _UNIT_CHARS:
+            self.rest, self.older_rest, self.rest_chars = {}, self.rest, 0
         for unit in heads - self.first.keys():
-            self.first[unit] = ids_bytes(self.fast.encode_ordinary(unit))
+            self.first[unit] = self.older_first.get(unit) or ids_bytes(self.fast.encode_ordinary(unit))
+            self.first_chars += len(unit)
+        missing = rest - self.rest.keys()
+        self.rest_chars += sum(map(len, missing))
+        again = missing & self.older_rest.keys()
+        self.rest.update({unit: self.older_rest[unit] for unit in again})
+        self._learn(self.rest, list(missing - again), " ")
         first, look = self.first, self.rest.__getitem__
         out = []
         for text, lines in zip(texts, split):
