@@ -25,6 +25,8 @@ from .tokens import byte_level
 
 ATTENTION_TOKENS = 1024.0
 WINDOW_TOKENS = 8_000_000
+#: Rows of an Arrow batch are encoded together up to about so many bytes.
+SLICE_BYTES = 2_000_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -98,8 +100,9 @@ def _rows(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: i
         return batch
 
     for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            part = batch.slice(at, 1000)
+        step = 1 + SLICE_BYTES * batch.num_rows // (1 + batch.nbytes)
+        for at in range(0, batch.num_rows, step):
+            part = batch.slice(at, step)
             encoded = encoder.many([t or "" for t in part.column(1).to_pylist()])
             for doc, ids in zip(part.column(0).to_pylist(), encoded):
                 ids += end
