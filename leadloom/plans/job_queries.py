@@ -14,7 +14,7 @@ from leadloom.plans.catalogue import query
 from leadloom.plans.fixtures import with_sql
 from leadloom.plans.more_queries import turnover_notes
 from leadloom.sources import index_files
-from leadloom.sources.store import shared_dir
+from leadloom.sources.store import materialize, shared_dir
 
 #: What is printed at the end of some texts: several standards, an issuer, numbers beside dates, a label without a number.
 STATED = (
@@ -23,6 +23,11 @@ STATED = (
 )
 
 
+def of_companies(rows, only):
+    """``rows`` of the companies of ``only`` (ico; a few, so that they are broadcast), written once; all of them where there is no ``only``."""
+    return rows if only is None else materialize(rows.join(F.broadcast(only.select("ico")), "ico", "left_semi"), "of_companies")
+
+
 def stated(spark, d):
     """ico, id, kind, text: documents, three to a company, with a sentence on certificates; every fourth is a stored certificate."""
     i = F.col("doc_id")
@@ -51,14 +56,13 @@ CERTIFICATES = {
 }
 
 
-def found_certificates(spark, d):
-    rows = stated(spark, d)
+def found_certificates(rows):
     return certs.certificates(rows.where("kind = 'website'"), rows.where("kind = 'certificate'"))
 
 
 @query("q134_certificates", with_sql("SELECT * FROM found", **CERTIFICATES))
 def certificates(spark, d):
-    return found_certificates(spark, d)
+    return found_certificates(stated(spark, d))
 
 
 def kept_certificates(spark, d):
@@ -66,9 +70,10 @@ def kept_certificates(spark, d):
     return T.company(spark, d).select("ico", F.lit("ISO 9001").alias("standard"), F.lit(None).cast("string").alias("number"), F.lit("file").alias("tier"), F.lit(None).cast("string").alias("quote"))
 
 
-def listed_certificates(spark, d):
-    claims = certs.certificate_claims(found_certificates(spark, d), stated(spark, d)).withColumn("claim_id", F.col("snapshot_id")).withColumn("relevance", F.lit(None).cast("string"))
-    return certs.company_certificates(claims, kept_certificates(spark, d))
+def listed_certificates(spark, d, only=None):
+    rows = of_companies(stated(spark, d), only)
+    claims = certs.certificate_claims(found_certificates(rows), rows).withColumn("claim_id", F.col("snapshot_id")).withColumn("relevance", F.lit(None).cast("string"))
+    return certs.company_certificates(claims, of_companies(kept_certificates(spark, d), only))
 
 
 LISTED = {
@@ -145,13 +150,13 @@ def best_contacts(spark, d):
     return found.select("ico", contacts.best_contact().alias("c")).where("c is not null").select("ico", "c.*")
 
 
-def complete(spark, d):
-    """Dossiers of all companies with every side."""
-    claims = T.claim(spark, d)
-    files = dossier.dossiers(T.company(spark, d).select("ico", "name"), claims)
-    reached = contacts.company_contacts(contact_pages(spark, d), contact_sites(spark, d), board(spark, d))
-    jobs = T.vacancies(spark, d)[1].select("ico", "date", "title")
-    return dossier.complete(files, T.website(spark, d).select("ico", "domain", "status"), reached, turnover_notes(spark, d), listed_certificates(spark, d), jobs)
+def complete(spark, d, only=None):
+    """Dossiers with every side, of all companies or of those of ``only``: each side is one company's own, so others' rows go before anything is read off them."""
+    of = lambda rows: of_companies(rows, only)
+    files = dossier.dossiers(of(T.company(spark, d).select("ico", "name")), of(T.claim(spark, d)))
+    reached = contacts.company_contacts(of(contact_pages(spark, d)), of(contact_sites(spark, d)), of(board(spark, d)))
+    jobs = of(T.vacancies(spark, d)[1].select("ico", "date", "title"))
+    return dossier.complete(files, of(T.website(spark, d).select("ico", "domain", "status")), reached, of(turnover_notes(spark, d)), listed_certificates(spark, d, only), jobs)
 
 
 @query("q139_complete_dossiers", with_sql("""SELECT c.ico, w.domain, m.value_czk, coalesce(s.said, '') AS standards, coalesce(v.said, '') AS vacancies FROM company c
@@ -167,8 +172,9 @@ def complete_dossiers(spark, d):
 
 @query("q140_delivery")
 def delivery(spark, d):
-    """The week's lines: companies of the week that somebody can be reached at."""
-    return dossier.delivery(C.week(spark, d), complete(spark, d)).select("place", "ico", F.to_json("line").alias("line"))
+    """The week's lines: companies of the week that somebody can be reached at.  Dossiers are made of the week's companies only."""
+    picked = materialize(C.week(spark, d), "week")
+    return dossier.delivery(picked, complete(spark, d, picked)).select("place", "ico", F.to_json("line").alias("line"))
 
 
 @query("q141_index_files", with_sql("SELECT ico, CASE WHEN nace <> '' AND substr(nace, 1, 2) < '50' THEN upper(name) ELSE name END AS name, nace AS code, substr(nace, 1, 2) AS division FROM company", "company"))
