@@ -24,8 +24,13 @@ STATED = (
 
 
 def of_companies(rows, only):
-    """``rows`` of the companies of ``only`` (ico; a few, so that they are broadcast), written once; all of them where there is no ``only``."""
-    return rows if only is None else materialize(rows.join(F.broadcast(only.select("ico")), "ico", "left_semi"), "of_companies")
+    """``rows`` of the companies of ``only`` (a few keys, so that a scan takes them out before any join); all of them where there is no ``only``."""
+    return rows if only is None else rows.where(F.col("ico").isin(list(only)))
+
+
+def written(rows, only):
+    """What is read or made for the companies of ``only``, written once, so that no plan holds all sides; as it is where there is no ``only``."""
+    return rows if only is None else materialize(rows, "some")
 
 
 def stated(spark, d):
@@ -71,7 +76,7 @@ def kept_certificates(spark, d):
 
 
 def listed_certificates(spark, d, only=None):
-    rows = of_companies(stated(spark, d), only)
+    rows = written(of_companies(stated(spark, d), only), only)
     claims = certs.certificate_claims(found_certificates(rows), rows).withColumn("claim_id", F.col("snapshot_id")).withColumn("relevance", F.lit(None).cast("string"))
     return certs.company_certificates(claims, of_companies(kept_certificates(spark, d), only))
 
@@ -153,10 +158,12 @@ def best_contacts(spark, d):
 def complete(spark, d, only=None):
     """Dossiers with every side, of all companies or of those of ``only``: each side is one company's own, so others' rows go before anything is read off them."""
     of = lambda rows: of_companies(rows, only)
-    files = dossier.dossiers(of(T.company(spark, d).select("ico", "name")), of(T.claim(spark, d)))
-    reached = contacts.company_contacts(of(contact_pages(spark, d)), of(contact_sites(spark, d)), of(board(spark, d)))
+    once = lambda rows: written(rows, only)
+    files = once(dossier.dossiers(of(T.company(spark, d).select("ico", "name")), once(of(T.claim(spark, d)))))
+    reached = once(contacts.company_contacts(once(of(contact_pages(spark, d))), once(of(contact_sites(spark, d))), once(of(board(spark, d)))))
+    listed = once(listed_certificates(spark, d, only))
     jobs = of(T.vacancies(spark, d)[1].select("ico", "date", "title"))
-    return dossier.complete(files, of(T.website(spark, d).select("ico", "domain", "status")), reached, of(turnover_notes(spark, d)), listed_certificates(spark, d, only), jobs)
+    return dossier.complete(files, of(T.website(spark, d).select("ico", "domain", "status")), reached, of(turnover_notes(spark, d)), listed, jobs)
 
 
 @query("q139_complete_dossiers", with_sql("""SELECT c.ico, w.domain, m.value_czk, coalesce(s.said, '') AS standards, coalesce(v.said, '') AS vacancies FROM company c
@@ -174,7 +181,7 @@ def complete_dossiers(spark, d):
 def delivery(spark, d):
     """The week's lines: companies of the week that somebody can be reached at.  Dossiers are made of the week's companies only."""
     picked = materialize(C.week(spark, d), "week")
-    return dossier.delivery(picked, complete(spark, d, picked)).select("place", "ico", F.to_json("line").alias("line"))
+    return dossier.delivery(picked, complete(spark, d, [r.ico for r in picked.select("ico").collect()])).select("place", "ico", F.to_json("line").alias("line"))
 
 
 @query("q141_index_files", with_sql("SELECT ico, CASE WHEN nace <> '' AND substr(nace, 1, 2) < '50' THEN upper(name) ELSE name END AS name, nace AS code, substr(nace, 1, 2) AS division FROM company", "company"))
